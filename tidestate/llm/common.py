@@ -46,7 +46,7 @@ def stored(df: DataFrame, what: str) -> DataFrame:
 
 def bytes_of(df: DataFrame) -> int:
     """The optimizer's estimate of df's size, from file sizes."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
 
 
 def pieces(df: DataFrame, each: int, least: int = 1) -> int:
