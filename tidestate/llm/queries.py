@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, mixing, quality_rules
+from . import decontaminate, mixing, quality_rules, secrets
 from .common import read
 
 
@@ -45,9 +45,18 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies", "source")
 
 
+def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
+    ratios = secrets.train(secrets.labelled(spark).unionByName(secrets.prose(docs, labels)))
+    found = secrets.scan(docs, ratios)
+    counts = [F.size(F.filter("base", secrets.of_kind(k))).cast("long").alias(f"n_{k}") for k in secrets.KINDS[:3]]
+    return found.select("doc_id", *counts, F.sha2(secrets.joined(F.col("base")), 256).alias("base_sha256"), secrets.joined(F.concat("base", "added")).alias("spans"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_quality_rules": op3_quality_rules,
     "op6_decontaminate": op6_decontaminate,
+    "op8_secrets": op8_secrets,
     "op9_mixing": op9_mixing,
 }
 ORACLE_SQL: dict[str, str] = {
