@@ -10,20 +10,22 @@ import pyarrow as pa
 
 from . import kernels as K
 
-BITS = 18
-SIZE = 1 << BITS
-
 
 @dataclass(frozen=True)
 class Grams:
-    """Which n-grams make features; each kind has 2**18 buckets of its own. words, chars: the lengths (chars in UTF-8 bytes)."""
+    """Which n-grams make features; each kind has 2**bits buckets of its own. words, chars: the lengths (chars in UTF-8 bytes)."""
 
     words: tuple[int, ...] = (1, 2)
     chars: tuple[int, ...] = (3, 4)
+    bits: int = 18
+
+    @property
+    def size(self) -> int:
+        return 1 << self.bits
 
     @property
     def dims(self) -> int:
-        return SIZE * (len(self.words) + len(self.chars))
+        return self.size * (len(self.words) + len(self.chars))
 
     def kinds(self, data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """For each kind the bucket of every gram, and the first and the end of each row's (grams across rows lie between)."""
@@ -32,7 +34,7 @@ class Grams:
             h = w.hashes()
             for n in self.words:
                 g = h if n == 1 else K.window_hash(h, n)
-                yield (g >> K.U64(64 - BITS)).astype(np.int64), w.row_at[:-1], np.maximum(w.row_at[1:] - n + 1, w.row_at[:-1])
+                yield (g >> K.U64(64 - self.bits)).astype(np.int64), w.row_at[:-1], np.maximum(w.row_at[1:] - n + 1, w.row_at[:-1])
         for n in self.chars:
             x = np.zeros(max(0, len(data) - n + 1), np.uint64)
             for i in range(n):
@@ -40,14 +42,14 @@ class Grams:
             x *= K.U64(0x9E3779B97F4A7C15)
             x ^= x >> K.U64(29)
             x *= K.U64(0xBF58476D1CE4E5B9)
-            yield (x >> K.U64(64 - BITS)).astype(np.int64), offsets[:-1], np.maximum(offsets[1:] - n + 1, offsets[:-1])
+            yield (x >> K.U64(64 - self.bits)).astype(np.int64), offsets[:-1], np.maximum(offsets[1:] - n + 1, offsets[:-1])
 
     def means(self, data: np.ndarray, offsets: np.ndarray, weights: np.ndarray) -> np.ndarray:
         """Sum over kinds of the mean weight of a row's grams; weights are integers, so that the sums don't depend on batches."""
         out = np.zeros(len(offsets) - 1)
         for k, (bucket, a, b) in enumerate(self.kinds(data, offsets)):
             total = np.zeros(len(bucket) + 1, np.int64)
-            np.cumsum(weights[k * SIZE : (k + 1) * SIZE][bucket], out=total[1:])
+            np.cumsum(weights[k * self.size : (k + 1) * self.size][bucket], out=total[1:])
             out += (total[b] - total[np.minimum(a, b)]) / np.maximum(b - a, 1)
         return out
 
@@ -57,10 +59,10 @@ class Grams:
         for k, (bucket, a, b) in enumerate(self.kinds(data, offsets)):
             size = b - a
             at = np.repeat(a - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())
-            key, n = np.unique((np.repeat(np.arange(len(a)), size) << BITS) | bucket[at], return_counts=True)
-            r = key >> BITS
+            key, n = np.unique((np.repeat(np.arange(len(a)), size) << self.bits) | bucket[at], return_counts=True)
+            r = key >> self.bits
             rows.append(r)
-            index.append((key & (SIZE - 1)) + k * SIZE)
+            index.append((key & (self.size - 1)) + k * self.size)
             share.append(n / size[r] if counts else np.ones(len(n)))
         r, i, s = map(np.concatenate, (rows, index, share))
         order = np.lexsort((i, r))

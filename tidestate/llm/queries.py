@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, mixing, quality_rules, secrets
+from . import decontaminate, language_id, mixing, quality_classifier, quality_rules, secrets
 from .common import read
 
 
@@ -15,6 +15,19 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    model = language_id.fit(docs, F.col("doc_id").isNotNull() & ~language_id.held_out())
+    return language_id.predict(docs, model).select("doc_id", language_id.held_out().alias("held_out"), "lang_pred", "score")
+
+
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
+    model = quality_classifier.fit(docs, labels, F.col("doc_id").isNotNull() & ~quality_classifier.held_out())
+    scored = quality_classifier.score(docs, model)
+    return scored.select("doc_id", quality_classifier.held_out().alias("held_out"), "score", F.when(F.col("score") >= quality_classifier.THRESHOLD, 1).otherwise(0).alias("predicted"))
+
+
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.find(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), decontaminate.contaminated().alias("contaminated"))
@@ -55,7 +68,9 @@ def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_quality_rules": op3_quality_rules,
+    "op4_language_id": op4_language_id,
     "op6_decontaminate": op6_decontaminate,
+    "op7_quality_classifier": op7_quality_classifier,
     "op8_secrets": op8_secrets,
     "op9_mixing": op9_mixing,
 }
