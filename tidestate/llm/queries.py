@@ -7,8 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language_id, mixing, quality_classifier, quality_rules, secrets
-from .common import read
+from . import decontaminate, language_id, mixing, quality_classifier, quality_rules, secrets, token_ids
+from .common import DIGEST_TOKENIZER, TOKENIZERS, read, scratch
+
+
+def op1_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch(spark, "token-ids")
+    token_ids.write(read(spark, sf_dir, "documents"), path, f"{TOKENIZERS}/{DIGEST_TOKENIZER}")
+    return token_ids.read(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,6 +73,7 @@ def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_token_ids": op1_token_ids,
     "op3_quality_rules": op3_quality_rules,
     "op4_language_id": op4_language_id,
     "op6_decontaminate": op6_decontaminate,
