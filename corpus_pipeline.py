@@ -1,35 +1,69 @@
 """A training corpus from documents: quality rules, near-dedup, decontamination, mixing, token ids.
 
 STAGES lists (name, function); each function takes (spark, docs, sf_dir) and returns a DataFrame
-that is written as Parquet and reread as the next one's docs. All but the last return the
-columns of documents.
+that is written as Parquet and reread as the next one's docs. Every stage works on all that its
+predecessor kept. All but the last return the columns of documents; the last returns, from the files
+that it wrote, each document's place in the token stream. A document that the mix takes several times is that many rows from then on.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidestate.llm import quality_rules
-from tidestate.llm.common import read, stored
+from tidestate.llm import decontaminate, mixing, near_dedup, quality_rules, token_ids
+from tidestate.llm.common import DIGEST_TOKENIZER, TOKENIZERS, read, scratch, stored
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+def only(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of docs whose doc_id is among ids (doc_id)."""
+    return docs.join(ids.distinct(), "doc_id", "left_semi").select(COLUMNS)
+
+
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules reject go."""
-    verdict = quality_rules.quality_rules(docs, read(spark, sf_dir, "labels")).where("kept").select("doc_id").distinct()
-    return docs.join(verdict, "doc_id", "left_semi").select(COLUMNS)
+    return only(docs, quality_rules.quality_rules(docs, read(spark, sf_dir, "labels")).where("kept").select("doc_id"))
+
+
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents whose shingles of five words are alike to 0.8, one stays."""
+    return only(docs, near_dedup.near_duplicates(docs).where("kept").select("doc_id"))
+
+
+def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a twentieth or more of their words in benchmark windows go."""
+    return only(docs, decontaminate.find(docs, read(spark, sf_dir, "benchmark")).where(~decontaminate.contaminated()).select("doc_id"))
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it."""
+    copies = mixing.mix(docs).where("copies > 0").select("doc_id", "copies").groupBy("doc_id").agg(F.max("copies").alias("copies"))
+    return docs.join(copies, "doc_id").withColumn("copy", F.explode(F.sequence(F.lit(1), "copies"))).select(COLUMNS)
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, start, n_tokens and ids_crc32 of each row, read back from the token files."""
+    path = scratch(spark, "pipeline-ids")
+    token_ids.write(docs, path, f"{TOKENIZERS}/{DIGEST_TOKENIZER}")
+    return token_ids.read(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
-STAGES = [("quality rules", rules)]
+STAGES = [
+    ("quality rules", rules),
+    ("MinHash near-dedup", near),
+    ("benchmark decontamination", benchmark),
+    ("mixing sources to target weights", mix),
+    ("token-ID / binary output", tokens),
+]
 #: Models and coders can't be said in SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's result for documents of sf_dir; each stage's rows are written to the shared folder and read again."""
     docs = read(spark, sf_dir, "documents")
-    for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = stored(docs, name.replace(" ", "-"))
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir), name.split()[0].lower())
+    return STAGES[-1][1](spark, docs, sf_dir)

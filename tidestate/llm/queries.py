@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language_id, mixing, near_dedup, quality_classifier, quality_rules, secrets, substring_dedup, token_ids
+from . import decontaminate, html_extract, language_id, mixing, near_dedup, quality_classifier, quality_rules, secrets, substring_dedup, token_ids
 from .common import DIGEST_TOKENIZER, TOKENIZERS, read, scratch
 
 
@@ -45,6 +45,10 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predict(docs, model).select("doc_id", language_id.held_out().alias("held_out"), "lang_pred", "score")
 
 
+def op5_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.html_extract(read(spark, sf_dir, "pages"))
+
+
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
     model = quality_classifier.fit(docs, labels, F.col("doc_id").isNotNull() & ~quality_classifier.held_out())
@@ -113,6 +117,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_substring_dedup": op2_substring_dedup,
     "op3_quality_rules": op3_quality_rules,
     "op4_language_id": op4_language_id,
+    "op5_html_extract": op5_html_extract,
     "op6_decontaminate": op6_decontaminate,
     "op7_quality_classifier": op7_quality_classifier,
     "op8_secrets": op8_secrets,
