@@ -82,22 +82,21 @@ def cut(docs: DataFrame, blocks: int, window: int, anchor: int) -> DataFrame:
             text = np.concatenate([x[0] for x in held])
             length, block, content, doc, tag, first = (np.concatenate([x[i] for x in held]) for i in range(1, 7))
             begin = np.cumsum(length) - length
-            order = np.lexsort((content, block))
-            block, content = block[order], content[order]
-            new = np.ones(len(order), bool)
-            new[1:] = (block[1:] != block[:-1]) | (content[1:] != content[:-1])
-            which = np.cumsum(new) - 1
-            rep = order[new]
-            at = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]]))
+            order = np.argsort(block, kind="stable")
+            at = np.flatnonzero(np.concatenate([[True], np.diff(block[order]) > 0]))
             for a, b in zip(at, np.append(at[1:], len(order)), strict=True):
-                r = rep[which[a] : which[b - 1] + 1]
+                o = order[a:b]
+                # distinct segments in order of first place, so that the numbers below grow slowly
+                _, one, inverse = np.unique(content[o], return_index=True, return_inverse=True)
+                rank = np.empty(len(one), np.int64)
+                rank[np.argsort(one)] = np.arange(len(one))
+                which, r = rank[inverse], o[np.sort(one)]
                 to = np.cumsum(length[r])
                 body = text[np.repeat(begin[r] - (to - length[r]), length[r]) + np.arange(to[-1])]
-                o = order[a:b]
                 raw = np.array([len(r), b - a, len(body)], "<i8").tobytes() + length[r].astype("<i4").tobytes() + body.tobytes()
-                places = (which[a:b] - which[a]).astype("<i4").tobytes() + doc[o].astype("<i8").tobytes() + tag[o].astype("<i8").tobytes() + first[o].astype("<i4").tobytes()
-                row = [np.array([len(raw)], "<i8").tobytes() + codec.compress(raw, asbytes=True), zlib.compress(places, 1)]
-                yield pa.RecordBatch.from_arrays([pa.array([block[a]], pa.int32()), *(pa.array([x], pa.binary()) for x in row)], ["block", "texts", "places"])
+                places = b"".join(np.diff(x, prepend=0).astype(k).tobytes() for x, k in ((which, "<i4"), (doc[o], "<i8"), (tag[o], "<i8"))) + first[o].astype("<i4").tobytes()
+                row = [np.array([len(raw)], "<i8").tobytes() + codec.compress(raw, asbytes=True), zlib.compress(places, 4)]
+                yield pa.RecordBatch.from_arrays([pa.array([block[o[0]]], pa.int32()), *(pa.array([x], pa.binary()) for x in row)], ["block", "texts", "places"])
             held.clear()
 
         for batch in batches:
@@ -140,9 +139,9 @@ def factored(window: int) -> object:
                 h.append(w.hashes())
                 count.append(w.count)
             p = zlib.decompress(places.as_py())
-            seg.append(np.frombuffer(p, "<i4", m).astype(np.int64) + n_segments)
-            doc.append(np.frombuffer(p, "<i8", m, 4 * m))
-            tag.append(np.frombuffer(p, "<i8", m, 12 * m))
+            seg.append(np.cumsum(np.frombuffer(p, "<i4", m), dtype=np.int64) + n_segments)
+            doc.append(np.cumsum(np.frombuffer(p, "<i8", m, 4 * m)))
+            tag.append(np.cumsum(np.frombuffer(p, "<i8", m, 12 * m)))
             first.append(np.frombuffer(p, "<i4", m, 20 * m).astype(np.int64))
             n_segments += n
         h, count, seg, doc, tag, first = map(np.concatenate, (h, count, seg, doc, tag, first))
@@ -187,19 +186,25 @@ def factored(window: int) -> object:
     return run
 
 
+def tagged(docs: DataFrame) -> DataFrame:
+    """doc_id, tag and text: the tag tells apart texts that share a doc_id, and is 0 where no doc_id comes twice."""
+    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"))
+    twice = ids.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count() > 0
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.xxhash64("text") if twice else F.lit(0).cast("long")).alias("tag"), "text")
+
+
 def duplicate_spans(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
-    """doc_id, tag (of the text), spans: pieces of each document's duplicate word ranges (little-endian i32 pairs; start, end), a row for each block and document."""
-    tagged = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tag"), "text")
-    blocks = pieces(tagged, BLOCK_BYTES, 4 * docs.sparkSession.sparkContext.defaultParallelism)
-    return cut(tagged, blocks, window, anchor).groupBy("block").applyInArrow(factored(window), "doc_id long, tag long, spans binary")
+    """Of docs (doc_id, tag, text): doc_id, tag, spans: pieces of each document's duplicate word ranges (little-endian i32 pairs; start, end), a row for each block and document."""
+    blocks = pieces(docs, BLOCK_BYTES, 4 * docs.sparkSession.sparkContext.defaultParallelism)
+    return cut(docs, blocks, window, anchor).groupBy("block").applyInArrow(factored(window), "doc_id long, tag long, spans binary")
 
 
 def substring_dedup(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
     """doc_id, n_words, n_removed, kept (the words kept, joined by a space), kept_sha256 and spans (removed word ranges) of each document (doc_id, text)."""
+    docs = tagged(docs)
     found = duplicate_spans(docs, window, anchor).groupBy("doc_id", "tag").agg(F.collect_list("spans").alias("spans"))
-    tagged = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tag"), "text")
     # spans are the small side and unique by key: no sort of the texts
-    both = tagged.join(found.hint("shuffle_hash"), ["doc_id", "tag"], "left").select("doc_id", "text", "spans")
+    both = docs.join(found.hint("shuffle_hash"), ["doc_id", "tag"], "left").select("doc_id", "text", "spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
