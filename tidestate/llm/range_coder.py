@@ -19,11 +19,14 @@ BLOCK = 1024
 LANES = 4096
 SLOTS2, SLOTS1, SLOTS0 = 1024, 512, 256
 SETTLED, LEAST = U(1 << 48), U(1 << 40)
-M1, M2 = 0x9E3779B1, 0x85EBCA77
+M1 = 0x9E3779B1
 #: Four 16-bit counts in one integer: a one in each; a block's counts stay below 2**16.
 ONES = U(0x0001000100010001)
 FIELD = U(0xFFFF)
 U1, U16, U32, U48 = U(1), U(16), U(32), U(48)
+NEXT = np.array([1, 2, 3, 3])
+#: Class by which predictions hold: bits 4, 2, 1 for orders 2, 1, 0.
+CLASS = np.array([3, 2, 1, 1, 0, 0, 0, 0])
 ADD = U1 << (U(16) * np.arange(4, dtype=U))
 
 
@@ -41,7 +44,7 @@ class Model:
         self.by_history, self.by_trust = np.zeros(lanes * 16, U), np.zeros(lanes * 16, U)
         lane = np.arange(lanes)
         self.history = lane * 16
-        self.last, self.before = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
+        self.last, self.before = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)  # hashes of the last two ids
         self.o2, self.o1, self.o0, self.ot = (lane * s for s in (SLOTS2, SLOTS1, SLOTS0, 16))
 
     def shrink(self, k: int) -> None:
@@ -51,10 +54,9 @@ class Model:
 
     def predict(self) -> None:
         """p2, p1, and the classes' frequencies f and their sums c, packed by fours."""
-        x = self.last * M1
+        x = self.last
         self.i1 = ((x >> 17) & (SLOTS1 - 1)) + self.o1
-        x += self.before
-        self.i2 = ((x >> 16) & (SLOTS2 - 1)) + self.o2
+        self.i2 = (((x + (self.before >> 5)) >> 16) & (SLOTS2 - 1)) + self.o2
         held = self.t2.take(self.i2)
         self.p2, self.p1 = held >> 2, self.t1.take(self.i1)
         self.trust = held & 3
@@ -71,18 +73,19 @@ class Model:
 
     def place(self, ids: np.ndarray) -> np.ndarray:
         """Place in the order-0 table."""
-        return ((ids * M1) >> 16) & (SLOTS0 - 1)
+        self.hashed = ids * M1
+        return (self.hashed >> 16) & (SLOTS0 - 1)
 
     def update(self, ids: np.ndarray, cls: np.ndarray, place: np.ndarray) -> None:
-        trust = np.minimum(self.trust + 1, 3) * (self.p2 == ids)
-        self.t2[self.i2] = (ids << 2) + trust
-        self.t1[self.i1] = ids
-        self.t0[place + self.o0] = ids
+        trust = NEXT.take(self.trust) * (cls == 0)
+        self.t2.put(self.i2, (ids << 2) + trust)
+        self.t1.put(self.i1, ids)
+        self.t0.put(place + self.o0, ids)
         one = ADD.take(cls)
         self.by_history[self.history] = self.a + one
         self.by_trust[self.it] = self.b + one
         self.history = (((self.history << 2) + cls) & 15) + self.ot
-        self.before, self.last = self.last * M2, ids
+        self.before, self.last = self.last, self.hashed
 
 
 def in_order(sizes: np.ndarray) -> tuple[np.ndarray, list[int]]:
@@ -129,17 +132,20 @@ def _encode(ids: np.ndarray, sizes: np.ndarray, bits: int) -> list[bytes]:
     low, rng = np.zeros(n, U), np.full(n, (1 << 64) - 1, U)
     width = 3 * int(sizes.max()) + 16
     words, pos = np.zeros(n * width, np.uint16), np.arange(n) * width
+    # ids by step and lane
+    grid = np.zeros((len(active), n), np.int64)
+    for i, j in enumerate(order.tolist()):
+        grid[: sizes[j], i] = ids[begin[i] : begin[i] + sizes[j]]
     was = n
     for t, k in enumerate(active):
         if k != was:
             m.shrink(k)
             was = k
-        x = ids.take(begin[:k] + t)
+        x = grid[t, :k]
         m.predict()
         place = m.place(x)
-        cls = 3 - (m.t0.take(place + m.o0) == x)
-        cls[x == m.p1] = 1
-        cls[x == m.p2] = 0
+        held = ((m.p2 == x).view(np.int8) << 2) | ((m.p1 == x).view(np.int8) << 1) | (m.t0.take(place + m.o0) == x).view(np.int8)
+        cls = CLASS.take(held)
         first, share = m.share(cls)
         piece = share << shifts.take(cls)
         which = np.where(cls == 3, x, place * (cls == 2)).view(U)
@@ -183,7 +189,7 @@ def _decode(codes: list[bytes], sizes: np.ndarray, bits: int) -> np.ndarray:
         code = (code << U16) | words[:, i].astype(U)
     words = words.ravel()
     pos = np.arange(n) * width + 4
-    out = np.zeros(int(sizes.sum()), np.int64)
+    grid = np.zeros((len(active), n), np.int64)
     was = n
     for t, k in enumerate(active):
         if k != was:
@@ -207,11 +213,14 @@ def _decode(codes: list[bytes], sizes: np.ndarray, bits: int) -> np.ndarray:
             w = w.view(np.int64)
             x[deep] = np.where(cls.take(deep) == 2, m.t0.take(m.o0.take(deep) + (w & (SLOTS0 - 1))), w)
         todo, settled = narrowed(low[:k], rng[:k], (first << unit) + which * piece, piece, r)
-        out[begin[:k] + t] = x
+        grid[t, :k] = x
         m.update(x, cls, m.place(x))
         while len(todo):
             at = pos.take(todo)
             code[todo] = (code.take(todo) << U16) | words.take(at).astype(U)
             pos[todo] = at + 1
             todo, settled = shifted(low, rng, todo, settled)
+    out = np.zeros(int(sizes.sum()), np.int64)
+    for i, j in enumerate(order.tolist()):
+        out[begin[i] : begin[i] + sizes[j]] = grid[: sizes[j], i]
     return out

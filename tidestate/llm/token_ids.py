@@ -17,6 +17,7 @@ as no rows. Other columns are ignored. A damaged block or index raises ValueErro
 
 from __future__ import annotations
 
+import json
 import struct
 import zlib
 from collections.abc import Iterator
@@ -35,6 +36,8 @@ HEAD = struct.Struct("<4s5I")
 SEGMENT = R.BLOCK * R.LANES
 #: Distinct pieces of words whose ids a worker remembers, and places for them.
 REMEMBERED = 1 << 20
+#: Segments up to which their offsets are broadcast.
+BROADCAST_SEGMENTS = 1_000_000
 #: Bytes of input files for each partition.
 PART_BYTES = 16 << 20
 SLOT_BITS = 21
@@ -42,6 +45,7 @@ SLOTS = 1 << SLOT_BITS
 #: Fixed values of the tokenizer: its start token, and how the last token of a run of letters ends.
 MARK = "<|startoftext|>"
 END = "</w>"
+SPLIT = json.dumps(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 #: 1: ASCII letters, 2: digits, 3: other ASCII but white space, apostrophe and controls.
 KINDS = np.zeros(256, np.int8)
 KINDS[33:127] = 3
@@ -62,7 +66,13 @@ class WordIds:
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
         self.tokenizer = Tokenizer.from_file(path)
+        #: whether the tokenizer is of the kind described; others are given whole texts
+        self.cuttable = SPLIT in json.dumps(spec["pre_tokenizer"]) and '"Lowercase"' in json.dumps(spec["normalizer"]) and spec["model"].get("end_of_word_suffix") == END
+        # the same model for words of lower-case ASCII letters, which the normalizer and the pattern leave as they are
+        self.bare = Tokenizer.from_str(json.dumps(spec | {"normalizer": None, "pre_tokenizer": {"type": "WhitespaceSplit"}, "added_tokens": []})) if self.cuttable else None
         self.mark = self.tokenizer.token_to_id(MARK)
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.vocabulary = max(vocabulary.values()) + 1
@@ -72,34 +82,34 @@ class WordIds:
         self.key, self.at, self.size = np.zeros(SLOTS, np.uint64), np.zeros(SLOTS, np.int32), np.zeros(SLOTS, np.int32)
         self.pool, self.remembered = np.zeros(0, np.int32), 0
 
-    def encode(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.int32)
+    def encode(self, text: str, bare: bool = False) -> np.ndarray:
+        return np.array((self.bare if bare else self.tokenizer).encode_batch_fast([text], add_special_tokens=False)[0].ids, np.int32)
 
     def fresh(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the given pieces, one after another, and how many each has."""
         raw, _ = K.gather(data, start, end, 10)
         words = raw.tobytes().decode().split("\n")[:-1]
-        plain = np.fromiter(map(str.isalpha, words), bool, len(words))
-        size = np.zeros(len(words), np.int64)
-        parts: dict[bool, np.ndarray] = {}
-        for kind in (True, False):
-            some = [w for w, k in zip(words, plain.tolist(), strict=True) if k == kind]
-            joined = " ".join(some) if kind else ""
-            ids = self.encode(joined)
+        kind = np.fromiter((0 if w.isascii() and w.isalpha() and w.islower() else 1 if w.isalpha() else 2 for w in words), np.int8, len(words))
+        size, parts = np.zeros(len(words), np.int64), []
+        for k in range(3):
+            some = [w for w, of in zip(words, kind.tolist(), strict=True) if of == k]
+            ids = self.encode(" ".join(some), bare=k == 0) if k < 2 else np.zeros(0, np.int32)
             last = np.flatnonzero(self.ends[ids])
-            if kind and len(last) == len(some):  # letters alone are one run, whose last token ends a word
-                size[plain] = np.diff(last, prepend=-1)
+            if k < 2 and len(last) == len(some):  # letters alone are one run, whose last token ends a word
+                n = np.diff(last, prepend=-1)
             elif self.mark is not None and not any("<|" in w for w in some):
                 ids = self.encode("".join(w + MARK for w in some))
                 last = np.flatnonzero(ids == self.mark)
-                ids, size[plain == kind] = np.delete(ids, last), np.diff(last, prepend=-1) - 1
+                ids, n = np.delete(ids, last), np.diff(last, prepend=-1) - 1
             else:
                 each = [self.encode(w) for w in some]
-                ids, size[plain == kind] = np.concatenate([np.zeros(0, np.int32), *each]), [len(x) for x in each]
-            parts[kind] = ids
-        of = np.repeat(plain, size)
+                ids, n = np.concatenate([np.zeros(0, np.int32), *each]), [len(x) for x in each]
+            size[kind == k] = n
+            parts.append(ids)
+        of = np.repeat(kind, size)
         ids = np.zeros(len(of), np.int32)
-        ids[of], ids[~of] = parts[True], parts[False]
+        for k, x in enumerate(parts):
+            ids[of == k] = x
         return ids, size
 
     def pieces(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -122,6 +132,10 @@ class WordIds:
 
     def __call__(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all rows, and where each row's begin (n + 1)."""
+        if not self.cuttable:
+            raw = data.tobytes()
+            each = [x.ids for x in self.tokenizer.encode_batch_fast([raw[a:b].decode() for a, b in zip(offsets[:-1], offsets[1:], strict=True)], add_special_tokens=False)]
+            return np.array([i for x in each for i in x], np.int32), np.concatenate([[0], np.cumsum([len(x) for x in each], dtype=np.int64)])
         data, start, end, row_at = self.pieces(data, offsets)
         h = K.range_hash(data, start, end) | np.uint64(1)  # never 0, the mark of a free place
         i, j = (h >> np.uint64(64 - SLOT_BITS)).view(np.int64), ((h >> np.uint64(20)) & np.uint64(SLOTS - 1)).view(np.int64)
@@ -193,8 +207,8 @@ def unpack(code: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
 
 def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, partitions: int | None = None) -> None:
     """Tokenizes docs (doc_id, text), appends end_id to each document, and writes segments in ascending doc_id order to path."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     n = partitions or pieces(docs, PART_BYTES, docs.sparkSession.sparkContext.defaultParallelism)
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -253,4 +267,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     parts = segments.groupBy("part").agg(F.sum("n_ids").alias("n")).select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before_part"))
     inside = F.sum("n_ids").over(Window.partitionBy("part").orderBy("seq")) - F.col("n_ids")
     before = segments.select("part", "seq", inside.alias("before_segment")).join(parts, "part").select("part", "seq", (F.col("before_part") + F.col("before_segment")).alias("before"))
+    # three numbers a segment of millions of ids; beyond the bound they are joined by a shuffle
+    if segments.limit(BROADCAST_SEGMENTS + 1).count() <= BROADCAST_SEGMENTS:
+        before = F.broadcast(before)
     return docs.join(before, ["part", "seq"]).select("doc_id", (F.col("before") + F.col("inside")).alias("start"), "n_tokens", "ids")
