@@ -45,8 +45,12 @@ def stored(df: DataFrame, what: str) -> DataFrame:
 
 
 def bytes_of(df: DataFrame) -> int:
-    """The optimizer's estimate of df's size, from file sizes."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    """The optimizer's estimate of df's size, from file sizes; where it knows none, the bytes of its strings, counted."""
+    known = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    if known < 1 << 56:
+        return known
+    total = sum((F.coalesce(F.octet_length(c), F.lit(0)) for c, t in df.dtypes if t == "string"), F.lit(16))
+    return int(df.select(total.alias("n")).agg(F.sum("n")).first()[0] or 0)
 
 
 def pieces(df: DataFrame, each: int, least: int = 1) -> int:

@@ -69,12 +69,13 @@ def targets(sources: DataFrame, most: int = MOST) -> DataFrame:
 def newton(groups: DataFrame, goal: DataFrame, most: int = MOST) -> DataFrame:
     """goal (source, source_size, target) with rate = exp(multiplier), by Newton steps on the dual.
 
-    groups: source, size, n. The dual of a source is sum(n * size * exp(l)) - l * target.
+    groups: source, size, n. The dual of a source is sum(n * size * exp(l)) - l * target. Whole numbers are
+    summed before they are tilted, so that reruns agree to the last bit.
     """
     state = stored(goal.withColumn("l", F.lit(0.0)), "mix-dual")
     for _ in range(STEPS):
         s, g = state.alias("s"), groups.alias("g")
-        tilted = s.join(g, F.expr("s.source <=> g.source"), "left").groupBy("s.source", "s.source_size", "s.weight", "s.target", "s.l").agg(F.sum(F.col("g.n") * F.col("g.size") * F.exp("s.l")).alias("tokens"))
+        tilted = s.join(g, F.expr("s.source <=> g.source"), "left").groupBy("s.source", "s.source_size", "s.weight", "s.target", "s.l").agg((F.exp("s.l") * F.sum(F.col("g.n") * F.col("g.size"))).alias("tokens"))
         gradient = F.col("tokens") - F.col("target")
         # the curvature of exp is its value; a step is held to 2, and sources without tokens or target stay
         step = F.when((F.col("tokens") > 0) & (F.col("target") > 0), F.greatest(F.lit(-2.0), F.least(F.lit(2.0), gradient / F.col("tokens")))).otherwise(0.0)

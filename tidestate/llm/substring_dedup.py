@@ -53,11 +53,10 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
 
 def segments(w: K.Words, window: int, anchor: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """First word, end word, anchor hash and content hash of each segment of w's rows."""
-    h = w.hashes()
-    none = np.zeros(0, np.int64)
-    if len(h) < window:
+    h, starts = w.hashes(), K.window_starts(w.row_at, window)
+    if not len(starts):
+        none = np.zeros(0, np.int64)
         return none, none, none.view(np.uint64), none.view(np.uint64)
-    starts = K.window_starts(w.row_at, window)
     least = sliding_min(K.window_hash(h, anchor), window - anchor + 1)[starts]
     new = np.ones(len(starts), bool)
     new[1:] = (starts[1:] != starts[:-1] + 1) | (least[1:] != least[:-1])
