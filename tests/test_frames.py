@@ -103,3 +103,18 @@ def test_particle_stream(spark, tmp_path):
     _, got = streamed(spark, tmp_path, lambda s: online.bootstrap(s, models.random_walk(1.0, 1.0), 300), "particle_stream")
     last = got.sort_values("ts").groupby("series_id").tail(1)
     assert len(got) == 24 and (np.abs(last["mean"] - last["series_id"] - 11) < 1.5).all()
+
+
+def test_blocks_equal_the_whole_series(spark):
+    from tidestate.plans import blocks
+
+    rows = [(k, t, None if (t + k) % 5 == 0 else float(t % 7 + k)) for k in (1, 2) for t in range(40)] + [(3, 0, None)]
+    df = spark.createDataFrame(rows, "k long, at int, v double")
+    a = folds.scan(folds.series(df, "k", ["at"], "v"), {"m": 2.0, "p": 3.0, "ll": 0.0}, folds.kalman_1d(0.9, 0.5, 1.2, 2.0)).toPandas()
+    b = blocks.kalman_blocks(df, "k", ["at"], "v", F.floor(F.col("at") / 6), 0.9, 0.5, 1.2, 2.0, 2.0, 3.0).toPandas()
+    k = ["series_id", "t"]
+    a, b = a.sort_values(k), b.sort_values(k)
+    assert len(a) == len(b) == len(rows)
+    for c in ("m", "p", "ll"):
+        assert np.allclose(a[c], b[c])
+    assert blocks.kalman_blocks(df.limit(0), "k", ["at"], "v", F.col("at")).count() == 0

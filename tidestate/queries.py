@@ -18,7 +18,8 @@ from . import models
 from .functions import linalg
 from .functions.rand import normal, normal_sql, uniform_sql
 from .operators import estimation
-from .plans import folds, particle_frames as pf, series
+from .plans import blocks, folds, series
+from .plans import particle_frames as pf
 from .sources import simulate, tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -83,6 +84,12 @@ def kf_filter(spark: SparkSession, d: str) -> DataFrame:
     return rounded(folds.scan(event_series(spark, d), INIT, folds.kalman_1d()))
 
 
+@query(f"{KF_SQL} {ROWS}")
+def kf_blocks(spark: SparkSession, d: str) -> DataFrame:
+    """The same states parallel in time: series are cut into blocks by month, so no task holds a whole series."""
+    return rounded(blocks.kalman_blocks(read(spark, d, "events"), "user_id", ["ts", "event_id"], "value", F.date_trunc("month", "ts")))
+
+
 @query(f"{KF_SQL} {LAST}")
 def kf_final(spark: SparkSession, d: str) -> DataFrame:
     return rounded(folds.last(event_series(spark, d), INIT, folds.kalman_1d()))
