@@ -51,6 +51,15 @@ def scan(df: DataFrame, init: dict[str, float], step: Callable[[Column, Column],
     return states.select("series_id", F.posexplode(F.arrays_zip("ys", "states")).alias("i", "z")).select("series_id", (F.col("i") + 1).alias("t"), F.col("z.ys").alias("y"), *[F.col(f"z.states.{f}").alias(f) for f in fields])
 
 
+def time_varying(df: DataFrame, params: DataFrame, key: str, order: Sequence[str], value: str, init: dict[str, float], make: Callable[..., Callable[[Column, Column], Column]], names: Sequence[str]) -> DataFrame:
+    """As scan, with a model of its own for each row: params (key, *order, *names) are joined on key and order, and make(**names) gives the row's step."""
+    rows = df.join(params, [key, *order])
+    item = F.struct(*order, F.col(value).cast("double").alias("y"), *[F.col(n).cast("double").alias(n) for n in names])
+    s = rows.groupBy(F.col(key).alias("series_id")).agg(F.array_sort(F.collect_list(item)).alias("ys"))
+    out = scan(s, init, lambda state, x: make(**{n: x[n] for n in names})(state, x["y"]))
+    return out.withColumn("y", F.col("y.y"))
+
+
 def last(df: DataFrame, init: dict[str, float], step: Callable[[Column, Column], Column]) -> DataFrame:
     """series_id, n and the state's fields after the last observation: a fold that keeps no history."""
     kind = "struct<" + ",".join(f"{f}:double" for f in init) + ">"

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import models
-from .functions import linalg
+from .functions import columns, linalg
 from .functions.rand import normal, normal_sql, uniform_sql
 from .operators import estimation
 from .plans import blocks, folds, series
@@ -265,10 +265,7 @@ def sensor_clean(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT event_id, user_id, value FROM events WHERE value IS NOT NULL")
 def csv_round_trip(spark: SparkSession, d: str) -> DataFrame:
     """Written as CSV to the shared folder and read back with its schema."""
-    from uuid import uuid4
-
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or "/tmp/tidestate-shared"
-    path = f"{folder.rstrip('/')}/csv-{uuid4().hex}"
+    path = tables.shared_path(spark, "csv")
     tables.write_csv(read(spark, d, "events").select("event_id", "user_id", "value").na.drop(), path)
     return tables.read_csv(spark, path, "event_id long, user_id long, value double")
 
@@ -539,3 +536,126 @@ def gradient_ascent(spark: SparkSession, d: str) -> DataFrame:
         return pd.DataFrame({"series_id": [key[0]], "log_q": [x[0]], "log_r": [x[1]], "first": [seen[0]], "last": [seen[-1]]})
 
     return event_rows(spark, d).groupBy("series_id").applyInPandas(run, "series_id long, log_q double, log_r double, first double, last double")
+
+
+# likelihoods, lookups and small functions with an SQL form
+
+
+@query(
+    f"""WITH RECURSIVE {S}, o AS (SELECT *, 0.1 * t AS q, 1 + t % 5 AS r FROM s),
+k(series_id, t, y, m, p, ll) AS (SELECT DISTINCT series_id, 0, CAST(NULL AS DOUBLE), CAST(0 AS DOUBLE), CAST(1 AS DOUBLE), CAST(0 AS DOUBLE) FROM s
+  UNION ALL SELECT series_id, t, y, m + (pp / sv) * e, pp - pp * pp / sv, ll + {LOG} FROM (SELECT *, pp + r AS sv, y - m AS e FROM (
+    SELECT o.series_id, o.t, o.y, k.m, k.p + o.q AS pp, o.r, k.ll FROM k JOIN o ON o.series_id = k.series_id AND o.t = k.t + 1))) {ROWS}"""
+)
+def kf_time_varying(spark: SparkSession, d: str) -> DataFrame:
+    """Noises of each step's own, looked up by series and step."""
+    obs = event_rows(spark, d).select("series_id", "t", F.col("ys")[0].alias("y"))
+    params = obs.select("series_id", "t", (F.lit(0.1) * F.col("t")).alias("q"), (1 + F.col("t") % 5).alias("r"))
+    return rounded(folds.time_varying(obs, params, "series_id", ["t"], "y", INIT, lambda q, r: folds.kalman_1d(q=q, r=r), ["q", "r"]))
+
+
+_P = np.linalg.inv([[9.0, 3.0], [3.0, 4.0]])
+
+
+@query(f"SELECT l_orderkey, l_linenumber, round(exp(-0.5 * ({_P[0, 0]!r} * a * a + 2 * {_P[0, 1]!r} * a * b + {_P[1, 1]!r} * b * b)) / (2 * pi() * sqrt(27.0)), 9) AS pdf FROM (SELECT l_orderkey, l_linenumber, l_quantity / 10 - 2 AS a, l_discount * 100 - 5 AS b FROM lineitem)".replace("np.float64(", "("))
+def mvn_density(spark: SparkSession, d: str) -> DataFrame:
+    rows = read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_quantity") / 10).alias("a"), (F.col("l_discount") * 100).alias("b"))
+    return rows.select("l_orderkey", "l_linenumber", F.round(columns.mvn_pdf([F.col("a"), F.col("b")], [2.0, 5.0], [[9.0, 3.0], [3.0, 4.0]]), 9).alias("pdf"))
+
+
+@query("SELECT round(sqrt(2 * pi()), 9) AS integral")
+def cubature_gauss(spark: SparkSession, d: str) -> DataFrame:
+    """The integral of exp(-x**2 / 2) over [-100, 100]."""
+    nodes = columns.cubature(spark, [-100.0], [100.0], 16, 64)
+    return nodes.agg(F.round(F.sum(F.col("w") * F.exp(-F.col("x")[0] * F.col("x")[0] / 2)), 9).alias("integral"))
+
+
+@query("SELECT event_id, round(exp(-0.5 * (value - 50) * (value - 50) / 401.0) / sqrt(2 * pi() * 401.0), 9) AS likelihood FROM events")
+def marginal_likelihood(spark: SparkSession, d: str) -> DataFrame:
+    """p(y | previous state 50) with Q = 1 and R = 400: the one-step density integrated over the state by cubature rows."""
+    nodes = columns.cubature(spark, [40.0], [60.0], 16, 2)
+    x = F.col("x")[0]
+    weights = nodes.select(x.alias("x"), (F.col("w") * columns.normal_pdf(x, 50.0, 1.0)).alias("w"))
+    # 32 nodes: a literal array, folded for each row
+    grid = F.array(*[F.struct(F.lit(r.x).alias("x"), F.lit(r.w).alias("w")) for r in weights.collect()])
+    total = F.aggregate(grid, F.lit(0.0), lambda acc, n: acc + n["w"] * columns.normal_pdf(F.col("value"), n["x"], 400.0))
+    return read(spark, d, "events").select("event_id", F.round(total, 9).alias("likelihood"))
+
+
+@query(f"{KF_SQL} SELECT series_id, t, round(m, 6) AS m, round(lag(m) OVER w, 6) AS before, round(lead(m) OVER w, 6) AS after, round(sum(y) OVER (PARTITION BY series_id ORDER BY t ROWS BETWEEN 4 PRECEDING AND CURRENT ROW), 6) AS block FROM k WHERE t > 0 WINDOW w AS (PARTITION BY series_id ORDER BY t)")
+def neighbours_and_lag_block(spark: SparkSession, d: str) -> DataFrame:
+    """Previous and next state, and the sum of a fixed lag of five observations."""
+    w = Window.partitionBy("series_id").orderBy("t")
+    f = folds.scan(event_series(spark, d), INIT, folds.kalman_1d())
+    return rounded(f.select("series_id", "t", "m", F.lag("m").over(w).alias("before"), F.lead("m").over(w).alias("after"), F.sum("y").over(w.rowsBetween(-4, 0)).alias("block")))
+
+
+@query(f"WITH {LW} SELECT series_id, round(var_samp(x), 6) AS sample_var, round(var_samp(wt * x), 9) AS compat_var, round(max_by(x, pid), 6) AS last_x, round(ln(sum(exp(log_w))) - ln(count(*)), 6) AS log_mean FROM n GROUP BY series_id")
+def cloud_statistics(spark: SparkSession, d: str) -> DataFrame:
+    """Unweighted sample variance, the variance of weight-scaled particles, the last particle, the log mean weight."""
+    c = cloud(spark, d)
+    return c.groupBy("series_id").agg(F.round(F.var_samp("x"), 6).alias("sample_var"), F.round(columns.compat_covariance(F.col("w"), F.col("x")), 9).alias("compat_var"), F.round(F.max_by("x", "pid"), 6).alias("last_x"), F.round(F.log(F.sum(F.exp("log_w"))) - F.log(F.count("*")), 6).alias("log_mean"))
+
+
+@query(f"SELECT user_id, event_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY {uniform_sql(chr(39) + 'shuffle' + chr(39), 'event_id')}) AS INTEGER) AS place FROM events")
+def shuffled_order(spark: SparkSession, d: str) -> DataFrame:
+    w = Window.partitionBy("user_id").orderBy(columns.shuffled(F.col("event_id")))
+    return read(spark, d, "events").select("user_id", "event_id", F.row_number().over(w).alias("place"))
+
+
+@query(f"{sql_1d('k.m', 'k.p + 0.1', '1.0', 'mp')}, g AS (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY t DESC) AS b FROM k WHERE t > 0) SELECT series_id, round(m, 6) AS last_mean, round(1.96 * sqrt(p), 6) AS width FROM g WHERE b = 1")
+def last_state(spark: SparkSession, d: str) -> DataFrame:
+    """The newest mean of each series with the half width of its ribbon."""
+    f = tables.tidy(series.gaussian_filter(event_rows(spark, d), models.random_walk()))
+    return rounded(f.groupBy("series_id").agg(F.max_by("value", "t").alias("last_mean"), F.max_by((F.col("hi") - F.col("lo")) / 2, "t").alias("width")))
+
+
+@query(f"{KF_SQL}, st AS (SELECT user_id AS series_id, ts, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS INTEGER) AS t FROM events) SELECT series_id, CAST(epoch_us(ts) AS BIGINT) AS at, round(m, 6) AS mean, round(p, 6) AS var FROM k JOIN st USING (series_id, t)")
+def stream_kalman(spark: SparkSession, d: str) -> DataFrame:
+    """The online filter over events as a stream (all that is there, then it stops), through a file sink."""
+    from .sources.tables import shared_path
+    from .streaming import online
+
+    static = read(spark, d, "events")
+    rows = spark.readStream.schema(static.schema).option("pathGlobFilter", "events.parquet").parquet(d).select(F.col("user_id").alias("series_id"), F.col("ts").cast("timestamp").alias("ts"), F.col("value").alias("y"))
+    out, mark = shared_path(spark, "stream-out"), shared_path(spark, "stream-mark")
+    online.kalman(rows, models.random_walk()).writeStream.format("parquet").option("path", out).option("checkpointLocation", mark).trigger(availableNow=True).start().awaitTermination()
+    got = spark.read.schema(online.OUT).parquet(out)
+    return rounded(got.select("series_id", F.unix_micros("ts").alias("at"), "mean", "var"))
+
+
+@query()
+def quasi_normals(spark: SparkSession, d: str) -> DataFrame:
+    """Normals from lattice points, a lattice a user."""
+    import pandas as pd
+
+    from .functions.rand import quasi_normals, stream
+
+    def run(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
+        z = quasi_normals(len(g), 2, rng=stream("qmc", int(key[0])))
+        return pd.DataFrame({"series_id": key[0], "i": np.arange(len(g)), "z1": z[:, 0], "z2": z[:, 1]})
+
+    return event_rows(spark, d).groupBy("series_id").applyInPandas(run, "series_id long, i int, z1 double, z2 double")
+
+
+@query()
+def series_extended_general(spark: SparkSession, d: str) -> DataFrame:
+    """The extended filter for general noise, f(x, e) and g(x, e), linearised by differences (tests hold it against the additive one)."""
+    import pandas as pd
+
+    from .operators import gaussian
+
+    def run(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
+        t, ys = series.matrix(g)
+        m, p, out = np.zeros(1), np.eye(1), []
+        for y in ys:
+            m, p = gaussian.extended_predict_general(m, p, lambda x, e: x + e, 0.1 * np.eye(1))
+            ll = 0.0
+            if not np.isnan(y).any():
+                u = gaussian.extended_update_general(m, p, y, lambda x, e: x + e, 4 * np.eye(1))
+                m, p, ll = u.mean, u.cov, u.loglik
+            out.append((m[0], p[0, 0], ll))
+        a = np.array(out)
+        return pd.DataFrame({"series_id": key[0], "t": t, "m": a[:, 0], "p": a[:, 1], "loglik": a[:, 2]})
+
+    return _near(event_rows(spark, d).groupBy("series_id").applyInPandas(run, "series_id long, t int, m double, p double, loglik double"))

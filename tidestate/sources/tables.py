@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
+from uuid import uuid4
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def shared_path(spark: SparkSession, what: str) -> str:
+    """A new path in the folder of spark.checkpoint.dir, or below /tmp where none is set."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or "/tmp/tidestate-shared"
+    return f"{folder.rstrip('/')}/{what}-{uuid4().hex}"
+
+
 def read_csv(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
     """A CSV file with a header. Types are inferred (a pass of its own) only without a schema."""
     reader = spark.read.option("header", True)
