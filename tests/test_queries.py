@@ -1,7 +1,7 @@
 """Every query that SQL can express against DuckDB; the others run and keep their schema."""
 
 import pytest
-from conftest import SF, as_sorted
+from tests.conftest import SF, as_sorted
 
 import __spark_entry__
 from tidestate import queries
