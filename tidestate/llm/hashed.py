@@ -79,37 +79,42 @@ def sparse_rows(column: pa.Array, grams: Grams, counts: bool = True) -> Iterator
             yield i[at[j] : at[j + 1]].tobytes(), s[at[j] : at[j + 1]].tobytes()
 
 
-@dataclass
 class Rows:
-    """Sparse rows: features at[i]:at[i+1] belong to row i."""
-
-    at: np.ndarray
-    index: np.ndarray
-    value: np.ndarray
-
-    @classmethod
-    def of(cls, pairs: list[tuple[bytes, bytes]]) -> Rows:
-        index = [np.frombuffer(i, np.int32) for i, _ in pairs]
-        value = [np.frombuffer(v, np.float32) for _, v in pairs]
-        at = np.concatenate([[0], np.cumsum([len(i) for i in index])]).astype(np.int64)
-        return cls(at, np.concatenate(index or [np.zeros(0, np.int32)]), np.concatenate(value or [np.zeros(0, np.float32)]))
+    """Sparse rows, in blocks of some hundred thousand features so that no product needs a large temporary."""
+
+    BLOCK = 400_000
+
+    def __init__(self, pairs: list[tuple[bytes, bytes]]) -> None:
+        """pairs: indices (int32) and values (float32) of each row."""
+        self.blocks: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        held, size = [], 0
+        for n, pair in enumerate(pairs):
+            held.append(pair)
+            size += len(pair[0]) // 4
+            if size >= self.BLOCK or n == len(pairs) - 1:
+                at = np.cumsum([0, *(len(i) // 4 for i, _ in held)])
+                self.blocks.append((at, np.frombuffer(b"".join(i for i, _ in held), np.int32), np.frombuffer(b"".join(v for _, v in held), np.float32)))
+                held, size = [], 0
 
     def __len__(self) -> int:
-        return len(self.at) - 1
+        return sum(len(at) - 1 for at, _, _ in self.blocks)
 
     def dot(self, w: np.ndarray) -> np.ndarray:
-        total = np.concatenate([[0.0], np.cumsum(w[self.index] * self.value)])
-        return total[self.at[1:]] - total[self.at[:-1]]
+        out = []
+        for at, index, value in self.blocks:
+            total = np.zeros(len(index) + 1)
+            np.cumsum(w[index] * value, out=total[1:])
+            out.append(total[at[1:]] - total[at[:-1]])
+        return np.concatenate(out) if out else np.zeros(0)
 
     def back(self, g: np.ndarray, dims: int) -> np.ndarray:
         """The transposed product."""
-        return np.bincount(self.index, np.repeat(g, np.diff(self.at)) * self.value, dims)
-
-    def take(self, rows: np.ndarray) -> Rows:
-        size = np.diff(self.at)[rows]
-        at = np.concatenate([[0], np.cumsum(size)]).astype(np.int64)
-        pick = np.repeat(self.at[rows] - at[:-1], size) + np.arange(at[-1])
-        return Rows(at, self.index[pick], self.value[pick])
+        out, done = np.zeros(dims), 0
+        for at, index, value in self.blocks:
+            n = len(at) - 1
+            out += np.bincount(index, np.repeat(g[done : done + n], np.diff(at)) * value, dims)
+            done += n
+        return out
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:

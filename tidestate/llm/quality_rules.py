@@ -83,9 +83,9 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, l2: float = 1e
     y = np.array([r.quality for r in got], float)
     if len(set(y)) < 2:
         return None
-    x = Rows.of([(r.i, r.v) for r in got])
     aside = np.arange(len(y)) % 5 == 4
-    a, b = x.take(np.flatnonzero(~aside)), x.take(np.flatnonzero(aside))
+    a, b = (Rows([(r.i, r.v) for r, s in zip(got, aside, strict=True) if s == kind]) for kind in (False, True))
+    del got
     # AdaGrad on the whole of the fitting rows
     w, g2, bias, b2 = np.zeros(GRAMS.dims), np.full(GRAMS.dims, 1e-12), 0.0, 1e-12
     for _ in range(rounds):
