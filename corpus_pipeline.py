@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidestate.llm import decontaminate, mixing, near_dedup, quality_rules, token_ids
-from tidestate.llm.common import DIGEST_TOKENIZER, TOKENIZERS, read, scratch, stored
+from tidestate.llm.common import read, scratch, stored, tokenizer_path
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -46,7 +46,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, start, n_tokens and ids_crc32 of each row, read back from the token files."""
     path = scratch(spark, "pipeline-ids")
-    token_ids.write(docs, path, f"{TOKENIZERS}/{DIGEST_TOKENIZER}")
+    token_ids.write(docs, path, tokenizer_path())
     return token_ids.read(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 

@@ -8,9 +8,9 @@ from hypothesis import strategies as st
 
 from tidestate.llm import kernels as K
 from tidestate.llm import range_coder, token_ids
-from tidestate.llm.common import DIGEST_TOKENIZER, TOKENIZERS, scratch
+from tidestate.llm.common import scratch, tokenizer_path
 
-PATH = f"{TOKENIZERS}/{DIGEST_TOKENIZER}"
+PATH = tokenizer_path()
 
 
 @settings(max_examples=40, deadline=None)

@@ -11,11 +11,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Files of public tokenizers; a parameter everywhere.
-TOKENIZERS = "/opt/tokenizers"
+#: The tokenizer that the queries take; operators are given a path.
 DIGEST_TOKENIZER = "word_bpe_49k.json"
 
 
+def tokenizer_path(name: str = DIGEST_TOKENIZER) -> str:
+    """Where the named file of a public tokenizer is."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 

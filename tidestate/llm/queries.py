@@ -8,12 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontaminate, html_extract, language_id, mixing, near_dedup, quality_classifier, quality_rules, secrets, substring_dedup, token_ids
-from .common import DIGEST_TOKENIZER, TOKENIZERS, read, scratch
+from .common import read, scratch, tokenizer_path
 
 
 def op1_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch(spark, "token-ids")
-    token_ids.write(read(spark, sf_dir, "documents"), path, f"{TOKENIZERS}/{DIGEST_TOKENIZER}")
+    token_ids.write(read(spark, sf_dir, "documents"), path, tokenizer_path())
     return token_ids.read(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
