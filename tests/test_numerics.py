@@ -243,3 +243,24 @@ def test_validation():
 def test_lorenz_converges():
     x = np.array([[1.0, 0, 0]])
     assert np.allclose(models.lorenz_step(x, 0.05, 10), models.lorenz_step(x, 0.05, 100), atol=1e-6)
+
+
+@pytest.mark.parametrize("name, method", [("constant_velocity", "kalman"), ("pendulum", "extended"), ("pendulum", "unscented"), ("lorenz", "unscented"), ("constant_velocity", "var3d"), ("sine_growth", "extended")])
+def test_batches_equal_single_series(name, method):
+    from tidestate.operators import batch
+
+    m = models.EXAMPLES[name]()
+    ys = np.full((3, 20, len(m.R)), np.nan)
+    for s, n in enumerate((20, 7, 1)):
+        ys[s, :n] = simulated(m, n, s)[1]
+    ys[0, 4] = np.nan
+    means, covs, ll = batch.run(m, ys, method)
+    for s, n in enumerate((20, 7, 1)):
+        for a, b in zip(gaussian.run(m, ys[s, :n], method), (means[s, :n], covs[s, :n], ll[s, :n]), strict=True):
+            assert np.allclose(a, b, atol=1e-6)
+    if method != "var3d":
+        ms, ps = batch.smooth(m, means, covs, np.array([20, 7, 1]), method)
+        f, p = means[1, :7], covs[1, :7]
+        one = smoothing.rts(f, p, m.df(None, {}), m.Q) if method == "kalman" else smoothing.extended_rts(f, p, lambda x: m.step(x)[0], m.Q, lambda x: m.df(x, {})) if method == "extended" else smoothing.unscented_rts(f, p, m.step, m.Q)
+        assert np.allclose(one[0], ms[1, :7], atol=1e-6) and np.allclose(one[1], ps[1, :7], atol=1e-6)
+        assert np.allclose(ms[2, 0], means[2, 0])

@@ -61,17 +61,25 @@ def unscented_rts(m: Array, p: Array, psi: Callable, q: Array, ut: Unscented = U
     return _backward(m, p, ahead)
 
 
+def _drawn(log_w: Array, rng: np.random.Generator) -> Array:
+    """An index from each row of log weights (draws, n), by inverse sums."""
+    w = np.exp(log_w - log_w.max(1, keepdims=True)).cumsum(1)
+    return (w < (rng.random(len(w)) * w[:, -1])[:, None]).sum(1).clip(max=w.shape[1] - 1)
+
+
+def _ahead(out: Array, ahead: Array, log_w: Array, cov: Array) -> Array:
+    """Log backward weights (draws, n): of the particles whose predictions are `ahead` given the drawn next states `out`."""
+    z = np.linalg.solve(np.linalg.cholesky(cov), (out[:, None] - ahead[None]).reshape(-1, out.shape[1]).T)
+    return log_w - 0.5 * (z * z).sum(0).reshape(len(out), len(ahead))
+
+
 def backward_simulation(x: Array, w: Array, draws: int, psi: Callable, q: Array, rng: np.random.Generator) -> Array:
-    """Trajectories (draws, T, d) from filtering particles x (T, n, d) and weights w (T, n)."""
+    """Trajectories (draws, T, d) from filtering particles x (T, n, d) and weights w (T, n); all draws at once."""
     steps, n, d = x.shape
     out = np.empty((draws, steps, d))
     out[:, -1] = x[-1, rng.choice(n, draws, p=w[-1] / w[-1].sum())]
     for t in range(steps - 2, -1, -1):
-        ahead, cov = psi(x[t]), _at(q, t)
-        log_w = np.log(np.maximum(w[t], 1e-300))
-        for s in range(draws):
-            back, _ = normalise(log_w + mvn_logpdf(np.broadcast_to(out[s, t + 1], ahead.shape), ahead, cov))
-            out[s, t] = x[t, rng.choice(n, p=back)]
+        out[:, t] = x[t, _drawn(_ahead(out[:, t + 1], psi(x[t]), np.log(np.maximum(w[t], 1e-300)), _at(q, t)), rng)]
     return out
 
 
@@ -92,10 +100,8 @@ def rejection_backward_simulation(x: Array, w: Array, draws: int, psi: Callable,
             ok = np.log(rng.random(len(pending))) + bound <= mvn_logpdf(out[pending, t + 1] - ahead[pick], 0.0, cov)
             out[pending[ok], t] = x[t, pick[ok]]
             pending = pending[~ok]
-        log_w = np.log(np.maximum(p, 1e-300))
-        for s in pending:
-            back, _ = normalise(log_w + mvn_logpdf(np.broadcast_to(out[s, t + 1], ahead.shape), ahead, cov))
-            out[s, t] = x[t, rng.choice(n, p=back)]
+        if len(pending):
+            out[pending, t] = x[t, _drawn(_ahead(out[pending, t + 1], ahead, np.log(np.maximum(p, 1e-300)), cov), rng)]
     return out
 
 

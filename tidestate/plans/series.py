@@ -1,13 +1,12 @@
 """Filters, smoothers and estimators run by numpy, one task a series (or a series and a chain).
 
 A frame of observations has series_id, t and ys (array of doubles; null: no observation). The rows of one series
-meet in one task and are sorted there; series are independent. What a task holds is one series, whose steps are
-sequential by nature. Random filters draw from a stream keyed by series and seed, so a retried task draws the same.
+meet in one task and are sorted there; series are independent, and Gaussian filters take those of a task in step. Random filters draw from a stream keyed by series and seed, so a retried task draws the same.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -16,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.rand import stream
 from ..models import GeneralModel, Model
-from ..operators import gaussian, particles, smoothing
+from ..operators import batch, particles, smoothing
 
 FILTERED = "series_id long, t int, mean array<double>, cov array<array<double>>, loglik double"
 SMOOTHED = "series_id long, t int, mean array<double>, cov array<array<double>>"
@@ -46,29 +45,74 @@ def _frame(key: int, t: np.ndarray, means: np.ndarray, covs: np.ndarray, ll: np.
     return pd.DataFrame(out if ll is None else out | {"loglik": ll})
 
 
+#: Observations that are padded and filtered in step; a longer series stands alone.
+TOGETHER = 200_000
+#: Bytes of observations that a group of series takes about.
+BATCH_BYTES = 32 << 20
+
+
+def _padded(group: pd.DataFrame) -> Iterator[tuple[np.ndarray, list[np.ndarray], np.ndarray, np.ndarray]]:
+    """Series of a group, of like lengths together: ids, the times of each, lengths, observations (S, T, dy)."""
+    group = group.sort_values(["series_id", "t"], kind="stable")
+    ids, first, n = np.unique(group["series_id"].to_numpy(), return_index=True, return_counts=True)
+    t, raw = group["t"].to_numpy(), group["ys"].to_numpy()
+    width = max((len(v) for v in raw if v is not None), default=1)
+    flat = np.full((len(raw), width), np.nan)
+    for i, v in enumerate(raw):
+        if v is not None and not any(x is None or x != x for x in v):
+            flat[i] = v
+    order, a = np.argsort(n, kind="stable"), 0
+    while a < len(ids):
+        b = a + 1
+        while b < len(ids) and (b + 1 - a) * n[order[b]] <= TOGETHER:
+            b += 1
+        pick = order[a:b]
+        ys = np.full((len(pick), n[pick[-1]], width), np.nan)
+        for j, k in enumerate(pick):
+            ys[j, : n[k]] = flat[first[k] : first[k] + n[k]]
+        yield ids[pick], [t[first[k] : first[k] + n[k]] for k in pick], n[pick], ys
+        a = b
+
+
+def _rows(ids: np.ndarray, times: list[np.ndarray], n: np.ndarray, **values: np.ndarray) -> pd.DataFrame:
+    """A row a step, without the padding; matrices become lists of rows."""
+    live = np.arange(n.max())[None] < n[:, None]
+    out = {"series_id": np.repeat(ids, n), "t": np.concatenate(times)}
+    for k, v in values.items():
+        v = v[live]
+        out[k] = v if v.ndim == 1 else v.tolist()
+    return pd.DataFrame(out)
+
+
+def _in_batches(obs: DataFrame, run: Callable, schema: str) -> DataFrame:
+    """run over groups of whole series: as many groups as shuffle partitions, or more where these would hold much; each is filtered in step."""
+    size = int(obs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())  # an estimate from file sizes; absurdly large if unknown
+    parts = max(int(obs.sparkSession.conf.get("spark.sql.shuffle.partitions")), obs.sparkSession.sparkContext.defaultParallelism, size // BATCH_BYTES if size < 1 << 56 else 0)
+    grouped = obs.withColumn("batch", F.pmod(F.xxhash64("series_id"), F.lit(parts)))
+
+    def each(group: pd.DataFrame) -> pd.DataFrame:
+        return pd.concat([run(*x) for x in _padded(group)], ignore_index=True)
+
+    return grouped.groupBy("batch").applyInPandas(each, schema)
+
+
 def gaussian_filter(obs: DataFrame, model: Model, method: str = "kalman", joseph: bool = False) -> DataFrame:
-    def run(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
-        t, ys = matrix(g)
-        return _frame(key[0], t, *gaussian.run(model, ys, method, joseph=joseph))
+    def run(ids: np.ndarray, times: list[np.ndarray], n: np.ndarray, ys: np.ndarray) -> pd.DataFrame:
+        m, p, ll = batch.run(model, ys, method, joseph)
+        return _rows(ids, times, n, mean=m, cov=p, loglik=ll)
 
-    return obs.groupBy("series_id").applyInPandas(run, FILTERED)
+    return _in_batches(obs, run, FILTERED)
 
 
 def gaussian_smoother(obs: DataFrame, model: Model, method: str = "kalman") -> DataFrame:
     """Filters and smooths each series. methods: kalman, extended, unscented."""
 
-    def run(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
-        t, ys = matrix(g)
-        m, p, _ = gaussian.run(model, ys, method)
-        if method == "kalman":
-            m, p, _ = smoothing.rts(m, p, model.df(m[0], model.theta), model.Q)
-        elif method == "extended":
-            m, p, _ = smoothing.extended_rts(m, p, lambda x: model.step(x)[0], model.Q, (lambda x: model.df(x, model.theta)) if model.df else None)
-        else:
-            m, p, _ = smoothing.unscented_rts(m, p, model.step, model.Q)
-        return _frame(key[0], t, m, p)
+    def run(ids: np.ndarray, times: list[np.ndarray], n: np.ndarray, ys: np.ndarray) -> pd.DataFrame:
+        m, p, _ = batch.run(model, ys, method)
+        m, p = batch.smooth(model, m, p, n, method)
+        return _rows(ids, times, n, mean=m, cov=p)
 
-    return obs.groupBy("series_id").applyInPandas(run, SMOOTHED)
+    return _in_batches(obs, run, SMOOTHED)
 
 
 def particle_filter(obs: DataFrame, model: Model | GeneralModel, method: str = "bootstrap", n: int = 200, seed: int = 0) -> DataFrame:
