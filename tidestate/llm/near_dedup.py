@@ -42,7 +42,7 @@ HASHES = ROWS * BANDS
 #: Share of equal signature bytes below which a pair is dropped: 0.8 less 5.3 standard deviations.
 SIGNATURE_LEAST = 0.65
 #: Members of a bucket or family that one task compares.
-BLOCK = 2000
+BLOCK = 512
 #: Ids of candidates up to which they are broadcast to fetch texts; beyond, texts and ids are shuffled.
 BROADCAST_IDS = 1_000_000
 _seed = np.random.default_rng(20240229)
@@ -169,7 +169,8 @@ def dealt(rows: DataFrame, size: int) -> DataFrame:
     per = rows.groupBy("grp", "component").agg(F.count("*").alias("n"))
     top = per.groupBy("grp").agg(F.max(F.struct("n", F.col("component").alias("component"))).alias("top"), F.sum("n").alias("n"), F.count("*").alias("several"))
     top = top.where("several > 1 and n > 1").select("grp", F.col("top.component").alias("main"), F.ceil(F.col("n") / size).cast("int").alias("blocks"), F.ceil((F.col("n") - F.col("top.n")) / size).cast("int").alias("left_blocks"))
-    r = rows.join(top, "grp")
+    # written first, so that the join below deals out rows and tops alike and a large group's rows can be split
+    r = rows.join(stored(top, "near-top"), "grp")
     here = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     mine = F.pmod(F.xxhash64("node", F.lit(1)), F.col("left_blocks")).cast("int")
     task = lambda i, b: F.struct(F.col("grp"), i.alias("i"), b.alias("b"))
@@ -281,6 +282,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     more = with_sets(dealt(members.select("grp", "node", "component"), BLOCK), docs, k).groupBy("task").applyInPandas(exact(percent), "u long, v long")
     more = stored(more, "near-more")
     state = linked(nodes, links.unionByName(more))
-    done = all_docs.join(classes.select("d1", "d2", "node"), ["d1", "d2"], "left").join(state, "node", "left")
+    # by class first: what then meets at a class of many copies is a plain join, whose large partitions can be split
+    of_class = classes.select("d1", "d2", "node").join(state, "node").select("d1", "d2", "component")
+    done = all_docs.join(of_class, ["d1", "d2"], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return done.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
