@@ -264,3 +264,32 @@ def test_batches_equal_single_series(name, method):
         one = smoothing.rts(f, p, m.df(None, {}), m.Q) if method == "kalman" else smoothing.extended_rts(f, p, lambda x: m.step(x)[0], m.Q, lambda x: m.df(x, {})) if method == "extended" else smoothing.unscented_rts(f, p, m.step, m.Q)
         assert np.allclose(one[0], ms[1, :7], atol=1e-6) and np.allclose(one[1], ps[1, :7], atol=1e-6)
         assert np.allclose(ms[2, 0], means[2, 0])
+
+
+@pytest.mark.parametrize("method", ["bootstrap", "quasi_bootstrap", "auxiliary", "sir_extended", "sir_unscented"])
+def test_particle_batches_follow_kalman(method):
+    from tidestate.operators import batch_particles
+
+    m = models.random_walk(1.0, 2.0)
+    ys = np.stack([simulated(m, 25, s)[1] for s in range(3)])
+    ys[1, 4] = np.nan
+    ys[2, 10:] = np.nan
+    gens = lambda: [rand.stream("t", s) for s in range(3)]
+    means, covs, ll, ess = batch_particles.run(m, ys, 3000, gens(), method)
+    for s in range(3):
+        ref, _, exact = gaussian.run(m, ys[s])
+        live = 10 if s == 2 else 25
+        assert np.abs(means[s, :live] - ref[:live]).max() < 0.4 and abs(ll[s].sum() - exact.sum()) < 3
+    assert (ess >= 1).all() and (ess <= 3000 + 1e-6).all() and (covs[..., 0, 0] > 0).all()
+    alone = batch_particles.run(m, ys[1:2], 3000, gens()[1:2], method)
+    assert np.allclose(alone[0][0], means[1]) and np.allclose(alone[2][0], ll[1])
+
+
+def test_particle_batches_in_three_dimensions():
+    from tidestate.operators import batch_particles
+
+    m = models.lorenz()
+    xs, ys = simulated(m, 15, 3)
+    for method in ("bootstrap", "sir_unscented", "sir_extended"):
+        means, _, ll, _ = batch_particles.run(m, ys[None], 500, [rand.stream(1)], method)
+        assert density.rmse(xs.T, means[0].T) < 4 and np.isfinite(ll).all()

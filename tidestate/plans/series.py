@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.rand import stream
 from ..models import GeneralModel, Model
-from ..operators import batch, particles, smoothing
+from ..operators import batch, batch_particles, particles, smoothing
 
 FILTERED = "series_id long, t int, mean array<double>, cov array<array<double>>, loglik double"
 SMOOTHED = "series_id long, t int, mean array<double>, cov array<array<double>>"
@@ -47,6 +47,8 @@ def _frame(key: int, t: np.ndarray, means: np.ndarray, covs: np.ndarray, ll: np.
 
 #: Observations that are padded and filtered in step; a longer series stands alone.
 TOGETHER = 200_000
+#: Particles of all series that are moved in one step.
+PARTICLES = 200_000
 #: Bytes of observations that a group of series takes about.
 BATCH_BYTES = 32 << 20
 
@@ -116,14 +118,28 @@ def gaussian_smoother(obs: DataFrame, model: Model, method: str = "kalman") -> D
 
 
 def particle_filter(obs: DataFrame, model: Model | GeneralModel, method: str = "bootstrap", n: int = 200, seed: int = 0) -> DataFrame:
-    """series_id, t, mean, cov, loglik and ess of each step."""
+    """series_id, t, mean, cov, loglik and ess of each step. Additive models' series are filtered in step where the method allows it."""
+    schema = FILTERED + ", ess double"
+    if isinstance(model, Model) and method in batch_particles.METHODS:
+
+        def together(ids: np.ndarray, times: list[np.ndarray], lengths: np.ndarray, ys: np.ndarray) -> pd.DataFrame:
+            out = []
+            size = max(1, PARTICLES // n)
+            for a in range(0, len(ids), size):
+                some = slice(a, a + size)
+                longest = lengths[some].max()
+                m, p, ll, e = batch_particles.run(model, ys[some, :longest], n, [stream(seed, int(i)) for i in ids[some]], method)
+                out.append(_rows(ids[some], times[some], lengths[some], mean=m, cov=p, loglik=ll, ess=e))
+            return pd.concat(out, ignore_index=True)
+
+        return _in_batches(obs, together, schema)
 
     def run(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
         t, ys = matrix(g)
         steps = particles.run(model, ys, n, stream(seed, key[0]), method)
         return _frame(key[0], t, np.stack([s.mean for s in steps]), np.stack([s.spread for s in steps]), np.array([s.loglik for s in steps])).assign(ess=[s.ess for s in steps])
 
-    return obs.groupBy("series_id").applyInPandas(run, FILTERED + ", ess double")
+    return obs.groupBy("series_id").applyInPandas(run, schema)
 
 
 def trajectories(obs: DataFrame, model: Model, method: str = "backward", draws: int = 20, n: int = 100, seed: int = 0) -> DataFrame:
