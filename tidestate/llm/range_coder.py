@@ -16,8 +16,8 @@ import numpy as np
 U = np.uint64
 #: Ids of a block, and blocks coded in step.
 BLOCK = 1024
-LANES = 4096
-SLOTS2, SLOTS1, SLOTS0 = 1024, 512, 256
+LANES = 2048
+SLOTS2, SLOTS1, SLOTS0 = 512, 256, 256
 SETTLED, LEAST = U(1 << 48), U(1 << 40)
 M1 = 0x9E3779B1
 #: Four 16-bit counts in one integer: a one in each; a block's counts stay below 2**16.
@@ -39,8 +39,8 @@ class Model:
     """The predictions and the mixed frequencies of all lanes."""
 
     def __init__(self, lanes: int) -> None:
-        self.t2 = np.full(lanes * SLOTS2, -4, np.int64)  # 4 * id + trust
-        self.t1, self.t0 = (np.full(lanes * s, -1, np.int64) for s in (SLOTS1, SLOTS0))
+        self.t2 = np.full(lanes * SLOTS2, -4, np.int32)  # 4 * id + trust
+        self.t1, self.t0 = (np.full(lanes * s, -1, np.int32) for s in (SLOTS1, SLOTS0))
         self.by_history, self.by_trust = np.zeros(lanes * 16, U), np.zeros(lanes * 16, U)
         lane = np.arange(lanes)
         self.history = lane * 16
@@ -57,8 +57,8 @@ class Model:
         x = self.last
         self.i1 = ((x >> 17) & (SLOTS1 - 1)) + self.o1
         self.i2 = (((x + (self.before >> 5)) >> 16) & (SLOTS2 - 1)) + self.o2
-        held = self.t2.take(self.i2)
-        self.p2, self.p1 = held >> 2, self.t1.take(self.i1)
+        held = self.t2.take(self.i2).astype(np.int64)
+        self.p2, self.p1 = held >> 2, self.t1.take(self.i1).astype(np.int64)
         self.trust = held & 3
         # of 16: the trust, whether orders 2 and 1 agree, whether there is an order-2 prediction
         self.it = (self.trust << 2) + (self.p2 == self.p1) + ((held >= 0) * 2) + self.ot

@@ -34,6 +34,8 @@ from .common import pieces
 HEAD = struct.Struct("<4s5I")
 #: Ids that a segment holds before it is closed (its last document stays whole).
 SEGMENT = R.BLOCK * R.LANES
+#: Bytes of text tokenized at a time: a new piece is tokenized once for each.
+CHUNK = 1 << 20
 #: Distinct pieces of words whose ids a worker remembers, and places for them.
 REMEMBERED = 1 << 20
 #: Segments up to which their offsets are broadcast.
@@ -47,6 +49,7 @@ MARK = "<|startoftext|>"
 END = "</w>"
 SPLIT = json.dumps(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 #: 1: ASCII letters, 2: digits, 3: other ASCII but white space, apostrophe and controls.
+SMALL = K.lut(bytes(range(97, 123)))
 KINDS = np.zeros(256, np.int8)
 KINDS[33:127] = 3
 KINDS[[*range(65, 91), *range(97, 123)]] = 1
@@ -87,12 +90,13 @@ class WordIds:
 
     def fresh(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the given pieces, one after another, and how many each has."""
-        raw, _ = K.gather(data, start, end, 10)
+        raw, at = K.gather(data, start, end, 10)
         words = raw.tobytes().decode().split("\n")[:-1]
-        kind = np.fromiter((0 if w.isascii() and w.isalpha() and w.islower() else 1 if w.isalpha() else 2 for w in words), np.int8, len(words))
+        kind = np.where(K.per_row(~SMALL[raw], at) == 1, 0, 2)  # 0: ASCII letters alone, but for the gap
+        kind[[i for i in np.flatnonzero(kind).tolist() if words[i].isalpha()]] = 1
         size, parts = np.zeros(len(words), np.int64), []
         for k in range(3):
-            some = [w for w, of in zip(words, kind.tolist(), strict=True) if of == k]
+            some = [words[i] for i in np.flatnonzero(kind == k).tolist()]
             ids = self.encode(" ".join(some), bare=k == 0) if k < 2 else np.zeros(0, np.int32)
             last = np.flatnonzero(self.ends[ids])
             if k < 2 and len(last) == len(some):  # letters alone are one run, whose last token ends a word
@@ -231,7 +235,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, partition
 
         for batch in batches:
             data, offsets = K.buffers(batch.column(1))
-            for a, b in K.chunks(offsets):
+            for a, b in K.chunks(offsets, CHUNK):
                 ids, at = words(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
                 names += batch.column(0).slice(a, b - a).to_pylist()
                 held.append(np.insert(ids, at[1:], end_id))
