@@ -29,7 +29,7 @@ def base(t):
 
 
 def test_quality_counts(spark, edge, texts, no_labels):
-    more = [(100, "a b\na b\n\na b \n" + "x y " * 30), (101, "q\n" * 50), (102, "# * $ % & | < >\n\n")]
+    more = [(100, "a b\na b\n\na b \n" + "x y " * 30), (101, "q\n" * 50), (102, "# * $ % & | < >\n\n"), (103, "once only\n"), (104, ""), (105, "after an empty one"), (106, "\n"), (107, "a\na"), (108, "a")]
     df = edge.select("doc_id", "text").union(spark.createDataFrame(more, "doc_id long, text string"))
     got = sorted(((r.doc_id, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed, r.kept) for r in quality_rules.quality_rules(df, no_labels).collect()), key=str)
     want = []

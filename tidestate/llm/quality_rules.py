@@ -37,12 +37,11 @@ def base_counts(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
     w = K.Words(data, offsets, K.NON_SPACE)
     n = len(offsets) - 1
     out = {"n_words": w.count, "word_chars": K.per_row(K.NON_SPACE[data] & K.chars(data), offsets), "n_symbols": K.per_row(SYMBOLS[data], offsets)}
-    # lines: cut at every \n and at the rows' ends
+    # lines: from the start of each row with text, or from behind a \n that isn't its row's last byte
     row = np.arange(n, dtype=np.uint64)
     breaks = np.flatnonzero(data == 10)
-    begin = np.sort(np.concatenate([offsets[:-1], breaks + 1]))
+    begin = np.sort(np.concatenate([offsets[:-1][np.diff(offsets) > 0], breaks[~np.isin(breaks + 1, offsets)] + 1]))
     of = np.searchsorted(offsets, begin, "right") - 1
-    # a break at a row's very end makes an empty line of that row, which has no word and counts for nothing
     end = np.minimum(np.searchsorted(breaks, begin), len(breaks))
     end = np.where(end < len(breaks), np.append(breaks, len(data))[end], len(data))
     end = np.minimum(end, offsets[np.minimum(of + 1, n)]) if n else end
