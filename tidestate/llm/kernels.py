@@ -1,6 +1,6 @@
 """Vectorised text kernels over Arrow string buffers.
 
-Texts are handled as one UTF-8 byte buffer with row offsets, in chunks of about a megabyte,
+Texts are handled as one UTF-8 byte buffer with row offsets, in chunks of about half a megabyte,
 so that no Python string is made for a word. Word and window identities are 64-bit
 polynomial hashes (mod 2**64, odd base, inverted to any start, then mixed).
 A null text is an empty text.
@@ -15,7 +15,7 @@ import pyarrow as pa
 
 BASE = 0x9E3779B97F4A7C15
 BASE_INV = pow(BASE, -1, 1 << 64)
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 U64 = np.uint64
 
 

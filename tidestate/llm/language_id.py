@@ -64,7 +64,7 @@ def document_frequency(docs: DataFrame) -> tuple[np.ndarray, int]:
         total, rows, seen = np.zeros(DIMS, np.int64), 0, np.zeros(DIMS, bool)
         for batch in batches:
             data, offsets = K.buffers(batch.column(0))
-            for a, b in K.chunks(offsets, K.CHUNK >> 2):
+            for a, b in K.chunks(offsets, K.CHUNK >> 1):
                 for g in row_buckets(K.LOWER[data[offsets[a] : offsets[b]]], offsets[a : b + 1] - offsets[a]):
                     seen[:] = False
                     seen[g] = True
@@ -157,7 +157,7 @@ def predict(docs: DataFrame, model: dict | None) -> DataFrame:
         m = cast.value
         for batch in batches:
             data, offsets = K.buffers(batch.column(1))
-            for a, b in K.chunks(offsets, K.CHUNK >> 2):
+            for a, b in K.chunks(offsets, K.CHUNK >> 1):
                 d, o = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
                 lettered = K.per_row(LETTERS[d], o) > 0
                 for r in np.flatnonzero(~lettered):
