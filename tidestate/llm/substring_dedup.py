@@ -36,8 +36,8 @@ from .common import pieces
 WINDOW = 13
 ANCHOR = 4
 #: Bytes of input files for each reference block, and of segments that a worker gathers before it passes them on.
-BLOCK_BYTES = 4 << 20
-BATCH_BYTES = 24 << 20
+BLOCK_BYTES = 3 << 20
+BATCH_BYTES = 14 << 20
 OTHER = np.uint64(0x5851F42D4C957F2D)
 
 
