@@ -293,3 +293,18 @@ def test_particle_batches_in_three_dimensions():
     for method in ("bootstrap", "sir_unscented", "sir_extended"):
         means, _, ll, _ = batch_particles.run(m, ys[None], 500, [rand.stream(1)], method)
         assert density.rmse(xs.T, means[0].T) < 4 and np.isfinite(ll).all()
+
+
+def test_backward_batches_follow_the_smoother():
+    from tidestate.operators import batch_particles
+
+    m = models.random_walk(1.0, 2.0)
+    ys = np.stack([simulated(m, 25, s)[1] for s in (5, 6)])
+    ys[1, 15:] = np.nan
+    gens = [rand.stream("b", s) for s in range(2)]
+    x, w = batch_particles.history(m, ys, 1500, gens)
+    paths = batch_particles.backward(m, x, w, np.array([25, 15]), 300, gens)
+    for s, n in enumerate((25, 15)):
+        f, p, _ = gaussian.run(m, ys[s, :n])
+        ms = smoothing.rts(f, p, np.eye(1), m.Q)[0][:, 0]
+        assert np.abs(paths[s, :, :n, 0].mean(0) - ms).max() < 0.5

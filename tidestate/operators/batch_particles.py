@@ -142,3 +142,36 @@ def run(model: Model, ys: Array, n: int, rngs: Sequence[np.random.Generator], me
         covs[:, t] = np.einsum("sn,sni,snj->sij", w, dev, dev)
         ess[:, t] = 1 / (w * w).sum(1)
     return means, covs, ll, ess
+
+
+def history(model: Model, ys: Array, n: int, rngs: Sequence[np.random.Generator], method: str = "bootstrap") -> tuple[Array, Array]:
+    """Particles before resampling (S, T, n, d) and their weights (S, T, n)."""
+    count, steps, _ = ys.shape
+    cloud = Cloud(model, ys, n, rngs)
+    x, w = np.empty((count, steps, n, model.dim)), np.empty((count, steps, n))
+    for t in range(steps):
+        x[:, t], w[:, t], _ = cloud.step(t, method)
+    return x, w
+
+
+def backward(model: Model, x: Array, w: Array, lengths: Array, draws: int, rngs: Sequence[np.random.Generator]) -> Array:
+    """Backward-simulated trajectories (S, draws, T, d) from filtered particles; series s ends after lengths[s] steps."""
+    count, steps, n, d = x.shape
+    out = np.zeros((count, draws, steps, d))
+    half = np.linalg.cholesky(model.Q)
+    with np.errstate(divide="ignore"):
+        log_w = np.maximum(np.log(w), -700.0)
+    for t in range(steps - 1, -1, -1):
+        for some, first in ((np.flatnonzero(lengths == t + 1), True), (np.flatnonzero(lengths > t + 1), False)):
+            if not len(some):
+                continue
+            lw = np.repeat(log_w[some, t][:, None], draws, 1)
+            if not first:
+                ahead = model.step(x[some, t].reshape(-1, d)).reshape(len(some), n, d)
+                z = np.linalg.solve(half, (out[some, :, t + 1][:, :, None] - ahead[:, None]).reshape(-1, d).T)
+                lw -= 0.5 * (z * z).sum(0).reshape(lw.shape)
+            sums = np.exp(lw - lw.max(2, keepdims=True)).cumsum(2)
+            u = np.stack([rngs[s].random(draws) for s in some]) * sums[:, :, -1]
+            pick = (sums < u[..., None]).sum(2).clip(max=n - 1)
+            out[some, :, t] = x[some[:, None], t, pick]
+    return out

@@ -49,6 +49,8 @@ def _frame(key: int, t: np.ndarray, means: np.ndarray, covs: np.ndarray, ll: np.
 TOGETHER = 200_000
 #: Particles of all series that are moved in one step.
 PARTICLES = 200_000
+#: Particles of all series and steps that are held for backward simulation.
+HISTORY = 4_000_000
 #: Bytes of observations that a group of series takes about.
 BATCH_BYTES = 32 << 20
 
@@ -143,7 +145,24 @@ def particle_filter(obs: DataFrame, model: Model | GeneralModel, method: str = "
 
 
 def trajectories(obs: DataFrame, model: Model, method: str = "backward", draws: int = 20, n: int = 100, seed: int = 0) -> DataFrame:
-    """series_id, draw, t, x. methods: backward, rejection, path (whole-path SIR), ancestral."""
+    """series_id, draw, t, x. methods: backward, rejection, path (whole-path SIR), ancestral. Backward simulation takes many series in step."""
+    schema = "series_id long, draw int, t int, x array<double>"
+    if method == "backward" and isinstance(model, Model):
+
+        def together(ids: np.ndarray, times: list[np.ndarray], lengths: np.ndarray, ys: np.ndarray) -> pd.DataFrame:
+            out, a = [], 0
+            while a < len(ids):
+                size = max(1, HISTORY // (n * int(lengths[a:].max())))
+                some = slice(a, a + size)
+                rngs = [stream(seed, int(i)) for i in ids[some]]
+                x, w = batch_particles.history(model, ys[some, : lengths[some].max()], n, rngs)
+                paths = batch_particles.backward(model, x, w, lengths[some], draws, rngs)
+                for i, t, k, p in zip(ids[some], times[some], lengths[some], paths, strict=True):
+                    out.append(pd.DataFrame({"series_id": i, "draw": np.repeat(np.arange(draws), k), "t": np.tile(t, draws), "x": p[:, :k].reshape(-1, model.dim).tolist()}))
+                a += size
+            return pd.concat(out, ignore_index=True)
+
+        return _in_batches(obs, together, schema)
 
     def run(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
         t, ys = matrix(g)
@@ -160,7 +179,7 @@ def trajectories(obs: DataFrame, model: Model, method: str = "backward", draws:
                 paths = (smoothing.backward_simulation if method == "backward" else smoothing.rejection_backward_simulation)(x, w, draws, model.step, model.Q, rng)
         return pd.DataFrame({"series_id": key[0], "draw": np.repeat(np.arange(len(paths)), len(t)), "t": np.tile(t, len(paths)), "x": list(paths.reshape(-1, model.dim))})
 
-    return obs.groupBy("series_id").applyInPandas(run, "series_id long, draw int, t int, x array<double>")
+    return obs.groupBy("series_id").applyInPandas(run, schema)
 
 
 def mean_trajectory(paths: DataFrame) -> DataFrame:
