@@ -78,24 +78,30 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, l2: float = 1e
             pairs = list(sparse_rows(b.column(1), GRAMS))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([i for i, _ in pairs], pa.binary()), pa.array([v for _, v in pairs], pa.binary())], ["doc_id", "quality", "i", "v"])
 
-    got = sorted(rows.mapInArrow(features, "doc_id long, quality int, i binary, v binary").collect(), key=lambda r: (r.doc_id, bytes(r.i)))
-    y = np.array([r.quality for r in got], float)
-    if len(set(y)) < 2:
-        return None
-    aside = np.arange(len(y)) % 5 == 4
-    a, b = (Rows([(r.i, r.v) for r, s in zip(got, aside, strict=True) if s == kind]) for kind in (False, True))
-    del got
-    # AdaGrad on the whole of the fitting rows
-    w, g2, bias, b2 = np.zeros(GRAMS.dims), np.full(GRAMS.dims, 1e-12), 0.0, 1e-12
-    for _ in range(rounds):
-        d = (sigmoid(a.dot(w) + bias) - y[~aside]) / max(len(a), 1)
-        g = a.back(d, GRAMS.dims) + l2 * w
-        g2 += g * g
-        w -= 0.5 * g / np.sqrt(g2)
-        b2 += d.sum() ** 2
-        bias -= 0.2 * d.sum() / np.sqrt(b2)
-    slope, shift = platt(b.dot(w) + bias, y[aside])
-    return {"w": np.round(w * (1 << 20)).astype(np.int64).astype(np.int32), "bias": float(bias), "slope": slope, "shift": shift}
+    def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = sorted(((d, q, bytes(i), bytes(v)) for b in batches for d, q, i, v in zip(*(b.column(k).to_pylist() for k in range(4)), strict=True)), key=lambda r: (r[0], r[2]))
+        y = np.array([r[1] for r in got], float)
+        if len(set(y.tolist())) < 2:
+            return
+        aside = np.arange(len(y)) % 5 == 4
+        a, b = (Rows([(r[2], r[3]) for r, s in zip(got, aside, strict=True) if s == kind]) for kind in (False, True))
+        del got
+        # AdaGrad on the whole of the fitting rows
+        w, g2, bias, b2 = np.zeros(GRAMS.dims), np.full(GRAMS.dims, 1e-12), 0.0, 1e-12
+        for _ in range(rounds):
+            d = (sigmoid(a.dot(w) + bias) - y[~aside]) / max(len(a), 1)
+            g = a.back(d, GRAMS.dims) + l2 * w
+            g2 += g * g
+            w -= 0.5 * g / np.sqrt(g2)
+            b2 += d.sum() ** 2
+            bias -= 0.2 * d.sum() / np.sqrt(b2)
+        slope, shift = platt(b.dot(w) + bias, y[aside])
+        fixed = np.round(w * (1 << 20)).astype("<i4").tobytes()
+        yield pa.RecordBatch.from_arrays([pa.array([fixed], pa.binary()), *(pa.array([float(x)]) for x in (bias, slope, shift))], ["w", "bias", "slope", "shift"])
+
+    # at most `sample` rows in one task of an executor, which keeps their features off the driver
+    fitted = rows.mapInArrow(features, "doc_id long, quality int, i binary, v binary").repartition(1).mapInArrow(train, "w binary, bias double, slope double, shift double").collect()
+    return {"w": np.frombuffer(fitted[0]["w"], "<i4"), **{k: fitted[0][k] for k in ("bias", "slope", "shift")}} if fitted else None
 
 
 def assess(docs: DataFrame, model: dict | None, keep: float = KEEP) -> DataFrame:
