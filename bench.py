@@ -23,7 +23,7 @@ HEADLINE = (
     "energy_grid",
     "weighted_moments",
     "resample_systematic",
-    "particle_frame_filter",
+    "particle_frame_filter_series",
     "transition_mixture",
     "particle_bootstrap",
     "particle_sir_unscented",

@@ -118,3 +118,51 @@ def test_blocks_equal_the_whole_series(spark):
     for c in ("m", "p", "ll"):
         assert np.allclose(a[c], b[c])
     assert blocks.kalman_blocks(df.limit(0), "k", ["at"], "v", F.col("at")).count() == 0
+
+
+def plain_bootstrap(k, ys, n, q, r, mean, var):
+    """particle_frame_filter's recursion over one whole series, in plain Python."""
+    import hashlib
+    import math
+
+    def uniform(*keys):
+        return (int(hashlib.md5("|".join(map(str, keys)).encode()).hexdigest()[:13], 16) + 0.5) / 2**52
+
+    def normal(*keys):
+        return math.sqrt(-2 * math.log(uniform(*keys, "a"))) * math.cos(2 * math.pi * uniform(*keys, "b"))
+
+    x = [mean + math.sqrt(var) * normal(0, "prior", k, i) for i in range(n)]
+    for t, y in enumerate(ys, 1):
+        x = [v + math.sqrt(q) * normal(0, t, k, i) for i, v in enumerate(x)]
+        w = [1.0 if y is None else math.exp(-0.5 * (y - v) ** 2 / r) / math.sqrt(2 * math.pi * r) for v in x]
+        total = sum(w)
+        w = [v / total for v in w]
+        m = sum(a * b for a, b in zip(w, x))
+        yield k, t, n, m, sum(a * b * b for a, b in zip(w, x)) - m * m, 1 / sum(a * a for a in w), math.log(total / n)
+        u, i, hi, picked = uniform(0, "resample", t, k), 0, w[0], []
+        for slot in range(n):
+            while (slot + u) / n >= hi and i < n - 1:
+                i += 1
+                hi += w[i]
+            picked.append(x[i])
+        x = picked
+
+
+def test_particle_frame_series_takes_every_step(spark):
+    ys = {1: [45.0, 52.0, None, 61.0, 40.0, 58.0, 49.0], 2: [70.0], 3: [20.0, 90.0, 35.0, 66.0]}
+    obs = spark.createDataFrame([(k, t, [y]) for k, v in ys.items() for t, y in enumerate(v, 1)], "series_id long, t int, ys array<double>")
+    got = pf.bootstrap_series(obs.repartition(5), 30, lambda x: x, lambda x: x, 0.1, 400.0, 50.0, 100.0).orderBy("series_id", "t").collect()
+    want = [r for k, v in ys.items() for r in plain_bootstrap(k, v, 30, 0.1, 400.0, 50.0, 100.0)]
+    assert [tuple(r)[:3] for r in got] == [r[:3] for r in want]
+    assert np.allclose([tuple(r)[3:] for r in got], [r[3:] for r in want])
+
+
+def test_particle_frame_query_covers_all_events(spark, sf):
+    from tidestate import queries
+
+    key = ["series_id", "t"]
+    got = queries.QUERIES["particle_frame_filter_series"](spark, sf).toPandas().sort_values(key)
+    n = spark.read.parquet(f"{sf}/events.parquet").count()
+    assert len(got) == n > 2 * got["series_id"].nunique()
+    first = queries.QUERIES["particle_frame_filter"](spark, sf).toPandas().sort_values(key)
+    assert np.allclose(got[got["t"] <= 2].values.astype(float), first.values.astype(float), atol=1e-5)

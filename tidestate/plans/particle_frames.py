@@ -9,10 +9,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.rand import normal, uniform
+from .series import matrix
 
 
 def prior(spark: SparkSession, series: DataFrame, n: int, mean: float = 0.0, var: float = 1.0, seed: int = 0) -> DataFrame:
@@ -102,6 +105,42 @@ def bootstrap_filter(spark: SparkSession, obs: DataFrame, steps: int, n: int, f:
     return out
 
 
+def bootstrap_series(obs: DataFrame, n: int, f: Callable, g: Callable, q: float, r: float, mean: float = 0.0, var: float = 1.0, seed: int = 0) -> DataFrame:
+    """As bootstrap_filter, but every step of every series of obs (series_id, t from 1 on, ys), one task a series.
+
+    The noise is made by the same Columns and travels with the rows, so both filters draw the same; f and g take arrays of particles.
+    """
+    pids, sid = F.sequence(F.lit(0), F.lit(n - 1)), F.col("series_id")
+    drawn = obs.select(
+        sid,
+        "t",
+        "ys",
+        F.when(F.col("t") == 1, F.transform(pids, lambda p: normal(seed, "prior", sid, p))).alias("z0"),
+        F.transform(pids, lambda p: normal(seed, F.col("t"), sid, p)).alias("z"),
+        uniform(seed, "resample", F.col("t"), sid).alias("u"),
+    )
+
+    def run(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("t")
+        t, ys = matrix(group)
+        x = mean + var**0.5 * np.asarray(group["z0"].iloc[0], float)
+        out = []
+        for y, z, u in zip(ys[:, 0], group["z"], group["u"], strict=True):
+            x = f(x) + q**0.5 * np.asarray(z, float)
+            e = y - g(x)
+            log_w = np.zeros(n) if np.isnan(y) else -0.5 * (np.log(2 * np.pi * r) + e * e / r)
+            w = np.exp(log_w - log_w.max())
+            total = w.sum()
+            w /= total
+            m = (w * x).sum()
+            out.append((n, m, (w * x * x).sum() - m * m, 1 / (w * w).sum(), np.log(total) - np.log(n) + log_w.max()))
+            hi = np.append(np.cumsum(w)[:-1], 1.0)
+            x = np.repeat(x, np.diff(np.minimum(np.ceil(n * hi - u), n), prepend=0).astype(int))
+        return pd.DataFrame(out, columns=["n", "mean", "var", "ess", "loglik"]).assign(series_id=key[0], t=t)[["series_id", "t", "n", "mean", "var", "ess", "loglik"]]
+
+    return drawn.groupBy("series_id").applyInPandas(run, "series_id long, t int, n long, mean double, var double, ess double, loglik double")
+
+
 def transition_mixture(before: DataFrame, now: DataFrame, f: Callable[[Column], Column], q: float) -> DataFrame:
     """series_id, pid and mix: for each particle of now (series_id, pid, x) the sum over particles of before (series_id, x, w) of w times the transition density.
 

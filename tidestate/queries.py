@@ -355,6 +355,12 @@ def particle_frame_filter(spark: SparkSession, d: str) -> DataFrame:
     return rounded(pf.bootstrap_filter(spark, obs, 2, BPF_N, lambda x: x, lambda x: x, 0.1, 400.0, 50.0, 100.0, cut=False))
 
 
+@query()
+def particle_frame_filter_series(spark: SparkSession, d: str) -> DataFrame:
+    """The same filter over all steps of every series. particle_frame_filter is its first two, as far as its SQL is unrolled."""
+    return rounded(pf.bootstrap_series(event_rows(spark, d), BPF_N, lambda x: x, lambda x: x, 0.1, 400.0, 50.0, 100.0))
+
+
 @query(f"WITH {LW}, b AS (SELECT * FROM n) SELECT a.series_id, a.pid, round(sum(b.wt * exp(-0.5 * (a.x - b.x) * (a.x - b.x) / 4.0) / sqrt(2 * pi() * 4.0)), 9) AS mix FROM b a JOIN b ON a.series_id = b.series_id GROUP BY a.series_id, a.pid")
 def transition_mixture(spark: SparkSession, d: str) -> DataFrame:
     c = cloud(spark, d)
