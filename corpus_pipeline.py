@@ -4,6 +4,9 @@ STAGES lists (name, function); each function takes (spark, docs, sf_dir) and ret
 that is written as Parquet and reread as the next one's docs. Every stage works on all that its
 predecessor kept. All but the last return the columns of documents; the last returns, from the files
 that it wrote, each document's place in the token stream. A document that the mix takes several times is that many rows from then on.
+
+Each row is a document of its own, whatever its doc_id: a verdict on one row never holds for another of the same doc_id, and
+rows of null doc_id are judged as all others are. Near-dedup keeps one row of each group, of identical rows too.
 """
 
 from __future__ import annotations
@@ -17,30 +20,36 @@ from tidestate.llm.common import read, scratch, stored, tokenizer_path
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
-def only(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of docs whose doc_id is among ids (doc_id)."""
-    return docs.join(ids.distinct(), "doc_id", "left_semi").select(COLUMNS)
+def keyed(docs: DataFrame, what: str) -> DataFrame:
+    """docs with a number of each row (row), written to the shared folder, so that it stays the same however often it is read."""
+    return stored(docs.select(COLUMNS).withColumn("row", F.monotonically_increasing_id()), what)
 
 
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules reject go."""
-    return only(docs, quality_rules.quality_rules(docs, read(spark, sf_dir, "labels")).where("kept").select("doc_id"))
+    return quality_rules.quality_rules(docs, read(spark, sf_dir, "labels"), carry=tuple(COLUMNS[1:])).where("kept").select(COLUMNS)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents whose shingles of five words are alike to 0.8, one stays."""
-    return only(docs, near_dedup.near_duplicates(docs).where("kept").select("doc_id"))
+    """Of documents whose shingles of five words are alike to 0.8, one stays: that of the least doc_id (null is last), any of its rows if they are several."""
+    docs = keyed(docs, "near-rows")
+    groups = near_dedup.near_duplicates(docs.select(F.col("row").alias("doc_id"), "text")).select(F.col("doc_id").alias("row"), "component_id")
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("first")
+    kept = groups.join(docs.select("row", "doc_id"), "row").groupBy("component_id").agg(first).select("first.row")
+    return docs.join(kept, "row", "left_semi").select(COLUMNS)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a twentieth or more of their words in benchmark windows go."""
-    return only(docs, decontaminate.find(docs, read(spark, sf_dir, "benchmark")).where(~decontaminate.contaminated()).select("doc_id"))
+    return decontaminate.find(docs, read(spark, sf_dir, "benchmark"), carry=tuple(COLUMNS[1:])).where(~decontaminate.contaminated()).select(COLUMNS)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it."""
-    copies = mixing.mix(docs).where("copies > 0").select("doc_id", "copies").groupBy("doc_id").agg(F.max("copies").alias("copies"))
-    return docs.join(copies, "doc_id").withColumn("copy", F.explode(F.sequence(F.lit(1), "copies"))).select(COLUMNS)
+    """Each document as often as the mix takes it. Copies are dealt by doc_id and content, as row numbers depend on files."""
+    docs = keyed(docs, "mix-rows")
+    taken = mixing.mix(docs, "row", order=[F.col("doc_id"), F.xxhash64("text", "lang", "n_chars")])
+    copies = taken.where("copies > 0").select(F.col("doc_id").alias("row"), "copies")
+    return docs.join(copies, "row").withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select(COLUMNS)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -96,3 +96,44 @@ def test_edge_rows_pass_through(spark, sf, edge):
         assert f(spark, docs, sf).count() > 0
 
 
+def rows_of(spark, *rows):
+    return spark.createDataFrame([(i, t, "en", s, len(t)) for i, t, s in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+
+
+def ids(df):
+    return sorted(((r.doc_id, r.text) for r in df.collect()), key=str)
+
+
+@pytest.fixture(scope="module")
+def good(stages):
+    """Texts that the rules, near-dedup and decontamination kept."""
+    return [r["text"] for r in stages[3][:6]]
+
+
+def test_rules_judge_rows(spark, sf, good):
+    bad = "one two"
+    whole = spark.read.parquet(f"{sf}/documents.parquet").select(C.COLUMNS)
+    more = rows_of(spark, (None, good[0], "m"), (None, bad, "m"), (-7, good[1], "m"), (-7, bad, "m"))
+    got = C.rules(spark, whole.unionByName(more), sf).where("source = 'm'")
+    assert ids(got) == sorted([(None, good[0]), (-7, good[1])], key=str)
+
+
+def test_near_keeps_one_row_of_each_group(spark, sf, good):
+    a, b, c, d = good[:4]
+    got = C.near(spark, rows_of(spark, (None, a, "m"), (None, a, "m"), (None, b, "m"), (1, b, "m"), (2, c, "m"), (2, c, "m"), (3, c, "m"), (3, d, "m")), sf)
+    assert ids(got) == sorted([(None, a), (1, b), (2, c), (3, d)], key=str)
+
+
+def test_benchmark_judges_rows(spark, sf, good):
+    leak = max((r.text for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()), key=len)
+    got = C.benchmark(spark, rows_of(spark, (None, good[0], "m"), (None, leak, "m"), (4, good[1], "m"), (4, leak, "m")), sf)
+    assert ids(got) == sorted([(None, good[0]), (4, good[1])], key=str)
+
+
+def test_mix_takes_rows_by_themselves(spark, sf):
+    # weights 1 and 2, 40 and 20 words: a is taken for 20 of its 40 words, b twice
+    a = [" ".join(f"a{i}{j}" for j in range(10)) for i in range(4)]
+    b = [" ".join(f"b{i}{j}" for j in range(10)) for i in range(2)]
+    got = C.mix(spark, rows_of(spark, *((1, t, "a") for t in a), *((None, t, "b") for t in b)), sf).collect()
+    assert sorted(r.text for r in got if r.source == "b") == sorted(b * 2)
+    assert len({r.text for r in got if r.source == "a"}) == len([r for r in got if r.source == "a"]) == 2

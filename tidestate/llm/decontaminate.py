@@ -168,8 +168,10 @@ def occurrences(w: K.Words, index: Index, looks: dict[int, Lookup]) -> tuple[np.
     return start[ok], window[ok]
 
 
-def probe(docs: DataFrame, index: Index, first: bool, last: bool) -> DataFrame:
-    """One pass: adds to items and spans what the block finds; the last pass drops the text and sums up."""
+def probe(docs: DataFrame, index: Index, first: bool, last: bool, carry: tuple[str, ...] = ()) -> DataFrame:
+    """One pass: adds to items and spans what the block finds; the last pass drops the text, unless it is carried, and sums up."""
+    keep = carry if last else tuple(c for c in carry if c != "text")
+    schema = ", ".join([SCHEMA if last else f"doc_id long, text string, items array<string>, spans {SPANS}", *(f"{c} {docs.schema[c].dataType.simpleString()}" for c in keep)])
     cast = docs.sparkSession.sparkContext.broadcast(index)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -189,7 +191,7 @@ def probe(docs: DataFrame, index: Index, first: bool, last: bool) -> DataFrame:
                 np.add.at(change, start + ix.size[window], -1)
                 if not first:
                     before = batch.slice(a, b - a)
-                    for r, (old, spans) in enumerate(zip(before.column(2).to_pylist(), before.column(3).to_pylist(), strict=True)):
+                    for r, (old, spans) in enumerate(zip(before.column("items").to_pylist(), before.column("spans").to_pylist(), strict=True)):
                         items[r].update(old)
                         for x in spans:
                             change[w.row_at[r] + x["start"]] += 1
@@ -206,21 +208,21 @@ def probe(docs: DataFrame, index: Index, first: bool, last: bool) -> DataFrame:
                 pairs = pa.StructArray.from_arrays([pa.array((begin - base).astype(np.int32)), pa.array((end - base).astype(np.int32))], ["start", "end"])
                 spans = pa.ListArray.from_arrays(pa.array(at), pairs)
                 names = pa.array([sorted(x) for x in items], pa.list_(pa.string()))
-                ids = batch.column(0).slice(a, b - a)
+                ids, more = batch.column(0).slice(a, b - a), [batch.column(x).slice(a, b - a) for x in keep]
                 if last:
-                    yield pa.RecordBatch.from_arrays([ids, pa.array(w.count), pa.array(K.per_row(hit, w.row_at)), names, spans], ["doc_id", "n_words", "n_hit", "items", "spans"])
+                    yield pa.RecordBatch.from_arrays([ids, pa.array(w.count), pa.array(K.per_row(hit, w.row_at)), names, spans, *more], ["doc_id", "n_words", "n_hit", "items", "spans", *keep])
                 else:
-                    yield pa.RecordBatch.from_arrays([ids, batch.column(1).slice(a, b - a), names, spans], ["doc_id", "text", "items", "spans"])
+                    yield pa.RecordBatch.from_arrays([ids, batch.column(1).slice(a, b - a), names, spans, *more], ["doc_id", "text", "items", "spans", *keep])
 
-    return docs.mapInArrow(run, SCHEMA if last else f"doc_id long, text string, items array<string>, spans {SPANS}")
+    return docs.mapInArrow(run, schema)
 
 
-def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block: int = BLOCK) -> DataFrame:
-    """doc_id, n_words, n_hit, items (ids, sorted) and spans (runs of hit words) of each document.
+def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block: int = BLOCK, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, n_words, n_hit, items (ids, sorted) and spans (runs of hit words) of each document, and its columns named in carry.
 
     docs: doc_id, text; benchmark: item_id, text.
     """
-    docs = docs.select("doc_id", "text")
+    docs = docs.select("doc_id", "text", *(c for c in carry if c != "text"))
     items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").where("item_id is not null and text is not null").distinct()
     blocks = -(-max(items.agg(F.sum(F.length("text"))).first()[0] or 0, 1) // block)
     out = docs
@@ -228,7 +230,7 @@ def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block: int
         rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).collect()  # about `block` characters
         index = build(sorted((r.item_id, r.text) for r in rows), window)
         choose_prefixes(index, rarity(docs, index) if index.text else {})
-        out = probe(out, index, b == 0, b == blocks - 1)
+        out = probe(out, index, b == 0, b == blocks - 1, carry)
     return out
 
 

@@ -102,16 +102,19 @@ def rounded(group: pd.DataFrame) -> pd.DataFrame:
     return group.assign(group_n=group["n"], group_copies=out)[["source", "size", "source_size", "target", "rate", "group_n", "group_copies"]]
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", goal: DataFrame | None = None, most: int = MOST) -> DataFrame:
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", goal: DataFrame | None = None, most: int = MOST, order: list[Column] | None = None) -> DataFrame:
     """doc_id, source, size, source_size, target, rate and copies of every document.
 
-    goal: source, source_size, weight, target, if not that of `targets`.
+    goal: source, source_size, weight, target, if not that of `targets`. order: by what copies are dealt among documents of
+    one size, if not by doc_id.
     """
     spark = docs.sparkSession
-    d = stored(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), words(F.col(text_col)).alias("size")), "mix-sizes")
+    keys = {f"key{i}": c for i, c in enumerate(order or [])}
+    d = stored(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), words(F.col(text_col)).alias("size"), *(c.alias(k) for k, c in keys.items())), "mix-sizes")
+    by = list(keys) or ["doc_id"]
     # rows of a group that is ranked in one task: some thousands of millions of equal documents would still be split
     salts = max(16, bytes_of(d) // (64 << 20))
-    d = d.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)))
+    d = d.withColumn("salt", F.pmod(F.xxhash64(*by), F.lit(salts)))
     groups = stored(d.groupBy("source", "size", "salt").agg(F.count("*").alias("n")), "mix-groups")
     sizes = groups.groupBy("source", "size").agg(F.sum("n").alias("n"))
     if goal is None:
@@ -126,7 +129,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     r, q = groups.withColumn("rank0", F.coalesce(F.sum("n").over(before), F.lit(0))).alias("r"), plan.alias("q")
     ranked = r.join(q, F.expr("r.source <=> q.source and r.size = q.size")).select("q.*", "r.salt", "r.rank0")
 
-    inside = Window.partitionBy("source", "size", "salt").orderBy("doc_id")
+    inside = Window.partitionBy("source", "size", "salt").orderBy(*by)
     d = d.withColumn("i", F.row_number().over(inside))
     d, k = d.alias("d"), ranked.alias("k")
     out = d.join(k, F.expr("d.source <=> k.source and d.size = k.size and d.salt = k.salt"), "left")

@@ -104,8 +104,9 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, l2: float = 1e
     return {"w": np.frombuffer(fitted[0]["w"], "<i4"), **{k: fitted[0][k] for k in ("bias", "slope", "shift")}} if fitted else None
 
 
-def assess(docs: DataFrame, model: dict | None, keep: float = KEEP) -> DataFrame:
-    """doc_id, the counts, base_failed, kept and score of each document of docs (doc_id, text)."""
+def assess(docs: DataFrame, model: dict | None, keep: float = KEEP, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, the counts, base_failed, kept and score of each document of docs (doc_id, text), and its columns named in carry."""
+    schema = ", ".join([SCHEMA, *(f"{c} {docs.schema[c].dataType.simpleString()}" for c in carry)])
     cast = docs.sparkSession.sparkContext.broadcast(model)  # 2**20 integers, whatever the input
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -120,12 +121,12 @@ def assess(docs: DataFrame, model: dict | None, keep: float = KEEP) -> DataFrame
                     margin = GRAMS.means(d, o, m["w"]) / (1 << 20) + m["bias"]
                     p = np.round(sigmoid(m["slope"] * margin + m["shift"]), 6)
                 failed = (c["n_words"] < 20) | (100 * c["n_repeat_words"] > 30 * c["n_words"])
-                cols = [batch.column(0).slice(a, b - a), *(pa.array(c[k].astype(np.int64)) for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")), pa.array(failed), pa.array(~failed & (p >= keep)), pa.array(p)]
-                yield pa.RecordBatch.from_arrays(cols, [x.split()[0] for x in SCHEMA.split(", ")])
+                cols = [batch.column(0).slice(a, b - a), *(pa.array(c[k].astype(np.int64)) for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")), pa.array(failed), pa.array(~failed & (p >= keep)), pa.array(p), *(batch.column(x).slice(a, b - a) for x in carry)]
+                yield pa.RecordBatch.from_arrays(cols, [*(x.split()[0] for x in SCHEMA.split(", ")), *carry])
 
-    return docs.select("doc_id", "text").mapInArrow(score, SCHEMA)
+    return docs.select("doc_id", "text", *(c for c in carry if c != "text")).mapInArrow(score, schema)
 
 
-def quality_rules(docs: DataFrame, labels: DataFrame, labelled_docs: DataFrame | None = None) -> DataFrame:
+def quality_rules(docs: DataFrame, labels: DataFrame, labelled_docs: DataFrame | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
     """Fit on labelled rows of labelled_docs (docs if not given) and assess docs."""
-    return assess(docs, fit(docs if labelled_docs is None else labelled_docs, labels))
+    return assess(docs, fit(docs if labelled_docs is None else labelled_docs, labels), carry=carry)
