@@ -101,3 +101,39 @@ def test_page_table_edges(spark):
     df = spark.createDataFrame([(1, None, None, "x"), (1, "u", f"<article>{BODY}", "x"), (None, None, "<<<>>>&&& <p", "x"), (2, "u", "<div>" * 3000 + "deep" + "</div>" * 10, "x")], "page_id long, url string, html string, text string")
     assert html_extract.html_extract(df).count() == 4
     assert html_extract.html_extract(df.limit(0)).count() == 0
+
+
+LINE = BODY[3:-4]
+
+
+@pytest.mark.parametrize(
+    "inside, text",
+    [
+        ("<svg class='icon' viewBox='0 0 1 1'/>", ""),
+        ("<math/>", ""),
+        ("<p><svg><path d='M0'/></svg></p>", ""),
+        ("<div><select><option>no</div>", ""),
+        ("<div><noscript><img src='x'></div>", ""),
+        ("<div><noscript>no<div>no</div>no</noscript></div>", ""),
+        ("<div><textarea>no</div>", ""),
+        ("<div><select><option>no</div><div><select><option>no</select></div>", ""),
+        ("<template><div>no<p>no</div></template>", ""),
+        (f"<object data='x'>{BODY}</object>", LINE),
+        (f"<object data='x'>{BODY}", LINE),
+        (f"<p>{LINE} <math><mi>x</mi></math> {LINE}</p>", f"{LINE} x {LINE}"),
+    ],
+)
+def test_elements_that_hold_no_page_text(inside, text):
+    page = f"<body><article>{BODY}{inside}{BODY}</article>"
+    assert " ".join(x.text for x in dom.parse(page) if x.text) == " ".join(x for x in (LINE, text, LINE) if x)
+    got = html_extract.extract([page], html_extract.model())[0]
+    assert got == " ".join(x for x in (LINE, text, LINE) if x)
+
+
+@pytest.mark.parametrize("tag", ["select", "noscript", "object", "svg", "textarea"])
+def test_unclosed_elements_of_the_body(tag):
+    assert [x.text for x in dom.parse(f"<{tag}><article>{BODY}</article>") if x.text] == [LINE]
+
+
+def test_many_unclosed_elements_are_read_once():
+    assert dom.parse("<div><textarea></div>" * 30_000 + "end")[-1].text == "end"

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import html
 import re
 from dataclasses import dataclass, field
@@ -10,7 +11,9 @@ import numpy as np
 
 #: Fixed values of HTML: elements by how they are read.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style title textarea template iframe noscript svg math object select".split())
+RAW = frozenset("script style title textarea iframe".split())
+#: Elements with tags inside, without text of the page. Those of svg, math and object are read as any other's.
+DROPPED = frozenset("template noscript select".split())
 BLOCK = frozenset(
     "html body address article aside blockquote button center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup"
     " li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul caption label legend".split()
@@ -71,7 +74,7 @@ def hints(attributes: str) -> tuple[int, ...]:
 def parse(page: str) -> list[Node]:
     """The page's block-level elements and runs of text (tag #text, white space collapsed), parents before children, in page order."""
     nodes = [Node("body", -1, 0)]
-    open_: list[tuple[str, int]] = []  # elements, and the node each made (or the node it is in)
+    open_: list[tuple[str, int]] = []  # elements, and the node each made (or the node it is in); with ~ where text is dropped
     run: list[str] = []
     linked = 0
 
@@ -93,11 +96,18 @@ def parse(page: str) -> list[Node]:
             flush()
         del open_[i:]
 
+    @functools.cache
+    def last(tag: str) -> int:
+        """Where the last end tag of that name begins, or -1."""
+        return max((m.start() for m in re.finditer(rf"</{re.escape(tag)}\s*>", page, re.I)), default=-1)
+
     at, size = 0, len(page)
+    endless: set[str] = set()  # raw elements of which no end tag comes any more
     while at < size:
         m = TOKEN.search(page, at)
         text = page[at : m.start()] if m else page[at:]
-        if text:
+        dropped = bool(open_) and open_[-1][0][0] == "~"
+        if text and not dropped:
             run.append(text)
             if any(t == "a" for t, _ in open_):
                 linked += len(text.strip())
@@ -109,16 +119,24 @@ def parse(page: str) -> list[Node]:
             continue
         if m[1]:
             for i in range(len(open_) - 1, -1, -1):
-                if open_[i][0] == tag:
+                if open_[i][0] in (tag, f"~{tag}"):
                     close(i)
                     break
                 if tag not in BLOCK and open_[i][0] in BLOCK:
                     break
             continue
-        nodes[here()].tags += 1
+        if not dropped:
+            nodes[here()].tags += 1
         if tag in RAW:
-            end = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
-            at = end.end() if end else size
+            end = re.compile(rf"</{tag}\s*>", re.I).search(page, at) if tag not in endless else None
+            if end or tag in ("script", "style"):
+                at = end.end() if end else size
+                continue
+            endless.add(tag)
+        if dropped or tag in RAW or tag in DROPPED:
+            # dropped up to its end tag or its parent's; where neither comes, only the tag is
+            if tag not in VOID and not m[3].endswith("/") and (dropped or open_ or at <= last(tag)):
+                open_.append((f"~{tag}", here()))
             continue
         if tag == "br" or tag == "hr":
             run.append(" ")

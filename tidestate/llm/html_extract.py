@@ -10,7 +10,8 @@ menus, headers, footers, sidebars, adverts, notices, forms, comments and share b
 tags and attributes. No page of the input is learned from.
 
 Defined results. A null or empty html gives the empty text; so does a page without main text. Broken
-markup is read as far as it goes. Repeated rows give repeated rows. An empty table gives an empty result. Other columns are ignored.
+markup is read as far as it goes. Of scripts, styles, titles, text areas, frames, templates, noscript and select no text is taken;
+without an end tag, one that isn't a script or style ends with its parent. Repeated rows give repeated rows. An empty table gives an empty result. Other columns are ignored.
 """
 
 from __future__ import annotations
