@@ -166,3 +166,25 @@ def test_particle_frame_query_covers_all_events(spark, sf):
     assert len(got) == n > 2 * got["series_id"].nunique()
     first = queries.QUERIES["particle_frame_filter"](spark, sf).toPandas().sort_values(key)
     assert np.allclose(got[got["t"] <= 2].values.astype(float), first.values.astype(float), atol=1e-5)
+
+
+def test_path_draws_are_taken_from_all_paths(spark):
+    from tidestate.functions.rand import stream
+    from tidestate.operators import smoothing
+
+    m, n, ys = models.random_walk(1.0, 4.0), 20, [1.0, -2.0, 0.5]
+    obs = spark.createDataFrame([(k, t, [y]) for k in range(40) for t, y in enumerate(ys, 1)], "series_id long, t int, ys array<double>")
+    got = series.trajectories(obs, m, "path", draws=5, n=n).toPandas().sort_values(["series_id", "draw", "t"])
+    at = []
+    for k, g in got.groupby("series_id"):
+        drawn = np.stack(g["x"]).reshape(5, len(ys))
+        # the key's type is part of the stream
+        for key in (int(k), np.int64(k)):
+            paths = smoothing.path_smoother(m, np.array(ys)[:, None], n, stream(0, key))[:, :, 0]
+            same = (np.abs(drawn[:, None] - paths[None]) < 1e-12).all(2)
+            if same.any(1).all():
+                break
+        assert same.any(1).all()
+        at += [np.flatnonzero(r).mean() for r in same]
+    assert 7.5 < np.mean(at) < 11.5  # the middle of 20 paths is 9.5, that of the first five 2
+    assert series.trajectories(obs, m, "path", draws=30, n=n).groupBy("series_id", "t").count().where("count = 30").count() == 120

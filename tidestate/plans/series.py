@@ -168,7 +168,8 @@ def trajectories(obs: DataFrame, model: Model, method: str = "backward", draws:
         t, ys = matrix(g)
         rng = stream(seed, key[0])
         if method == "path":
-            paths = smoothing.path_smoother(model, ys, n, rng)[:draws]
+            # the paths lie in order of their ancestors, so a prefix would be copies of few
+            paths = smoothing.path_smoother(model, ys, n, rng)[rng.choice(n, draws, replace=draws > n)]
         else:
             steps = particles.run(model, ys, n, rng)
             x, w = np.stack([s.x for s in steps]), np.stack([s.w for s in steps])
