@@ -1,13 +1,13 @@
-"""Substring dedup by relative Lempel-Ziv parsing.
+"""Substring dedup by lookups of windows in reference blocks.
 
 Texts are words `[^\\x20\\x09-\\x0D]+`. Every window of WINDOW words has an anchor, the run of ANCHOR of its words of
 least hash, and a document is cut into segments, the runs of windows of one anchor (neighbours
-overlap by WINDOW - 1 words). All segments of an anchor meet in one reference block. There each
-segment is factored against the block: an index of the block's windows gives the earliest document in which the
-words from here on start; the factor runs on while its source does, and at a factor's
-boundary the windows that straddle it are looked up for themselves. Factors of WINDOW words or more from
-smaller doc_ids are duplicate spans, so a document is in effect factored against every reference block that
-may hold any of its windows.
+overlap by WINDOW - 1 words). All segments of an anchor meet in one reference block. There
+every window of each segment is hashed, the windows are sorted, and each is given the least doc_id that holds it; runs of
+windows whose least doc_id is smaller than the document's own are its duplicate spans. This is not a relative Lempel-Ziv parse: no
+match is extended along a source, no longest match is chosen, and windows at boundaries are not treated apart. A window is duplicate
+if any smaller doc_id holds it, whichever that is, so the spans need every window's answer; a greedy factor answers for one source only,
+and its windows would be looked up all the same where it ends.
 
 Segments travel as compressed text, each distinct one once for each batch of documents with a list of its places, so that
 many copies of a passage come as one text. Blocks are as many as the input's size asks for.
