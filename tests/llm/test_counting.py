@@ -191,3 +191,63 @@ def test_digest(spark, sf):
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
     for r in got:
         assert r.base_sha256 == hashlib.sha256(scan(docs[r.doc_id]).encode()).hexdigest()
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_dual_against_bisection(seed):
+    """The multiplier of a source, against plain bisection of the dual's derivative; and the rounding's error."""
+    import math
+
+    import numpy as np
+
+    rng = np.random.default_rng(seed)
+    size = np.unique(np.concatenate([rng.integers(1, 50, 30), rng.integers(50, 20_000, 20)]))
+    n = rng.integers(1, 40, len(size))
+    total = int((size * n).sum())
+    for share in (0.05, 0.5, 1.0, 1.7, 2.95):
+        l = mixing.newton(size, n, share * total)
+        low, high = -5.0, 5.0
+        for _ in range(300):
+            mid = (low + high) / 2
+            tokens = sum(c * s * min(3.0, math.exp(min(mid * s, 5.0))) for s, c in zip(size.tolist(), n.tolist(), strict=True))
+            low, high = (mid, high) if tokens < share * total else (low, mid)
+        assert l == pytest.approx((low + high) / 2, rel=1e-6, abs=1e-12)
+        rate = mixing.rate_of(size, l)
+        copies = mixing.rounded(size, n, rate)
+        assert (copies >= np.floor(rate + 1e-9) * n).all() and (copies <= np.ceil(rate - 1e-9) * n).all()
+        assert abs(int((copies * size).sum()) - share * total) <= size.max() if share > 2 else abs(int((copies * size).sum()) - share * total) <= 60
+    assert mixing.newton(size, n, 3.0 * total) == math.inf and mixing.newton(size, n, 0.0) == -math.inf
+
+
+def test_dual_that_cannot_be_met_raises(monkeypatch):
+    import numpy as np
+
+    monkeypatch.setattr(mixing, "STEPS", 1)
+    with pytest.raises(RuntimeError):
+        mixing.newton(np.array([1, 7, 4000]), np.array([3, 2, 5]), 9000.0)
+
+
+def test_rates_tilt_by_size(spark, sf):
+    """Within a source rates are exp(l * size): equal on the logarithmic scale for each word, but where `most` holds."""
+    import math
+
+    by = defaultdict(list)
+    for r in mixing.mix(spark.read.parquet(f"{sf}/documents.parquet")).where("size > 0 and rate > 0 and rate < 3").collect():
+        by[r.source].append(math.log(r.rate) / r.size)
+    assert any(len(v) > 3 and abs(v[0]) > 1e-9 for v in by.values())
+    for v in by.values():
+        assert max(v) - min(v) <= 1e-9 * max(1.0, abs(v[0]))
+
+
+def thue_morse(bits):
+    s = "a"
+    for _ in range(bits):
+        s += s.translate(str.maketrans("ab", "ba"))
+    return s, s.translate(str.maketrans("ab", "ba"))
+
+
+def test_lines_that_polynomials_take_for_one(spark, no_labels):
+    x, y = thue_morse(11)
+    pairs = [(1, f"{x}\n{y}\n{x}"), (2, " ".join([x] * 8 + [y] * 8 + ["z"] + [y, x] * 5)), (3, f"{x}\n{y}")]
+    got = quality_rules.quality_rules(spark.createDataFrame(pairs, "doc_id long, text string"), no_labels).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words").collect()
+    assert sorted(map(tuple, got)) == [(i, *base(t)) for i, t in pairs]

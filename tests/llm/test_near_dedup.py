@@ -63,3 +63,11 @@ def test_components(spark):
     edges = [(i, i + 1) for i in range(50)] + [(100, 103), (103, 101), (7, 7)]
     got = dict(map(tuple, components(spark.createDataFrame(edges, "u long, v long")).collect()))
     assert got == {**dict.fromkeys(range(51), 0), **dict.fromkeys((100, 101, 103), 100)}
+
+
+def test_words_that_polynomials_take_for_one(spark):
+    from tests.llm.test_counting import thue_morse
+
+    x, y = thue_morse(11)
+    pairs = [(1, f"{x} p q r"), (2, f"{y} p q r"), (3, f"{x} p q r"), (4, " ".join([*x[:64]])), (5, " ".join([*y[:64]])), (6, x), (7, y)]
+    assert run(spark.createDataFrame(pairs, "doc_id long, text string"), 4) == brute(pairs, 4)

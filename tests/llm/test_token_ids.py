@@ -81,3 +81,15 @@ def test_empty_table(spark, empty):
     path = scratch(spark, "t")
     token_ids.write(empty, path, PATH)
     assert token_ids.read(spark, path).count() == 0
+
+
+def test_words_that_polynomials_take_for_one(spark):
+    from pyspark.sql import functions as F
+
+    from tests.llm.test_counting import thue_morse
+
+    pairs = list(enumerate(thue_morse(11)))
+    path = scratch(spark, "t")
+    token_ids.write(spark.createDataFrame(pairs, "doc_id long, text string"), path, PATH, partitions=1)
+    got = token_ids.read(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("crc")).collect()
+    assert sorted(map(tuple, got), key=lambda r: r[1]) == brute(pairs)

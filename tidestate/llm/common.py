@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -33,6 +35,8 @@ def shared_dir(spark: SparkSession) -> str:
         return set_
     folder = spark.sparkContext.getCheckpointDir()
     if folder is None:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         spark.sparkContext.setCheckpointDir(os.path.join("/tmp", "tidestate-shared"))
         folder = spark.sparkContext.getCheckpointDir()
     return folder
@@ -73,8 +77,34 @@ def fold_py(doc_id: int, n: int) -> int:
     return zlib.crc32(str(doc_id).encode()) % n
 
 
-def rechunk(batches: Iterator[pa.RecordBatch], rows: int = 4096) -> Iterator[pa.RecordBatch]:
-    """Batches of at most that many rows."""
-    for b in batches:
-        for i in range(0, b.num_rows, rows):
-            yield b.slice(i, rows)
+#: Rows and bytes that are worked on at a time, where each row makes much.
+SMALL_ROWS, SMALL_BYTES = 64, 1 << 20
+
+
+def small(batch: pa.RecordBatch, rows: int = SMALL_ROWS, size: int = SMALL_BYTES) -> Iterator[pa.RecordBatch]:
+    """Slices of a few rows; fewer where rows are long."""
+    each = max(1, min(rows, size * batch.num_rows // max(batch.nbytes, 1)))
+    for i in range(0, batch.num_rows, each):
+        yield batch.slice(i, each)
+
+
+def released(run: Callable) -> Callable:
+    """run, a function of Arrow batches or of a table; after a task's last batch its worker gives memory that is free back to the system, as workers are used again."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return wrapped
+
+
+def give_back() -> None:
+    """Free memory of Python, numpy and Arrow goes back to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass

@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
+from .common import released
 
 WINDOW = 13
 SHINGLE = 3
@@ -120,7 +121,7 @@ def rarity(docs: DataFrame, index: Index) -> dict[int, int]:
             yield pa.RecordBatch.from_arrays([pa.array(x.hashes.view(np.int64)), pa.array(total[s])], ["h", "n"])
 
     # one row for each shingle of the block
-    rows = docs.select("text").mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).collect()
+    rows = docs.select("text").mapInArrow(released(count), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).collect()
     return {r.h & 0xFFFFFFFFFFFFFFFF: r.n for r in rows}
 
 
@@ -158,10 +159,10 @@ def occurrences(w: K.Words, index: Index, looks: dict[int, Lookup]) -> tuple[np.
     start, window = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (starts, windows))
     if not len(start):
         return start, window
-    up, down = K.POWERS.to(len(h) + 1)
-    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h * up[: len(h)])])
-    k = index.size[window]
-    ok = K.mix((total[start + k] - total[start]) * down[start] + k.astype(np.uint64)) == index.hash[window]
+    ok, k = np.zeros(len(start), bool), index.size[window]
+    for n in np.unique(k).tolist():
+        at = np.flatnonzero(k == n)
+        ok[at] = K.window_hash(h[start[at][:, None] + np.arange(n)], n)[:, 0] == index.hash[window[at]]
     start, window = start[ok], window[ok]
     raw = w.data.tobytes()
     ok = np.fromiter((b" ".join(raw[a:b] for a, b in zip(w.start[i : i + index.size[j]], w.end[i : i + index.size[j]], strict=True)) == index.text[j] for i, j in zip(start, window, strict=True)), bool, len(start))
@@ -214,7 +215,7 @@ def probe(docs: DataFrame, index: Index, first: bool, last: bool, carry: tuple[s
                 else:
                     yield pa.RecordBatch.from_arrays([ids, batch.column(1).slice(a, b - a), names, spans, *more], ["doc_id", "text", "items", "spans", *keep])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(released(run), schema)
 
 
 def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block: int = BLOCK, carry: tuple[str, ...] = ()) -> DataFrame:

@@ -2,18 +2,30 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Row
 
 from . import kernels as K
+from .common import released, small
+
+
+def char_hash(points: np.ndarray, n: int) -> np.ndarray:
+    """A hash of every n code points in a row."""
+    x = np.full(max(0, len(points) - n + 1), n, np.uint64)
+    for i in range(n):
+        x ^= points[i : len(points) - n + 1 + i]
+        x *= K.SEED
+        x ^= x >> K.U64(29)
+    return x * K.ODD
 
 
 @dataclass(frozen=True)
 class Grams:
-    """Which n-grams make features; each kind has 2**bits buckets of its own. words, chars: the lengths (chars in UTF-8 bytes)."""
+    """Which n-grams make features; each kind has 2**bits buckets of its own. words, chars: the lengths (chars in code points)."""
 
     words: tuple[int, ...] = (1, 2)
     chars: tuple[int, ...] = (3, 4)
@@ -35,14 +47,10 @@ class Grams:
             for n in self.words:
                 g = h if n == 1 else K.window_hash(h, n)
                 yield (g >> K.U64(64 - self.bits)).astype(np.int64), w.row_at[:-1], np.maximum(w.row_at[1:] - n + 1, w.row_at[:-1])
+        points, at = K.code_points(data, offsets)
         for n in self.chars:
-            x = np.zeros(max(0, len(data) - n + 1), np.uint64)
-            for i in range(n):
-                x |= data[i : len(data) - n + 1 + i].astype(np.uint64) << K.U64(8 * i)
-            x *= K.U64(0x9E3779B97F4A7C15)
-            x ^= x >> K.U64(29)
-            x *= K.U64(0xBF58476D1CE4E5B9)
-            yield (x >> K.U64(64 - self.bits)).astype(np.int64), offsets[:-1], np.maximum(offsets[1:] - n + 1, offsets[:-1])
+            x = char_hash(points, n)
+            yield (x >> K.U64(64 - self.bits)).astype(np.int64), at[:-1], np.maximum(at[1:] - n + 1, at[:-1])
 
     def means(self, data: np.ndarray, offsets: np.ndarray, weights: np.ndarray) -> np.ndarray:
         """Sum over kinds of the mean weight of a row's grams; weights are integers, so that the sums don't depend on batches."""
@@ -79,6 +87,40 @@ def sparse_rows(column: pa.Array, grams: Grams, counts: bool = True) -> Iterator
             yield i[at[j] : at[j + 1]].tobytes(), s[at[j] : at[j + 1]].tobytes()
 
 
+#: Features that a fit takes at most: of the rows in order of a hash, as many as come before this number is reached.
+FEATURES = 16_000_000
+
+
+def fitted(rows: DataFrame, order: list[Column], features: Callable, schema: str, train: Callable, result: str, most: int = FEATURES) -> list[Row]:
+    """What train makes of the rows' features, in a task of an executor: neither texts nor features come to the driver.
+
+    rows: (y, text), a bounded sample; order: what puts them in an order of their own. features: text column -> a pair of
+    bytes (int32 indices, float32 values) of each text. schema: that of y. train: (list of y, list of pairs) -> iterator of record
+    batches (result). Beyond `most` features no more rows are taken, so that long texts can't fill the task's memory.
+    """
+
+    def featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for b in small(whole):
+                pairs = list(features(b.column(1)))
+                yield pa.RecordBatch.from_arrays([b.column(0), *b.columns[2:], pa.array([i for i, _ in pairs], pa.binary()), pa.array([v for _, v in pairs], pa.binary())], ["y", *keys, "i", "v"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ys, pairs, n = [], [], 0
+        for b in batches:
+            for y, i, v in zip(*(b.column(k) for k in range(3)), strict=True):
+                if n < most:
+                    ys.append(y.as_py())
+                    pairs.append((i.as_py(), v.as_py()))
+                    n += len(pairs[-1][0]) // 4
+        yield from train(ys, pairs)
+
+    keys = [f"k{i}" for i in range(len(order))]
+    kinds = ", ".join(f"{k} {rows.select(c.alias(k)).schema[0].dataType.simpleString()}" for k, c in zip(keys, order, strict=True))
+    one = rows.select("y", "text", *(c.alias(k) for c, k in zip(order, keys, strict=True))).mapInArrow(released(featurise), f"y {schema}, {kinds}, i binary, v binary")
+    return one.repartition(1).sortWithinPartitions(*keys, "y", "i", "v").select("y", "i", "v").mapInArrow(released(run), result).collect()
+
+
 class Rows:
     """Sparse rows, in blocks of some hundred thousand features so that no product needs a large temporary."""
 

@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from . import boosting, dom
+from .common import released
 
 #: Made-up pages that the trees are fitted to.
 PAGES = 600
@@ -195,4 +196,4 @@ def html_extract(pages: DataFrame, trees: boosting.Trees | None = None) -> DataF
                 texts = extract([x or "" for x in b.column(2).to_pylist()], cast.value)
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
-    return pages.select(pages["page_id"].cast("long").alias("page_id"), "url", "html").mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    return pages.select(pages["page_id"].cast("long").alias("page_id"), "url", "html").mapInArrow(released(run), "page_id long, url string, text string, n_chars long")

@@ -1,22 +1,28 @@
 """Vectorised text kernels over Arrow string buffers.
 
 Texts are handled as one UTF-8 byte buffer with row offsets, in chunks of about half a megabyte,
-so that no Python string is made for a word. Word and window identities are 64-bit
-polynomial hashes (mod 2**64, odd base, inverted to any start, then mixed).
+so that no Python string is made for a word. Words are known by a 64-bit hash of eight bytes at a
+time, windows by a tree of such hashes; neither is linear (a polynomial modulo 2**64 takes some
+unlike texts for one whatever its base), and long ranges are hashed by BLAKE2b.
 A null text is an empty text.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 
-BASE = 0x9E3779B97F4A7C15
-BASE_INV = pow(BASE, -1, 1 << 64)
 CHUNK = 1 << 19
 U64 = np.uint64
+#: Ranges of more bytes are hashed by BLAKE2b.
+LONG = 32
+SEED = U64(0x9E3779B97F4A7C15)
+ODD = U64(0xD6E8FEB86659FD93)
+#: Keeps the first 0 to 8 bytes of a little-endian integer.
+FIRST = np.array([(1 << 8 * i) - 1 for i in range(9)], np.uint64)
 
 
 def lut(chars: bytes, invert: bool = False) -> np.ndarray:
@@ -45,24 +51,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-class Powers:
-    """Powers of an odd base and of its inverse, mod 2**64, as far as asked for."""
-
-    def __init__(self) -> None:
-        self.up = np.ones(1, U64)
-        self.down = np.ones(1, U64)
-
-    def to(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        while len(self.up) < n:
-            k = len(self.up)
-            self.up = np.concatenate([self.up, self.up * U64(pow(BASE, k, 1 << 64))])
-            self.down = np.concatenate([self.down, self.down * U64(pow(BASE_INV, k, 1 << 64))])
-        return self.up, self.down
-
-
-POWERS = Powers()
-
-
 def buffers(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """The bytes and the n + 1 offsets of a string or binary column; nulls are empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -123,30 +111,67 @@ class Words:
 
 
 def range_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A hash of the bytes of each range."""
-    up, down = POWERS.to(len(data) + 1)
-    total = np.zeros(len(data) + 1, U64)
-    np.cumsum((data.astype(U64) + U64(1)) * up[: len(data)], out=total[1:])
-    return mix((total[end] - total[start]) * down[start] + (end - start).astype(U64) * U64(0xD6E8FEB86659FD93))
+    """A hash of the bytes of each range; ranges are in order of start."""
+    n = end - start
+    out = mix(n.astype(U64) + SEED)
+    if not len(out):
+        return out
+    cuts = (np.flatnonzero(np.diff(start // CHUNK)) + 1).tolist()
+    for a, b in zip([0, *cuts], [*cuts, len(start)], strict=True):
+        low, high = int(start[a]), min(int(start[b - 1]) + LONG, len(data))
+        part = np.zeros(high - low + 8, np.uint8)
+        part[:-8] = data[low:high]
+        eight = np.ascontiguousarray(np.ndarray(len(part) - 7, "<u8", part, strides=(1,)))  # the eight bytes from each on
+        at, left, h = start[a:b] - low, n[a:b], out[a:b]
+        h[:] = mix(h ^ (eight.take(at) & FIRST.take(np.minimum(left, 8))))
+        more = np.flatnonzero((left > 8) & (left <= LONG))
+        for done in range(8, LONG, 8):
+            if not len(more):
+                break
+            rest = left.take(more) - done
+            h[more] = mix(h.take(more) ^ (eight.take(at.take(more) + done) & FIRST.take(np.minimum(rest, 8))))
+            more = more[rest > 8]
+    for i in np.flatnonzero(n > LONG).tolist():
+        out[i] ^= U64(int.from_bytes(hashlib.blake2b(data[start[i] : end[i]].tobytes(), digest_size=8).digest(), "little"))
+    return out
+
+
+def join(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """A hash of a run, from those of its two parts."""
+    x = a * SEED
+    x ^= b
+    x ^= x >> U64(32)
+    x *= ODD
+    x ^= x >> U64(29)
+    return x
 
 
 def window_hash(h: np.ndarray, k: int) -> np.ndarray:
-    """A hash of h[i:i+k] for every i up to len(h) - k; callers keep windows within a row."""
-    n = len(h) - k + 1
+    """A hash of h[i:i+k] for every i up to len(h) - k (along the last axis); callers keep windows within a row."""
+    n = h.shape[-1] - k + 1
     if n <= 0:
-        return np.zeros(0, U64)
-    up, down = POWERS.to(len(h) + 1)
-    total = np.zeros(len(h) + 1, U64)
-    np.cumsum(h * up[: len(h)], out=total[1:])
-    return mix((total[k:] - total[:n]) * down[:n] + U64(k))
-
-
-def sequence_hash(h: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """A hash of h[at[i]:at[i+1]] for each i."""
-    up, down = POWERS.to(len(h) + 1)
-    total = np.zeros(len(h) + 1, U64)
-    np.cumsum(h * up[: len(h)], out=total[1:])
-    return mix((total[at[1:]] - total[at[:-1]]) * down[at[:-1]] + np.diff(at).astype(U64))
+        return np.zeros((*h.shape[:-1], 0), U64)
+    out, have, power, size = None, 0, h, 1
+    while True:  # power: hashes of runs of `size`, a power of two
+        if k & size:
+            part = power[..., have : have + n]
+            out = part if out is None else join(out, part)
+            have += size
+        if have == k:
+            return out
+        power = join(power[..., :-size], power[..., size:])
+        size *= 2
+
+
+def code_points(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The code points of rows of UTF-8, and where each row's begin (n + 1). Of bytes that are no UTF-8, each is one."""
+    if not len(data) or data.max() < 0x80:
+        return data, offsets
+    at = np.zeros(len(data) + 1, np.int64)
+    np.cumsum(chars(data), out=at[1:])
+    at = at[offsets]
+    points = np.frombuffer(data.tobytes().decode("utf-8", "replace").encode("utf-32-le"), "<u4")
+    return (points, at) if len(points) == at[-1] else (data, offsets)
 
 
 def window_starts(row_at: np.ndarray, k: int) -> np.ndarray:

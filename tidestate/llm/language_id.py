@@ -1,9 +1,9 @@
 """Language identification: sparse multinomial logistic regression on TF-IDF character n-grams.
 
-Features are byte 2-, 3- and 4-grams of the lower-cased (A-Z) text, hashed to 2**16 buckets; a value is
+Features are 2-, 3- and 4-grams of the code points of the lower-cased (A-Z) text, hashed to 2**16 buckets; a value is
 the gram's share of the text times its inverse document frequency, counted over all documents
 that may be learned from. The regression is fitted by follow-the-regularised-leader (proximal, per
-coordinate, L1 and L2) to at most SAMPLE documents, about as many of each language, and a
+coordinate, L1 and L2) to at most SAMPLE documents (hashed.FEATURES features at most), about as many of each language, in a task of an executor, and a
 temperature fitted on a fifth of them turns its scores into probabilities.
 
 Defined results. A null text, or one without a letter (Unicode category L), is `und` with score 0, and so is
@@ -22,7 +22,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import fold
+from .common import fold, released
+from .hashed import char_hash, fitted
 
 BITS = 16
 DIMS = 1 << BITS
@@ -36,27 +37,29 @@ SCALE = 100.0
 LETTERS = K.lut(bytes([*range(65, 91), *range(97, 123)]))
 
 
-def gram_buckets(data: np.ndarray) -> list[np.ndarray]:
-    """Buckets of the grams of each length, by first byte."""
-    out = []
-    for n in LENGTHS:
-        x = np.full(max(0, len(data) - n + 1), n, np.uint64)
-        for i in range(n):
-            x = (x << K.U64(8)) | data[i : len(data) - n + 1 + i]
-        x *= K.U64(0x9E3779B97F4A7C15)
-        x ^= x >> K.U64(32)
-        x *= K.U64(0xD6E8FEB86659FD93)
-        out.append((x >> K.U64(64 - BITS)).astype(np.int64))
-    return out
+def gram_buckets(points: np.ndarray) -> list[np.ndarray]:
+    """Buckets of the grams of each length, by first code point."""
+    return [(char_hash(points, n) >> K.U64(64 - BITS)).astype(np.int64) for n in LENGTHS]
 
 
 def row_buckets(data: np.ndarray, offsets: np.ndarray) -> Iterator[np.ndarray]:
-    """All gram buckets of each row."""
-    per = gram_buckets(data)
-    for a, b in zip(offsets[:-1], offsets[1:], strict=True):
+    """All gram buckets of each row of text."""
+    points, at = K.code_points(K.LOWER[data], offsets)
+    per = gram_buckets(points)
+    for a, b in zip(at[:-1], at[1:], strict=True):
         yield np.concatenate([g[a : max(a, b - n + 1)] for n, g in zip(LENGTHS, per, strict=True)])
 
 
+def counted(column: pa.Array) -> Iterator[tuple[bytes, bytes]]:
+    """Each text's distinct buckets and how often it has them, as bytes."""
+    data, offsets = K.buffers(column)
+    for a, b in K.chunks(offsets, K.CHUNK >> 1):
+        for g in row_buckets(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]):
+            n = np.bincount(g, minlength=DIMS)
+            i = np.flatnonzero(n)
+            yield i.astype("<i4").tobytes(), n[i].astype("<f4").tobytes()
+
+
 def document_frequency(docs: DataFrame) -> tuple[np.ndarray, int]:
     """In how many of docs (text) each bucket occurs, and the number of docs."""
 
@@ -65,7 +68,7 @@ def document_frequency(docs: DataFrame) -> tuple[np.ndarray, int]:
         for batch in batches:
             data, offsets = K.buffers(batch.column(0))
             for a, b in K.chunks(offsets, K.CHUNK >> 1):
-                for g in row_buckets(K.LOWER[data[offsets[a] : offsets[b]]], offsets[a : b + 1] - offsets[a]):
+                for g in row_buckets(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]):
                     seen[:] = False
                     seen[g] = True
                     total += seen
@@ -73,7 +76,7 @@ def document_frequency(docs: DataFrame) -> tuple[np.ndarray, int]:
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(total[at], rows))], ["bucket", "n"])
 
-    got = docs.select("text").mapInArrow(count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()  # at most 2**16 + 1 rows
+    got = docs.select("text").mapInArrow(released(count), "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()  # at most 2**16 + 1 rows
     bucket, n = got["bucket"].to_numpy(), got["n"].to_numpy()
     df = np.zeros(DIMS, np.int64)
     df[bucket[bucket >= 0]] = n[bucket >= 0]
@@ -130,23 +133,30 @@ def fit(docs: DataFrame, may_learn: Column, sample: int = SAMPLE) -> dict | None
     # a hash of doc_id below a bound of each language's own picks about sample / languages rows of each
     parts, each = 1 << 20, max(1, sample // len(per))
     bound = F.element_at(F.create_map(*[F.lit(x) for k, v in per.items() for x in (k, max(1, min(parts, parts * each // v)))]), F.col("lang"))
-    chosen = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(parts)) < bound).orderBy(F.xxhash64("doc_id", F.lit(1)), "doc_id").limit(sample)
-    got = chosen.select("text", "lang").collect()
-    langs = sorted({r["lang"] for r in got})
-    if not langs:
+    order = [F.xxhash64("doc_id", F.lit(1)), F.col("doc_id"), F.xxhash64("text")]
+    chosen = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(parts)) < bound).orderBy(*order).limit(sample)
+
+    def train(ys: list, pairs: list) -> Iterator[pa.RecordBatch]:
+        langs = sorted(set(ys))
+        if not langs:
+            return
+        rows = []
+        for i, c in pairs:
+            at, n = np.frombuffer(i, "<i4").astype(np.int64), np.frombuffer(c, "<f4").astype(float)
+            rows.append((np.append(at, DIMS), np.append(n / max(n.sum(), 1) * idf[at] * SCALE, 1.0)))
+        y = np.array([langs.index(c) for c in ys])
+        aside = np.arange(len(y)) % 5 == 4
+        w, bias = ftrl([r for r, s in zip(rows, aside, strict=True) if not s], y[~aside], len(langs))
+        z = np.array([v[:-1] @ w[i[:-1]] + bias for (i, v), s in zip(rows, aside, strict=True) if s]).reshape(-1, len(langs))
+        fixed = np.round(w * idf[:, None] * SCALE * (1 << 20)).astype("<i8")
+        cols = [pa.array([langs]), pa.array([fixed.tobytes()], pa.binary()), pa.array([bias.tolist()]), pa.array([temperature(z, y[aside])])]
+        yield pa.RecordBatch.from_arrays(cols, ["langs", "w", "bias", "t"])
+
+    got = fitted(chosen.withColumnRenamed("lang", "y"), order, counted, "string", train, "langs array<string>, w binary, bias array<double>, t double")
+    if not got:
         return None
-    rows = []
-    for r in got:
-        raw = np.frombuffer(r["text"].encode(), np.uint8)
-        g = next(row_buckets(K.LOWER[raw], np.array([0, len(raw)], np.int64)))
-        i, c = np.unique(g, return_counts=True)
-        rows.append((np.append(i, DIMS), np.append(c / max(len(g), 1) * idf[i] * SCALE, 1.0)))
-    y = np.array([langs.index(r["lang"]) for r in got])
-    aside = np.arange(len(y)) % 5 == 4
-    w, bias = ftrl([r for r, s in zip(rows, aside, strict=True) if not s], y[~aside], len(langs))
-    z = np.array([v[:-1] @ w[i[:-1]] + bias for (i, v), s in zip(rows, aside, strict=True) if s]).reshape(-1, len(langs))
-    fixed = np.round(w * idf[:, None] * SCALE * (1 << 20)).astype(np.int64)
-    return {"langs": langs, "w": fixed, "bias": bias, "t": temperature(z, y[aside])}
+    m = got[0]
+    return {"langs": m.langs, "w": np.frombuffer(m.w, "<i8").reshape(DIMS, -1), "bias": np.array(m.bias), "t": m.t}
 
 
 def predict(docs: DataFrame, model: dict | None) -> DataFrame:
@@ -166,7 +176,8 @@ def predict(docs: DataFrame, model: dict | None) -> DataFrame:
                 if m is not None:
                     total = np.zeros((b - a, len(m["langs"])))
                     grams = np.zeros(b - a, np.int64)
-                    for n, g in zip(LENGTHS, gram_buckets(K.LOWER[d]), strict=True):
+                    points, o = K.code_points(K.LOWER[d], o)
+                    for n, g in zip(LENGTHS, gram_buckets(points), strict=True):
                         end = np.maximum(o[1:] - n + 1, o[:-1])
                         start = np.minimum(o[:-1], end)
                         grams += end - start
@@ -180,7 +191,7 @@ def predict(docs: DataFrame, model: dict | None) -> DataFrame:
                     score = np.where(lettered, np.round(p.max(1), 6), 0.0)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(best, pa.string()), pa.array(score)], ["doc_id", "lang_pred", "score"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, lang_pred string, score double")
+    return docs.select("doc_id", "text").mapInArrow(released(run), "doc_id long, lang_pred string, score double")
 
 
 def held_out(doc_id: str = "doc_id") -> Column:

@@ -1,13 +1,16 @@
 """Mixing sources to target weights by entropy balancing.
 
-The mix is the distribution of tokens over documents closest (in relative entropy) to the corpus
-whose tokens of each source add up to that source's target. Its dual is convex; with a multiplier
-l_s for each source's token constraint, every document of s gets the rate exp(l_s), an
-exponential tilt of its base rate 1. The multipliers are found by Newton steps; gradient and
-curvature of a step are sums over (source, size) groups, made from all documents once and then
-read from the shared folder. Rates become copies from the longest documents of a source to
+The mix gives each document a rate (how often it is taken) between 0 and `most`. Of all rates whose tokens add up to the target of each
+source, those of least relative entropy to the corpus (rate 1 for all) are taken: with a multiplier l for each source's token
+constraint, a document of `size` tokens has the rate min(most, exp(l * size)), an exponential tilt by its tokens. The dual is convex and
+separates by source: sum(phi(l * size)) - l * target over its documents, phi being exp, continued as a line from log(most) on. Newton steps,
+held within a bracket, find l; a source that does not converge raises an error. Gradient and curvature are sums over documents of
+functions of their size alone, so documents are first counted by (source, size), in one aggregation over all of them, and the steps run in
+executors' tasks, a source each, over its distinct sizes (no more than the root of twice its tokens, as sizes are whole numbers).
+
+Rates become copies from the longest documents of a source to
 the shortest: each size's documents share the copies that bring the words taken so far nearest to
-the words due, within the whole numbers around the rate; what remains is carried to the next size. A source so
+the words due, within the whole numbers around the rate and as far as shorter documents can make good what remains. A source so
 ends within about its shortest documents' size of its target. Among documents of one size the copies are dealt evenly.
 
 Ranks are counted in two levels, over (source, size, salt) groups and then within a group, so
@@ -22,7 +25,9 @@ of their own, as each row is. An empty table gives an empty result. Other column
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -31,9 +36,9 @@ from .common import bytes_of, stored
 
 #: No document is taken more often.
 MOST = 3
-#: Newton stops at this relative error of every source, or after STEPS.
-TOLERANCE = 1e-12
-STEPS = 60
+#: Newton ends at this relative error of a source's tokens; after STEPS without it an error is raised.
+TOLERANCE = 1e-10
+STEPS = 200
 #: Weights of the sources in order, repeating.
 WEIGHTS = (1, 2, 3)
 
@@ -66,46 +71,86 @@ def targets(sources: DataFrame, most: int = MOST) -> DataFrame:
     return w.select("source", "source_size", "weight", F.when(F.col("level") * F.col("weight") >= most * F.col("source_size"), (most * F.col("source_size")).cast("double")).otherwise(F.col("level") * F.col("weight")).alias("target"))
 
 
-def newton(groups: DataFrame, goal: DataFrame, most: int = MOST) -> DataFrame:
-    """goal (source, source_size, target) with rate = exp(multiplier), by Newton steps on the dual.
+def newton(size: np.ndarray, n: np.ndarray, target: float, most: float = MOST) -> float:
+    """The multiplier at which sum(n * size * min(most, exp(l * size))) is the target; infinite where only `most` copies of all reach it.
 
-    groups: source, size, n. The dual of a source is sum(n * size * exp(l)) - l * target. Whole numbers are
-    summed before they are tilted, so that reruns agree to the last bit.
+    size, n: distinct sizes in order and how many documents have each. Sizes are scaled by their mean, so that steps are of about 1.
     """
-    state = stored(goal.withColumn("l", F.lit(0.0)), "mix-dual")
+    s, n = size.astype(float), n.astype(float)
+    total = float((n * s).sum())
+    if total <= 0 or target <= 0:
+        return -math.inf
+    if target >= most * total * (1 - 1e-12):
+        return math.inf
+    scale = total / n.sum()
+    x, top = s / scale, math.log(most)
+    low, high, l = -math.inf, math.inf, 0.0
     for _ in range(STEPS):
-        s, g = state.alias("s"), groups.alias("g")
-        tilted = s.join(g, F.expr("s.source <=> g.source"), "left").groupBy("s.source", "s.source_size", "s.weight", "s.target", "s.l").agg((F.exp("s.l") * F.sum(F.col("g.n") * F.col("g.size"))).alias("tokens"))
-        gradient = F.col("tokens") - F.col("target")
-        # the curvature of exp is its value; a step is held to 2, and sources without tokens or target stay
-        step = F.when((F.col("tokens") > 0) & (F.col("target") > 0), F.greatest(F.lit(-2.0), F.least(F.lit(2.0), gradient / F.col("tokens")))).otherwise(0.0)
-        moved = tilted.select("source", "source_size", "weight", "target", (F.col("l") - step).alias("l"), (F.abs(gradient) / F.greatest(F.col("target"), F.lit(1.0))).alias("off"))
-        moved = stored(moved, "mix-dual")
-        state = moved.drop("off")
-        if (moved.agg(F.max("off")).first()[0] or 0.0) < TOLERANCE:
-            break
-    rate = F.when((F.col("source_size") > 0) & (F.col("target") > 0), F.least(F.lit(float(most)), F.exp("l"))).otherwise(0.0)
-    return state.withColumn("rate", rate)
-
-
-def rounded(group: pd.DataFrame) -> pd.DataFrame:
-    """The copies that the documents of each size share; the rows of one source."""
-    group = group.sort_values("size", ascending=False)
-    rate = float(group["rate"].iloc[0])
-    low, high = math.floor(rate + 1e-9), math.ceil(rate - 1e-9)
-    due, out = 0.0, []
-    for size, n in zip(group["size"].tolist(), group["n"].tolist(), strict=True):
-        due += rate * size * n
-        c = min(max(round(due / size), low * n), high * n) if size else 0
-        due -= c * size
-        out.append(c)
-    return group.assign(group_n=group["n"], group_copies=out)[["source", "size", "source_size", "target", "rate", "group_n", "group_copies"]]
+        u = l * x
+        tilted = np.exp(np.minimum(u, top)) * n * s
+        off = float(tilted.sum()) - target
+        if abs(off) <= TOLERANCE * target:
+            return l / scale
+        low, high = (l, high) if off < 0 else (low, l)
+        curve = float((tilted * x)[u < top].sum())
+        step = l - off / curve if curve > 0 else math.inf
+        if not low < step < high:  # outside what is known: halve, or go on from the known end
+            step = (low + high) / 2 if math.isfinite(low) and math.isfinite(high) else 2 * l + (1.0 if off < 0 else -1.0)
+        l = step
+        if math.isfinite(high - low) and high - low <= 1e-15 * max(abs(low), abs(high)):
+            return l / scale
+    raise RuntimeError("entropy balancing did not converge")
+
+
+def rate_of(size: np.ndarray, l: float, most: float = MOST) -> np.ndarray:
+    """min(most, exp(l * size)); 0 for documents without words."""
+    if math.isinf(l):
+        return np.where(size > 0, float(most) if l > 0 else 0.0, 0.0)
+    return np.where(size > 0, np.exp(np.minimum(l * size, math.log(most))), 0.0)
+
+
+def rounded(size: np.ndarray, n: np.ndarray, rate: np.ndarray) -> np.ndarray:
+    """The copies that the documents of each size share, from the longest to the shortest.
+
+    Each size's copies lie within the whole numbers around its rate and bring the words taken nearest to the words due, as far as
+    the shorter documents can still make good what is left.
+    """
+    order = np.argsort(-size, kind="stable")
+    s, k, r = size[order], n[order], rate[order]
+    least, most = np.floor(r + 1e-9) * k, np.ceil(r - 1e-9) * k
+    # words by which what comes after may go below and beyond its due
+    below = np.append(np.cumsum(((r * k - least) * s)[::-1])[::-1][1:], 0.0)
+    beyond = np.append(np.cumsum(((most - r * k) * s)[::-1])[::-1][1:], 0.0)
+    due, out = 0.0, np.zeros(len(size), np.int64)
+    for i, (at, each, low, high, words_due) in enumerate(zip(order.tolist(), s.tolist(), least.tolist(), most.tolist(), (r * k * s).tolist(), strict=True)):
+        due += words_due
+        if each:
+            c, first, last = round(due / each), math.ceil((due - beyond[i]) / each), math.floor((due + below[i]) / each)
+            c = min(max(c, first), last) if first <= last else c
+            out[at] = min(max(c, int(low)), int(high))
+            due -= int(out[at]) * each
+    return out
+
+
+PLAN = "source string, size long, source_size long, target double, rate double, group_n long, group_copies long"
+
+
+def balanced(most: int) -> Callable:
+    """A function of one source's rows (source, size, n, source_size, target) that gives their plan."""
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("size")
+        size, n = group["size"].to_numpy(), group["n"].to_numpy()
+        rate = rate_of(size, newton(size, n, float(group["target"].iloc[0]), most), most)
+        return group.assign(rate=rate, group_n=n, group_copies=rounded(size, n, rate))[[c.split()[0] for c in PLAN.split(", ")]]
+
+    return run
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", goal: DataFrame | None = None, most: int = MOST, order: list[Column] | None = None) -> DataFrame:
     """doc_id, source, size, source_size, target, rate and copies of every document.
 
-    goal: source, source_size, weight, target, if not that of `targets`. order: by what copies are dealt among documents of
+    goal: source, source_size, target, if not that of `targets`. order: by what copies are dealt among documents of
     one size, if not by doc_id.
     """
     spark = docs.sparkSession
@@ -119,12 +164,9 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     sizes = groups.groupBy("source", "size").agg(F.sum("n").alias("n"))
     if goal is None:
         goal = targets(sizes.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size")), most)
-    rates = newton(sizes, goal, most)
-
-    r, q = sizes.alias("r"), rates.alias("q")
-    plan = r.join(q, F.expr("r.source <=> q.source")).select("r.source", "r.size", "r.n", "q.source_size", "q.target", "q.rate")
-    # a group holds one row for each distinct size of a source
-    plan = stored(plan.groupBy("source").applyInPandas(rounded, "source string, size long, source_size long, target double, rate double, group_n long, group_copies long"), "mix-plan")
+    r, q = sizes.alias("r"), stored(goal.select("source", "source_size", "target"), "mix-goal").alias("q")
+    plan = r.join(q, F.expr("r.source <=> q.source")).select("r.source", "r.size", "r.n", "q.source_size", "q.target")
+    plan = stored(plan.groupBy("source").applyInPandas(balanced(most), PLAN), "mix-plan")
     before = Window.partitionBy("source", "size").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     r, q = groups.withColumn("rank0", F.coalesce(F.sum("n").over(before), F.lit(0))).alias("r"), plan.alias("q")
     ranked = r.join(q, F.expr("r.source <=> q.source and r.size = q.size")).select("q.*", "r.salt", "r.rank0")

@@ -25,6 +25,8 @@ Other columns are ignored.
 
 from __future__ import annotations
 
+import hashlib
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import stored
+from .common import released, stored
 from .components import components
 
 ROWS, BANDS = 5, 40
@@ -58,7 +60,7 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndar
     key, row = K.window_hash(h, k)[starts] if len(starts) else np.zeros(0, np.uint64), np.searchsorted(w.row_at, starts, "right") - 1
     short = np.flatnonzero((w.count > 0) & (w.count < k))
     if len(short):
-        whole = np.array([K.sequence_hash(h[w.row_at[r] : w.row_at[r + 1]], np.array([0, w.count[r]]))[0] for r in short], np.uint64)
+        whole = np.array([K.window_hash(h[w.row_at[r] : w.row_at[r + 1]], int(w.count[r]))[0] for r in short], np.uint64)
         key, row = np.concatenate([key, whole]), np.concatenate([row, short])
     order = np.lexsort((key, row))
     key, row = key[order], row[order]
@@ -102,8 +104,8 @@ def signed(docs: DataFrame, k: int) -> DataFrame:
                 bands, signature = np.full(b - a, None, object), np.full(b - a, None, object)
                 if len(full):
                     begin = np.append(at[full], at[-1])
-                    cols[0][full] = K.sequence_hash(sets, begin).view(np.int64)
-                    cols[1][full] = K.sequence_hash(K.mix(sets ^ K.U64(0x5851F42D4C957F2D)), begin).view(np.int64)
+                    digest = b"".join(hashlib.blake2b(sets[i:j].tobytes(), digest_size=16).digest() for i, j in itertools.pairwise(begin.tolist()))
+                    cols[0][full], cols[1][full] = np.frombuffer(digest, np.int64).reshape(-1, 2).T
                     m = minima(sets, begin)
                     band = np.empty((len(full), BANDS), np.uint64)
                     for j in range(BANDS):
@@ -117,7 +119,7 @@ def signed(docs: DataFrame, k: int) -> DataFrame:
                 none = size == 0
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(size), *(pa.array(c, mask=none) for c in cols), pa.array(bands, pa.binary()), pa.array(signature, pa.binary())], [x.split()[0] for x in SIGNED.split(", ")])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, SIGNED)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(released(run), SIGNED)
 
 
 def bucket_rows(classes: DataFrame) -> DataFrame:
@@ -128,7 +130,7 @@ def bucket_rows(classes: DataFrame) -> DataFrame:
             data, _ = K.buffers(b.column(1))
             yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(data.tobytes(), np.int64)), pa.array(np.repeat(b.column(0).to_numpy(), BANDS))], ["bucket", "node"])
 
-    return classes.select("node", "bands").mapInArrow(run, "bucket long, node long")
+    return classes.select("node", "bands").mapInArrow(released(run), "bucket long, node long")
 
 
 def agreeing(pairs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -141,7 +143,7 @@ def agreeing(pairs: DataFrame, classes: DataFrame) -> DataFrame:
 
     s = classes.select("node", "signature")
     both = pairs.join(s.withColumnRenamed("signature", "s1"), "node").join(s.select(F.col("node").alias("hub"), F.col("signature").alias("s2")), "hub")
-    return both.select("hub", "node", "s1", "s2").mapInArrow(run, "hub long, node long")
+    return both.select("hub", "node", "s1", "s2").mapInArrow(released(run), "hub long, node long")
 
 
 def with_sets(rows: DataFrame, docs: DataFrame, k: int) -> DataFrame:
@@ -158,7 +160,7 @@ def with_sets(rows: DataFrame, docs: DataFrame, k: int) -> DataFrame:
                 sets, at = shingle_sets(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], k)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array([sets[at[i] : at[i + 1]].tobytes() for i in range(b - a)], pa.binary())], ["node", "shingles"])
 
-    return rows.join(d.mapInArrow(run, "node long, shingles binary"), "node")
+    return rows.join(d.mapInArrow(released(run), "node long, shingles binary"), "node")
 
 
 def dealt(rows: DataFrame, size: int) -> DataFrame:
@@ -284,6 +286,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     state = linked(nodes, links.unionByName(more))
     # by class first: what then meets at a class of many copies is a plain join, whose large partitions can be split
     of_class = classes.select("d1", "d2", "node").join(state, "node").select("d1", "d2", "component")
-    done = all_docs.join(of_class, ["d1", "d2"], "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
-    return done.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
+    within = F.col("d1").isNotNull() & F.col("doc_id").isNotNull()
+    done = all_docs.where(within).join(of_class, ["d1", "d2"], "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+    # empty sets and null doc_ids have no class: they stay out of the join, where they all would be one key
+    done = done.unionByName(all_docs.where(~within).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
+    return done.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))

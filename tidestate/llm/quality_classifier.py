@@ -1,9 +1,9 @@
 """Quality classifier: naive Bayes support vectors.
 
-Features are indicators of word 1- and 2-grams and byte 4-grams, each kind hashed to 2**16 buckets. Each is
+Features are indicators of word 1- and 2-grams and character 4-grams (of code points), each kind hashed to 2**16 buckets. Each is
 scaled by its class log-count ratio, counted over all labelled rows that may be learned from; a text's
 features are then divided by the root of their number. A linear hinge-loss model is fitted to at most SAMPLE of the rows
-by dual coordinate descent, and Platt's method on a fifth of them turns margins into probabilities.
+(hashed.FEATURES features at most), in a task, by dual coordinate descent, and Platt's method on a fifth of them turns margins into probabilities.
 
 Defined results. A null text is empty; an empty text has no features and the score of the bias. Labels
 other than 0 and 1 are ignored; of several labels of one doc_id the least holds. Without labels of both kinds
@@ -20,8 +20,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import fold
-from .hashed import Grams, platt, sigmoid
+from .common import fold, released
+from .hashed import Grams, fitted, platt, sigmoid
 
 GRAMS = Grams(words=(1, 2), chars=(4,), bits=16)
 #: Labelled rows that the hinge-loss model is fitted to, at most.
@@ -67,7 +67,7 @@ def log_count_ratios(rows: DataFrame) -> np.ndarray | None:
         cols = [np.append(at, -1), np.append(total[0, at], n[0]), np.append(total[1, at], n[1])]
         yield pa.RecordBatch.from_arrays([pa.array(cols[0].astype(np.int32)), pa.array(cols[1]), pa.array(cols[2])], ["f", "bad", "good"])
 
-    got = rows.select("text", "quality").mapInArrow(count, "f int, bad long, good long").groupBy("f").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good")).toArrow()  # at most a row a bucket
+    got = rows.select("text", "quality").mapInArrow(released(count), "f int, bad long, good long").groupBy("f").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good")).toArrow()  # at most a row a bucket
     f, bad, good = (got[c].to_numpy() for c in ("f", "bad", "good"))
     if not (bad[f < 0].sum() and good[f < 0].sum()):
         return None
@@ -109,19 +109,17 @@ def fit(docs: DataFrame, labels: DataFrame, may_learn: Column, sample: int = SAM
     few = labels.where("quality in (0, 1) and doc_id is not null").where(may_learn).groupBy("doc_id").agg(F.min("quality").cast("int").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     chosen = docs.select("doc_id", "text").join(F.broadcast(few), "doc_id")  # at most `sample` rows of two numbers
 
-    def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            f = [np.sort(x).astype(np.int32).tobytes() for x in distinct(b.column(1))]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(f, pa.binary())], ["doc_id", "quality", "f"])
+    def train(ys: list, pairs: list) -> Iterator[pa.RecordBatch]:
+        x, y = [np.frombuffer(f, np.int32) for f, _ in pairs], np.array([2 * q - 1 for q in ys])
+        aside = np.arange(len(y)) % 5 == 4
+        w, bias = dual_descent([f for f, s in zip(x, aside, strict=True) if not s], y[~aside], r)
+        w = w * r
+        margin = np.array([w[f].sum() / np.sqrt(max(len(f), 1)) + bias for f, s in zip(x, aside, strict=True) if s])
+        slope, shift = platt(margin, (y[aside] > 0).astype(float))
+        yield pa.RecordBatch.from_arrays([pa.array([np.round(w * (1 << 20)).astype("<i8").tobytes()], pa.binary()), *(pa.array([float(v)]) for v in (bias, slope, shift))], ["w", "bias", "slope", "shift"])
 
-    got = sorted(chosen.select("doc_id", "text", "quality").mapInArrow(features, "doc_id long, quality int, f binary").collect(), key=lambda v: (v.doc_id, bytes(v.f)))
-    x, y = [np.frombuffer(v.f, np.int32) for v in got], np.array([2 * v.quality - 1 for v in got])
-    aside = np.arange(len(y)) % 5 == 4
-    w, bias = dual_descent([f for f, s in zip(x, aside, strict=True) if not s], y[~aside], r)
-    w = w * r
-    margin = np.array([w[f].sum() / np.sqrt(max(len(f), 1)) + bias for f, s in zip(x, aside, strict=True) if s])
-    slope, shift = platt(margin, (y[aside] > 0).astype(float))
-    return {"w": np.round(w * (1 << 20)).astype(np.int64), "bias": bias, "slope": slope, "shift": shift}
+    got = fitted(chosen.withColumnRenamed("quality", "y"), [F.xxhash64("doc_id"), F.col("doc_id")], lambda c: ((np.sort(f).astype(np.int32).tobytes(), b"") for f in distinct(c)), "int", train, "w binary, bias double, slope double, shift double")
+    return {"w": np.frombuffer(got[0]["w"], "<i8"), **{k: got[0][k] for k in ("bias", "slope", "shift")}}
 
 
 def score(docs: DataFrame, model: dict | None) -> DataFrame:
@@ -137,7 +135,7 @@ def score(docs: DataFrame, model: dict | None) -> DataFrame:
                 p = np.round(sigmoid(m["slope"] * margin + m["shift"]), 6)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(p)], ["doc_id", "score"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double")
+    return docs.select("doc_id", "text").mapInArrow(released(run), "doc_id long, score double")
 
 
 def held_out(doc_id: str = "doc_id") -> Column:

@@ -1,8 +1,8 @@
 """Quality rules: fixed counts per document, and a hashed n-gram logistic regression fitted to labelled rows.
 
 The regression reads word 1- and 2-grams and character 3- and 4-grams, each kind hashed to
-2**18 buckets; a feature's value is its share of the text's grams of that kind. It is fitted by
-AdaGrad with an L2 penalty to at most SAMPLE labelled rows (those of the smallest hash of doc_id),
+2**18 buckets; a feature's value is its share of the text's grams of that kind. Characters are code points. It is fitted by
+AdaGrad with an L2 penalty to at most SAMPLE labelled rows (those of the smallest hash of doc_id; hashed.FEATURES features at most),
 calibrated by Platt's method on a fifth of them, and scored in Arrow batches against KEEP.
 
 Defined results. A null text is empty; an empty text has zero counts and fails the base rule of
@@ -21,7 +21,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .hashed import Grams, Rows, platt, sigmoid, sparse_rows
+from .common import released
+from .hashed import Grams, Rows, fitted, platt, sigmoid, sparse_rows
 
 #: Labelled rows that the regression is fitted to, at most.
 SAMPLE = 2000
@@ -47,14 +48,14 @@ def base_counts(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
     end = np.minimum(end, offsets[np.minimum(of + 1, n)]) if n else end
     has = np.searchsorted(w.start, begin) < np.searchsorted(w.start, end)
     begin, end, of = begin[has], end[has], of[has]
-    key = K.mix(K.range_hash(data, begin, end) + K.mix(row[of] + K.U64(1)))
+    key = K.join(K.range_hash(data, begin, end), K.mix(row[of] + K.U64(1)))
     _, first = np.unique(key, return_index=True)
     again = np.ones(len(key), bool)
     again[first] = False
     out["n_dup_lines"] = np.bincount(of[again], minlength=n)
     starts = K.window_starts(w.row_at, 8)
     h = K.window_hash(w.hashes(), 8)
-    key = K.mix(h[starts] + K.mix(w.row[starts].astype(np.uint64) + K.U64(1)))
+    key = K.join(h[starts], K.mix(w.row[starts].astype(np.uint64) + K.U64(1)))
     order = np.argsort(key)
     same = key[order][1:] == key[order][:-1]
     twice = np.zeros(len(key), bool)
@@ -73,35 +74,33 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, l2: float = 1e
     # at most `sample` rows of two numbers: a proven bound
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
 
-    def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            pairs = list(sparse_rows(b.column(1), GRAMS))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([i for i, _ in pairs], pa.binary()), pa.array([v for _, v in pairs], pa.binary())], ["doc_id", "quality", "i", "v"])
-
-    def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = sorted(((d, q, bytes(i), bytes(v)) for b in batches for d, q, i, v in zip(*(b.column(k).to_pylist() for k in range(4)), strict=True)), key=lambda r: (r[0], r[2]))
-        y = np.array([r[1] for r in got], float)
-        if len(set(y.tolist())) < 2:
+    def train(ys: list, pairs: list) -> Iterator[pa.RecordBatch]:
+        y = np.array(ys, float)
+        if len(set(ys)) < 2:
             return
         aside = np.arange(len(y)) % 5 == 4
-        a, b = (Rows([(r[2], r[3]) for r, s in zip(got, aside, strict=True) if s == kind]) for kind in (False, True))
-        del got
-        # AdaGrad on the whole of the fitting rows
-        w, g2, bias, b2 = np.zeros(GRAMS.dims), np.full(GRAMS.dims, 1e-12), 0.0, 1e-12
-        for _ in range(rounds):
-            d = (sigmoid(a.dot(w) + bias) - y[~aside]) / max(len(a), 1)
-            g = a.back(d, GRAMS.dims) + l2 * w
-            g2 += g * g
-            w -= 0.5 * g / np.sqrt(g2)
-            b2 += d.sum() ** 2
-            bias -= 0.2 * d.sum() / np.sqrt(b2)
+        a, b = (Rows([r for r, s in zip(pairs, aside, strict=True) if s == kind]) for kind in (False, True))
+        pairs.clear()
+        w, bias = regression(a, y[~aside], GRAMS.dims, l2, rounds)
         slope, shift = platt(b.dot(w) + bias, y[aside])
         fixed = np.round(w * (1 << 20)).astype("<i4").tobytes()
         yield pa.RecordBatch.from_arrays([pa.array([fixed], pa.binary()), *(pa.array([float(x)]) for x in (bias, slope, shift))], ["w", "bias", "slope", "shift"])
 
-    # at most `sample` rows in one task of an executor, which keeps their features off the driver
-    fitted = rows.mapInArrow(features, "doc_id long, quality int, i binary, v binary").repartition(1).mapInArrow(train, "w binary, bias double, slope double, shift double").collect()
-    return {"w": np.frombuffer(fitted[0]["w"], "<i4"), **{k: fitted[0][k] for k in ("bias", "slope", "shift")}} if fitted else None
+    got = fitted(rows.withColumnRenamed("quality", "y"), [F.xxhash64("doc_id"), F.col("doc_id")], lambda c: sparse_rows(c, GRAMS), "int", train, "w binary, bias double, slope double, shift double")
+    return {"w": np.frombuffer(got[0]["w"], "<i4"), **{k: got[0][k] for k in ("bias", "slope", "shift")}} if got else None
+
+
+def regression(x: Rows, y: np.ndarray, dims: int, l2: float = 1e-5, rounds: int = 60) -> tuple[np.ndarray, float]:
+    """Weights and bias of an L2-penalised logistic regression by AdaGrad on all rows at once."""
+    w, g2, bias, b2 = np.zeros(dims), np.full(dims, 1e-12), 0.0, 1e-12
+    for _ in range(rounds):
+        d = (sigmoid(x.dot(w) + bias) - y) / max(len(x), 1)
+        g = x.back(d, dims) + l2 * w
+        g2 += g * g
+        w -= 0.5 * g / np.sqrt(g2)
+        b2 += d.sum() ** 2
+        bias -= 0.2 * d.sum() / np.sqrt(b2)
+    return w, bias
 
 
 def assess(docs: DataFrame, model: dict | None, keep: float = KEEP, carry: tuple[str, ...] = ()) -> DataFrame:
@@ -124,7 +123,7 @@ def assess(docs: DataFrame, model: dict | None, keep: float = KEEP, carry: tuple
                 cols = [batch.column(0).slice(a, b - a), *(pa.array(c[k].astype(np.int64)) for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")), pa.array(failed), pa.array(~failed & (p >= keep)), pa.array(p), *(batch.column(x).slice(a, b - a) for x in carry)]
                 yield pa.RecordBatch.from_arrays(cols, [*(x.split()[0] for x in SCHEMA.split(", ")), *carry])
 
-    return docs.select("doc_id", "text", *(c for c in carry if c != "text")).mapInArrow(score, schema)
+    return docs.select("doc_id", "text", *(c for c in carry if c != "text")).mapInArrow(released(score), schema)
 
 
 def quality_rules(docs: DataFrame, labels: DataFrame, labelled_docs: DataFrame | None = None, carry: tuple[str, ...] = ()) -> DataFrame:

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from . import kernels as K
 from . import range_coder as R
-from .common import pieces
+from .common import pieces, released
 
 HEAD = struct.Struct("<4s5I")
 #: Ids that a segment holds before it is closed (its last document stays whole).
@@ -37,12 +37,12 @@ SEGMENT = R.BLOCK * R.LANES
 #: Bytes of text tokenized at a time: a new piece is tokenized once for each.
 CHUNK = 1 << 20
 #: Distinct pieces of words whose ids a worker remembers, and places for them.
-REMEMBERED = 1 << 20
+REMEMBERED = 1 << 18
 #: Segments up to which their offsets are broadcast.
 BROADCAST_SEGMENTS = 1_000_000
 #: Bytes of input files for each partition.
 PART_BYTES = 16 << 20
-SLOT_BITS = 21
+SLOT_BITS = 19
 SLOTS = 1 << SLOT_BITS
 #: Fixed values of the tokenizer: its start token, and how the last token of a run of letters ends.
 MARK = "<|startoftext|>"
@@ -246,7 +246,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, partition
             yield close()
 
     ordered = docs.repartitionByRange(n, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first())
-    ordered.mapInArrow(run, "part int, seq int, n_ids long, code binary").write.option("compression", "none").parquet(path)
+    ordered.mapInArrow(released(run), "part int, seq int, n_ids long, code binary").write.option("compression", "none").parquet(path)
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
@@ -266,7 +266,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
                     cols = [pa.array(np.full(b - a, batch.column(j)[i].as_py(), np.int32)) for j in (0, 1)]
                     yield pa.RecordBatch.from_arrays([*cols, pa.array(doc_ids[a:b], mask=known[a:b] == 0), pa.array(at[a:b]), pa.array(sizes[a:b]), body], ["part", "seq", "doc_id", "inside", "n_tokens", "ids"])
 
-    docs = segments.select("part", "seq", "code").mapInArrow(run, "part int, seq int, doc_id long, inside long, n_tokens long, ids binary")
+    docs = segments.select("part", "seq", "code").mapInArrow(released(run), "part int, seq int, doc_id long, inside long, n_tokens long, ids binary")
     # ids before each part (a row a part), and before each segment of it
     parts = segments.groupBy("part").agg(F.sum("n_ids").alias("n")).select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before_part"))
     inside = F.sum("n_ids").over(Window.partitionBy("part").orderBy("seq")) - F.col("n_ids")
