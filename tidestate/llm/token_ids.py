@@ -33,7 +33,7 @@ from .common import pieces, released
 
 HEAD = struct.Struct("<4s5I")
 #: Ids that a segment holds before it is closed (its last document stays whole).
-SEGMENT = R.BLOCK * R.LANES
+SEGMENT = R.BLOCK
 #: Bytes of text tokenized at a time: a new piece is tokenized once for each.
 CHUNK = 1 << 20
 #: Distinct pieces of words whose ids a worker remembers, and places for them.
@@ -182,10 +182,9 @@ def pack(doc_ids: list[int | None], ids: np.ndarray, sizes: np.ndarray, vocabula
     """A segment's bytes. ids: of all its documents; sizes: of each."""
     known = np.array([d is not None for d in doc_ids], np.uint8)
     index = zlib.compress(np.array([d or 0 for d in doc_ids], "<i8").tobytes() + known.tobytes() + sizes.astype("<u4").tobytes(), 1)
-    full, rest = divmod(len(ids), R.BLOCK)
-    blocks = np.array([R.BLOCK] * full + [rest] * (rest > 0), np.int64)
-    codes = R.encode(ids, blocks, vocabulary)
-    table = np.array([[n, len(c), zlib.crc32(c)] for n, c in zip(blocks, codes, strict=True)], "<u4").tobytes()
+    blocks = [ids[a : a + R.BLOCK] for a in range(0, len(ids), R.BLOCK)]
+    codes = [R.encode(b, vocabulary) for b in blocks]
+    table = np.array([[len(b), len(c), zlib.crc32(c)] for b, c in zip(blocks, codes, strict=True)], "<u4").tobytes()
     return HEAD.pack(b"TSR1", vocabulary, len(doc_ids), len(blocks), len(index), zlib.crc32(index)) + index + table + b"".join(codes)
 
 
@@ -200,13 +199,14 @@ def unpack(code: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
     at = HEAD.size + size
     table = np.frombuffer(code, "<u4", 3 * n, at).reshape(n, 3).astype(np.int64)
     at += 12 * n
-    codes = []
-    for _, k, crc in table.tolist():
-        codes.append(code[at : at + k])
+    blocks = []
+    for count, k, crc in table.tolist():
+        block = code[at : at + k]
         at += k
-        if zlib.crc32(codes[-1]) != crc:
+        if zlib.crc32(block) != crc:
             raise ValueError("damaged block")
-    return doc_ids, known, R.decode(codes, table[:, 0], vocabulary), sizes
+        blocks.append(R.decode(block, count, vocabulary).astype(np.uint32))
+    return doc_ids, known, np.concatenate(blocks), sizes
 
 
 def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, partitions: int | None = None) -> None:
