@@ -251,3 +251,47 @@ def test_lines_that_polynomials_take_for_one(spark, no_labels):
     pairs = [(1, f"{x}\n{y}\n{x}"), (2, " ".join([x] * 8 + [y] * 8 + ["z"] + [y, x] * 5)), (3, f"{x}\n{y}")]
     got = quality_rules.quality_rules(spark.createDataFrame(pairs, "doc_id long, text string"), no_labels).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words").collect()
     assert sorted(map(tuple, got)) == [(i, *base(t)) for i, t in pairs]
+
+
+def test_added_spans_against_plain_python(spark):
+    """Every candidate's likelihood ratio, and which overlap a base span, over random texts of many matches."""
+    import random
+
+    r = random.Random(3)
+    n, ratios = len(secrets.ALPHABET), secrets.train(secrets.labelled(spark))
+    make = [lambda: "".join(r.choice(secrets.ALPHABET) for _ in range(r.randint(15, 60))), lambda: "token=" + "".join(r.choice("abcdef0123456789") for _ in range(r.randint(5, 40))), lambda: "ordinary_name_of_a_thing_here", lambda: "AKIA" + "Q" * r.randint(5, 20), lambda: "x", lambda: "0af" * r.randint(5, 20)]
+    pairs = [(i, r.choice([" ", "", "é "]).join(r.choice(make)() for _ in range(size))) for i, size in enumerate([0, 1, 3, 10, 40, 63, 64, 65, 200, 500])]
+    got = {x.doc_id: x.a for x in secrets.scan(spark.createDataFrame(pairs, "doc_id long, text string"), ratios).select("doc_id", secrets.joined(F.col("added")).alias("a")).collect()}
+    for i, t in pairs:
+        base_spans = [tuple(map(int, s.split(":")[1:])) for s in scan(t).split(",") if s]
+        want = []
+        for m in re.finditer(secrets.CANDIDATE, t):
+            at = [secrets.ALPHABET.index(c) for c in m[0]]
+            ratio = sum(ratios[a * n + b] for a, b in zip(at, at[1:]))
+            if ratio >= secrets.MARGIN * (len(at) - 1) and not any(s < m.end() and m.start() < e for s, e in base_spans):
+                want.append(f"markov:{m.start()}:{m.end()}")
+        assert got[i] == ",".join(want)
+
+
+def test_secrets_held_out(spark):
+    """Precision and recall of the added spans on strings that the chains were not counted from."""
+    import random
+
+    r = random.Random(11)
+    stems = "river harvest winter copper lantern meadow signal voyage orchard thunder velvet cabinet".split()
+    random_ = ["".join(r.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for _ in range(r.randint(20, 44))) for _ in range(300)]
+    plain = [r.choice("_-/").join(r.choice(stems) for _ in range(r.randint(4, 6))) for _ in range(300)]
+    df = spark.createDataFrame([(i, f"see {t} here") for i, t in enumerate(random_ + plain)], "doc_id long, text string")
+    found = {x.doc_id for x in secrets.scan(df, secrets.train(secrets.labelled(spark))).where(F.size("added") > 0).collect()}
+    hits = len([i for i in found if i < 300])
+    print(f"added spans: recall {hits / 300:.3f}, precision {hits / max(len(found), 1):.3f}")
+    assert hits / 300 > 0.9 and hits / len(found) > 0.9
+
+
+def test_very_many_matches(spark):
+    import time
+
+    t = " ".join(f"{i:032x}" for i in range(60_000)) + " " + "aZ9k" * 250_000
+    began = time.time()
+    row = secrets.scan(spark.createDataFrame([(1, t)], "doc_id long, text string"), secrets.train(secrets.labelled(spark))).select(F.size("base").alias("n"), F.size("added").alias("m")).first()
+    assert row.n == 60_000 and row.m <= 1 and time.time() - began < 60

@@ -7,7 +7,8 @@ at least MARGIN. Base patterns (kinds assign, access, hex) always stay; spans of
 where they don't overlap a base span.
 
 Positions are found without a row for each match: a text split at a pattern gives the gaps
-between its matches, whose lengths add up to the starts.
+between its matches, whose lengths add up to the starts. Running sums and greatest ends go over arrays in
+slices (`scanned`), so that work grows in proportion to the matches, and to a candidate's length.
 
 Defined results. A null text is empty; an empty text has no spans. Repeated rows give repeated
 rows. An empty table gives an empty result. Other columns are ignored.
@@ -87,21 +88,68 @@ def train(samples: DataFrame) -> list[int]:
     return [round(1000 * (math.log(count[1][a][b] / total[1][a]) - math.log(count[0][a][b] / total[0][a]))) for a in range(n) for b in range(n)]
 
 
-def matches(text: Column, pattern: str, kind: str, keep: Column | None = None, extra: Column | None = None) -> Column:
+#: Elements of a slice.
+SLICE = 64
+
+
+def scanned(array: Column, zero: Column, kind: str, add: Callable, join: Callable, out: Callable) -> Column:
+    """out(state before e, e) for each element e of array, the state being zero and then add(state, e).
+
+    An array that grows by one in each step of a fold is copied in each step; so slices are folded first, each into one state (join
+    adds the states of two neighbours), and each slice then starts from what all before it come to. kind: the type of the results.
+    """
+    empty = F.array().cast(f"array<{kind}>")
+
+    def grown(acc: Column, state: Column, one: Column) -> Column:
+        return F.struct(state.alias("now"), F.concat(acc["out"], F.array(one)).alias("out"))
+
+    def whole(a: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.size(a), F.lit(1)), F.lit(SLICE))
+        return F.transform(F.array(F.transform(starts, lambda i: F.slice(a, i, F.lit(SLICE)))), ahead)[0]
+
+    def ahead(slices: Column) -> Column:
+        sums = F.transform(slices, lambda c: F.aggregate(c, zero, add))
+        states = F.aggregate(sums, F.struct(zero.alias("now"), F.array().cast("array<int>").alias("out")), lambda acc, v: grown(acc, join(acc["now"], v), acc["now"]), lambda acc: acc["out"])
+        each = F.zip_with(slices, states, lambda c, now: F.aggregate(c, F.struct(now.alias("now"), empty.alias("out")), lambda acc, e: grown(acc, add(acc["now"], e), out(acc["now"], e)), lambda acc: acc["out"]))
+        return F.flatten(each)
+
+    return F.transform(F.array(array), whole)[0]  # bound once
+
+
+SPAN = "struct<start:int,end:int,rank:int,kind:string>"
+
+
+def span(start: Column, end: Column, kind: str) -> Column:
+    return F.struct(start.alias("start"), end.alias("end"), F.lit(KINDS.index(kind)).alias("rank"), F.lit(kind).alias("kind"))
+
+
+def matches(text: Column, pattern: str, kind: str, keep: Callable | None = None, extra: Column | None = None) -> Column:
     """array<struct<start, end, rank, kind>> of a pattern's matches, in order. keep is told of each match m and its extra x."""
     gaps, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     zipped = F.arrays_zip(F.slice(gaps, F.lit(1), F.size(found)).alias("g"), found.alias("m"), (found if extra is None else extra).alias("x"))
-    empty = F.array().cast("array<struct<start:int,end:int,rank:int,kind:string>>")
-    init = F.struct(F.lit(0).alias("at"), empty.alias("out"))
 
-    def step(acc: Column, e: Column) -> Column:
-        start = acc["at"] + F.length(e["g"])
-        end = start + F.length(e["m"])
-        one = F.array(F.struct(start.alias("start"), end.alias("end"), F.lit(KINDS.index(kind)).alias("rank"), F.lit(kind).alias("kind")))
-        good = F.lit(True) if keep is None else keep(e["m"], e["x"])
-        return F.struct(end.alias("at"), F.when(good, F.concat(acc["out"], one)).otherwise(acc["out"]).alias("out"))
+    def one(at: Column, e: Column) -> Column:
+        start = at + F.length(e["g"])
+        new = span(start, start + F.length(e["m"]), kind)
+        return new if keep is None else F.when(keep(e["m"], e["x"]), new)
+
+    spans = scanned(zipped, F.lit(0), SPAN, lambda at, e: at + F.length(e["g"]) + F.length(e["m"]), lambda a, b: a + b, one)
+    spans = spans if keep is None else F.filter(spans, lambda v: v.isNotNull())
+    return F.when(text.rlike(pattern), spans).otherwise(F.array().cast(f"array<{SPAN}>"))
 
-    return F.when(text.rlike(pattern), F.aggregate(zipped, init, step, lambda acc: acc["out"])).otherwise(empty)
+
+def apart(spans: Column, base: Column) -> Column:
+    """Those of spans that overlap none of base."""
+    event = lambda s, own: F.struct(s["start"].alias("start"), F.lit(own).alias("own"), s["end"].alias("end"))
+    events = F.array_sort(F.concat(F.transform(base, lambda s: event(s, False)), F.transform(spans, lambda s: event(s, True))))
+    kind = "struct<start:int,own:boolean,end:int>"
+    # those that begin behind the last end of base so far; then, backwards, those that end before the next of base begins
+    last = lambda now, e: F.when(e["own"], now).otherwise(F.greatest(now, e["end"]))
+    ahead = lambda now, e: F.when(e["own"], now).otherwise(F.least(now, e["start"]))
+    there = lambda v: v.isNotNull()
+    events = F.filter(scanned(events, F.lit(0), kind, last, F.greatest, lambda now, e: F.when(~e["own"] | (e["start"] >= now), e)), there)
+    events = F.filter(scanned(F.reverse(events), F.lit(1 << 30), kind, ahead, F.least, lambda now, e: F.when(e["own"] & (e["end"] <= now), e)), there)
+    return F.transform(F.reverse(events), lambda e: span(e["start"], e["end"], "markov"))
 
 
 def of_kind(kind: str) -> Callable[[Column], Column]:
@@ -121,10 +169,14 @@ def scan(docs: DataFrame, ratios: list[int], margin: int = MARGIN) -> DataFrame:
     table = F.split(F.lit(",".join(map(str, ratios))), ",").cast("array<int>")
 
     def odd(m: Column, _: Column) -> Column:
-        step = lambda acc, i: acc + F.element_at(table, (code(F.substring(m, i, F.lit(1))) * n + code(F.substring(m, i + 1, F.lit(1))) + 1).cast("int"))
-        return F.aggregate(F.sequence(F.lit(1), F.length(m) - 1), F.lit(0), step) >= margin * (F.length(m) - 1)
+        def step(acc: Column, c: Column) -> Column:
+            at = code(c)
+            more = F.when(acc["at"] >= 0, F.element_at(table, (acc["at"] * n + at + 1).cast("int"))).otherwise(0)
+            return F.struct(at.alias("at"), (acc["sum"] + more).alias("sum"))
+
+        total = F.aggregate(F.split(m, ""), F.struct(F.lit(-1).alias("at"), F.lit(0).cast("long").alias("sum")), step, lambda acc: acc["sum"])
+        return total >= F.lit(margin).cast("long") * (F.length(m) - 1)
 
     assign = matches(text, ASSIGN, "assign", lambda _, x: F.length(x) >= ASSIGN_LEAST, F.regexp_extract_all(text, F.lit(ASSIGN), F.lit(2)))
     found = docs.select("doc_id", F.concat(assign, matches(text, ACCESS, "access"), matches(text, HEX, "hex")).alias("base"), matches(text, CANDIDATE, "markov", odd).alias("markov"))
-    apart = F.filter("markov", lambda m: ~F.exists("base", lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"])))
-    return found.select("doc_id", "base", F.when(F.size("markov") > 0, apart).otherwise(F.col("markov")).alias("added"))
+    return found.select("doc_id", "base", F.when((F.size("markov") > 0) & (F.size("base") > 0), apart(F.col("markov"), F.col("base"))).otherwise(F.col("markov")).alias("added"))
