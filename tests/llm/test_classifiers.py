@@ -137,3 +137,43 @@ def test_unclosed_elements_of_the_body(tag):
 
 def test_many_unclosed_elements_are_read_once():
     assert dom.parse("<div><textarea></div>" * 30_000 + "end")[-1].text == "end"
+
+
+@pytest.mark.parametrize("family", list(html_extract.FAMILIES))
+def test_family_of_layouts_held_out(family):
+    """Pages of a family that neither tokens nor trees have seen."""
+    fitted = html_extract.fit(html_extract.Maker(11, tuple(f for f in html_extract.FAMILIES if f != family)), 400)
+    maker, right, all_, kept = html_extract.Maker(77, (family,)), 0, 0, 0
+    for _ in range(80):
+        page = maker.page()
+        main = set(" ".join(x.text.replace(html_extract.MARK, "") for x in dom.parse(page) if html_extract.MARK in x.text).split())
+        got = set(html_extract.extract([page.replace(html_extract.MARK, "")], fitted)[0].split())
+        right, all_, kept = right + len(got & main), all_ + len(main), kept + len(got)
+    print(f"{family}: recall {right / all_:.4f}, precision {right / kept:.4f}")
+    assert right / all_ > 0.95 and right / kept > 0.95
+
+
+def test_attribute_words_are_learned():
+    """Log odds come from counts alone: a word that no list has tells as much as any other."""
+    page = "<div class='zorp'><p>{}x</p></div><div class='quux'><p>y</p></div>".format(html_extract.MARK)
+
+    class Fixed:
+        def page(self):
+            return page
+
+    told = html_extract.log_odds(html_extract.labelled(Fixed(), 20))
+    (zorp,), (quux,) = dom.tokens(" class='zorp'"), dom.tokens(" id=quux")
+    assert told[zorp] > 2 and told[quux] < -2 and (told != 0).sum() == 2
+
+
+@pytest.mark.parametrize("part", ["<font>x ", "<div><p>x ", "<a <b ", '<a "', "<p>", "<!", "<ul><li>x", "</i>", "<i><div><font></i>", '<a href="'])
+def test_time_in_proportion_to_the_page(part):
+    import time
+
+    fitted = html_extract.model()
+    took = []
+    for size in (200_000, 2_000_000):
+        began = time.process_time()
+        html_extract.extract([part * (size // len(part))], fitted)
+        took.append(time.process_time() - began)
+    assert took[1] < 25 * max(took[0], 0.2)

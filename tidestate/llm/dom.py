@@ -5,6 +5,7 @@ from __future__ import annotations
 import functools
 import html
 import re
+import zlib
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -30,24 +31,18 @@ ENDS = {
 }
 #: What p is not ended across.
 SCOPE = frozenset("html body table td th button article aside section div main blockquote form li footer header nav".split())
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?>[^>\"']|\"[^\"]*\"|'[^']*')*+)>", re.S)
+#: A comment, a declaration, or a tag: name and attributes, with quoted values that may hold >; a tag of quotes that don't match ends at its first >.
+#: A tag's parts are bounded in number, so that no page is gone through again for each of its tags.
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?>[^>\"']|\"[^\"<]*\"|'[^'<]*'){0,2000}+|[^>]*)>", re.S)
 ATTRIBUTE = re.compile(r"\b(class|id|role|itemprop|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
 TAGS = ("nav", "header", "footer", "aside", "form", "article", "main", "section", "div", "p", "li", "ul", "table", "h1", "h2", "blockquote", "figure", "#text", "body", "button")
 ALIKE = {"ol": "ul", "dl": "ul", "menu": "nav", "dd": "li", "dt": "li", "td": "table", "th": "table", "tr": "table", "tbody": "table", "h3": "h2", "h4": "h2", "h5": "h2", "h6": "h2", "pre": "blockquote", "figcaption": "figure", "label": "form", "fieldset": "form", "legend": "form", "dialog": "aside"}
-#: Words of attributes that tell what a node is for, by group.
-HINTS = {
-    "main": "article content contents entry main post story text body prose page document single",
-    "menu": "nav navbar navigation menu breadcrumb breadcrumbs crumbs pagination pager toc tabs links skip",
-    "frame": "header masthead topbar footer foot bottom copyright legal site brand logo",
-    "side": "sidebar side aside widget rail related recommended more popular trending archive tags tag",
-    "advert": "ad ads advert advertisement adbox banner sponsor sponsored promo promotion affiliate outbrain taboola dfp",
-    "notice": "cookie cookies consent gdpr notice alert popup modal overlay newsletter subscribe signup paywall toast",
-    "comment": "comment comments reply replies respond discussion disqus thread reader responses feedback",
-    "share": "share sharing social follow facebook twitter meta byline author login search form tool toolbar",
-}
-GROUP = {w: g for g, words in enumerate(HINTS.values()) for w in words.split()}
+#: Attribute words are known by a hash; what they tell is learned (html_extract).
+BUCKETS = 1 << 12
+#: What an opening tag does not end elements across: its own list, or else SCOPE (without what it ends).
+BARRIERS = {t: frozenset(stop) | frozenset(x for x in SCOPE if x not in ends and (not stop or x != "li")) for t, (ends, stop) in ENDS.items()}
 
 
 @dataclass
@@ -55,32 +50,39 @@ class Node:
     tag: str
     parent: int
     depth: int
-    hints: tuple[int, ...] = (0,) * len(HINTS)
+    tokens: tuple[int, ...] = ()  # buckets of its attribute words
     text: str = ""  # of a #text node
     linked: int = 0  # characters in links
     children: list[int] = field(default_factory=list)
     tags: int = 0  # elements below, inline ones included
 
 
-def hints(attributes: str) -> tuple[int, ...]:
-    found = [0] * len(HINTS)
-    for m in ATTRIBUTE.finditer(attributes):
-        for w in WORD.findall(m[2] or m[3] or m[4] or ""):
-            if (g := GROUP.get(w.lower())) is not None:
-                found[g] = 1
-    return tuple(found)
+def tokens(attributes: str) -> tuple[int, ...]:
+    """The buckets of the words of class, id, role, itemprop and aria-label."""
+    return tuple(sorted({zlib.crc32(w.lower().encode()) % BUCKETS for m in ATTRIBUTE.finditer(attributes) for w in WORD.findall(m[2] or m[3] or m[4] or "")}))
 
 
 def parse(page: str) -> list[Node]:
     """The page's block-level elements and runs of text (tag #text, white space collapsed), parents before children, in page order."""
     nodes = [Node("body", -1, 0)]
     open_: list[tuple[str, int]] = []  # elements, and the node each made (or the node it is in); with ~ where text is dropped
+    places: dict[str, list[int]] = {}  # where in open_ the elements of each name are, and all block-level ones (*)
     run: list[str] = []
     linked = 0
 
     def here() -> int:
         return open_[-1][1] if open_ else 0
 
+    def last(tag: str) -> int:
+        """The place of the innermost open element of that name, or -1."""
+        at = places.get(tag)
+        return at[-1] if at else -1
+
+    def push(tag: str, node: int) -> None:
+        for k in (tag, "*") if tag in BLOCK else (tag,):
+            places.setdefault(k, []).append(len(open_))
+        open_.append((tag, node))
+
     def flush() -> None:
         nonlocal linked
         text = " ".join(html.unescape("".join(run)).split())
@@ -92,24 +94,30 @@ def parse(page: str) -> list[Node]:
         linked = 0
 
     def close(i: int) -> None:
-        if any(t in BLOCK for t, _ in open_[i:]):
+        """Ends the elements from place i on."""
+        if last("*") >= i:
             flush()
+        for tag, _ in reversed(open_[i:]):
+            places[tag].pop()
+            if tag in BLOCK:
+                places["*"].pop()
         del open_[i:]
 
     @functools.cache
-    def last(tag: str) -> int:
+    def ending(tag: str) -> int:
         """Where the last end tag of that name begins, or -1."""
         return max((m.start() for m in re.finditer(rf"</{re.escape(tag)}\s*>", page, re.I)), default=-1)
 
     at, size = 0, len(page)
+    final = page.rfind(">")  # behind it there are no tags
     endless: set[str] = set()  # raw elements of which no end tag comes any more
     while at < size:
-        m = TOKEN.search(page, at)
-        text = page[at : m.start()] if m else page[at:]
+        m = TOKEN.search(page, at) if at <= final else None
+        text = page[at : m.start()] if m else page[at:].partition("<!--")[0]
         dropped = bool(open_) and open_[-1][0][0] == "~"
         if text and not dropped:
             run.append(text)
-            if any(t == "a" for t, _ in open_):
+            if last("a") >= 0:
                 linked += len(text.strip())
         if not m:
             break
@@ -118,12 +126,9 @@ def parse(page: str) -> list[Node]:
         if not tag:
             continue
         if m[1]:
-            for i in range(len(open_) - 1, -1, -1):
-                if open_[i][0] in (tag, f"~{tag}"):
-                    close(i)
-                    break
-                if tag not in BLOCK and open_[i][0] in BLOCK:
-                    break
+            i = max(last(tag), last(f"~{tag}"))
+            if i >= 0 and (tag in BLOCK or last("*") <= i):
+                close(i)
             continue
         if not dropped:
             nodes[here()].tags += 1
@@ -135,8 +140,8 @@ def parse(page: str) -> list[Node]:
             endless.add(tag)
         if dropped or tag in RAW or tag in DROPPED:
             # dropped up to its end tag or its parent's; where neither comes, only the tag is
-            if tag not in VOID and not m[3].endswith("/") and (dropped or open_ or at <= last(tag)):
-                open_.append((f"~{tag}", here()))
+            if tag not in VOID and not m[3].endswith("/") and (dropped or open_ or at <= ending(tag)):
+                push(f"~{tag}", here())
             continue
         if tag == "br" or tag == "hr":
             run.append(" ")
@@ -147,52 +152,53 @@ def parse(page: str) -> list[Node]:
             continue
         if tag in ("html", "body", "head"):
             if tag == "body":
-                nodes[0].hints = hints(m[3])
+                nodes[0].tokens = tokens(m[3])
             continue
         if tag in BLOCK:
-            ends, stop = ENDS.get(tag, ((), ()))
-            for i in range(len(open_) - 1, -1, -1):
-                t = open_[i][0]
-                if t in ends:
+            if tag in ENDS:
+                barrier = max(map(last, BARRIERS[tag]))
+                while (i := max(map(last, ENDS[tag][0]))) > barrier:
                     close(i)
-                elif t in stop or (t in SCOPE and t not in ends and not stop) or (stop and t in SCOPE and t not in stop and t != "li"):
-                    break
             flush()
             parent = here()
-            nodes.append(Node(tag, parent, nodes[parent].depth + 1, hints(m[3])))
+            nodes.append(Node(tag, parent, nodes[parent].depth + 1, tokens(m[3])))
             nodes[parent].children.append(len(nodes) - 1)
-            open_.append((tag, len(nodes) - 1))
+            push(tag, len(nodes) - 1)
         else:
-            open_.append((tag, here()))
+            push(tag, here())
     flush()
     return nodes
 
 
+#: Of a node's attribute words: the least and the greatest of what they tell; the same of all above it.
+OWN = ("own_least", "own_greatest", "above_least", "above_greatest")
 #: Names of the features, in order (for readers; the model goes by position).
-NAMES = [*(f"is_{t}" for t in TAGS), *(f"own_{h}" for h in HINTS), *(f"above_{h}" for h in HINTS), *(f"above_{t}" for t in TAGS[:8]), *"depth chars share link_density tags_per_char paragraphs items children words_per_run sentence_marks place siblings same_siblings before_chars after_chars own_text parent_chars parent_link_density short".split()]
+NAMES = [*(f"is_{t}" for t in TAGS), *OWN, *(f"above_{t}" for t in TAGS[:8]), *"depth chars share link_density tags_per_char paragraphs items children words_per_run sentence_marks place siblings same_siblings before_chars after_chars own_text parent_chars parent_link_density short".split()]
 
 
-def features(nodes: list[Node]) -> np.ndarray:
-    """A row for each node."""
+def features(nodes: list[Node], told: np.ndarray) -> np.ndarray:
+    """A row for each node. told: for each bucket of attribute words, how much it speaks for main text (0: nothing)."""
     n = len(nodes)
-    chars, linked, runs, tags, paragraphs, items, marks = (np.zeros(n) for _ in range(7))
-    for i in range(n - 1, -1, -1):
-        x = nodes[i]
-        if x.text:
-            chars[i] += len(x.text)
-            linked[i] += x.linked
-            runs[i] += 1
-            marks[i] += sum(map(x.text.count, ".!?;:"))
-        tags[i] += x.tags + 1
-        paragraphs[i] += x.tag == "p"
-        items[i] += x.tag == "li"
-        if (p := x.parent) >= 0:
-            for a in (chars, linked, runs, tags, paragraphs, items, marks):
-                a[p] += a[i]
+    texts = [x.text for x in nodes]
+    sums = [
+        [len(t) for t in texts],
+        [x.linked if x.text else 0 for x in nodes],
+        [bool(t) for t in texts],
+        [x.tags + 1 for x in nodes],
+        [x.tag == "p" for x in nodes],
+        [x.tag == "li" for x in nodes],
+        [sum(map(t.count, ".!?;:")) if t else 0 for t in texts],
+    ]
+    parents = [x.parent for x in nodes]
+    for a in sums:  # of all that is below
+        for i in range(n - 1, 0, -1):
+            a[parents[i]] += a[i]
+    chars, linked, runs, tags, paragraphs, items, marks = np.array(sums, float)
     out = np.zeros((n, len(NAMES)))
-    k, h = len(TAGS), len(HINTS)
+    k, h = len(TAGS), len(OWN)
     tag_at = {t: j for j, t in enumerate(TAGS)}
-    place, siblings, same, before, after = (np.zeros(n) for _ in range(5))
+    place, siblings, same, before, after = ([0.0] * n for _ in range(5))
+    size = sums[0]
     for x in nodes:
         c = x.children
         count: dict[str, int] = {}
@@ -200,21 +206,32 @@ def features(nodes: list[Node]) -> np.ndarray:
             count[nodes[j].tag] = count.get(nodes[j].tag, 0) + 1
         for q, j in enumerate(c):
             place[j], siblings[j], same[j] = q / max(len(c) - 1, 1), len(c), count[nodes[j].tag]
-            before[j] = chars[c[q - 1]] if q else 0
-            after[j] = chars[c[q + 1]] if q + 1 < len(c) else 0
+            before[j] = size[c[q - 1]] if q else 0
+            after[j] = size[c[q + 1]] if q + 1 < len(c) else 0
     parent = np.array([max(x.parent, 0) for x in nodes])
+    tag = np.full(n, -1)
+    says = told.tolist()
+    least, greatest, above_least, above_greatest = ([0.0] * n for _ in range(4))
+    above = [0] * n  # a bit for each of the first eight tags
+    bit = [0] * n
     for i, x in enumerate(nodes):
-        t = tag_at.get(ALIKE.get(x.tag, x.tag))
-        if t is not None:
-            out[i, t] = 1
-        out[i, k : k + h] = x.hints
-        if x.parent >= 0:
-            p = x.parent
-            out[i, k + h : k + 2 * h] = np.maximum(out[p, k : k + h], out[p, k + h : k + 2 * h])
-            out[i, k + 2 * h : k + 2 * h + 8] = np.maximum(out[p, :8], out[p, k + 2 * h : k + 2 * h + 8])
+        t = tag_at.get(ALIKE.get(x.tag, x.tag), -1)
+        tag[i] = t
+        if 0 <= t < 8:
+            bit[i] = 1 << t
+        if x.tokens:
+            what = [says[j] for j in x.tokens]
+            least[i], greatest[i] = min(0.0, *what), max(0.0, *what)
+        if (p := x.parent) >= 0:
+            above_least[i], above_greatest[i] = min(least[p], above_least[p]), max(greatest[p], above_greatest[p])
+            above[i] = bit[p] | above[p]
+    known = np.flatnonzero(tag >= 0)
+    out[known, tag[known]] = 1
+    out[:, k : k + h] = np.array([least, greatest, above_least, above_greatest]).T
+    out[:, k + h : k + h + 8] = (np.array(above)[:, None] >> np.arange(8)) & 1
     density = linked / np.maximum(chars, 1)
     rest = [[x.depth for x in nodes], np.log1p(chars), chars / max(chars[0], 1), density, tags / np.maximum(chars, 1), paragraphs, items, [len(x.children) for x in nodes], chars / np.maximum(runs, 1), marks / np.maximum(chars, 1) * 100, place, siblings, same, np.log1p(before), np.log1p(after), [bool(x.text) for x in nodes], np.log1p(chars[parent]), density[parent], chars < 60]
-    out[:, k + 2 * h + 8 :] = np.stack([np.asarray(r, float) for r in rest], 1)
+    out[:, k + h + 8 :] = np.stack([np.asarray(r, float) for r in rest], 1)
     return out
 
 

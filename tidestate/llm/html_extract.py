@@ -1,11 +1,11 @@
 """HTML extraction: boosted trees over DOM nodes, decoded along the tree.
 
 A page becomes block-level nodes and runs of text (dom.py). Gradient-boosted trees (boosting.py) tell for
-each node from its tag, attribute words, depth, text density, links and siblings whether its subtree holds
+each node from its tag, attribute tokens (hashed; their log odds of main text are learned from pages that the trees are not fitted to), depth, text density, links and siblings whether its subtree holds
 main text; decoding picks the likeliest set of kept nodes in which a kept node's parent is kept, so
 that no article stands in a dropped menu. The text of the kept runs, in page order, joined by one space, is the result.
 
-The trees are fitted to PAGES pages that are made up here, with known main text: layouts with
+Tokens and trees are fitted to PAGES pages that are made up here, with known main text: layouts with
 menus, headers, footers, sidebars, adverts, notices, forms, comments and share bars, in many spellings of
 tags and attributes. No page of the input is learned from.
 
@@ -19,26 +19,36 @@ from __future__ import annotations
 import functools
 import random
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from . import boosting, dom
-from .common import released
+from .common import released, small
 
 #: Made-up pages that the trees are fitted to.
-PAGES = 600
+PAGES = 800
 #: Marks main text in made-up pages; no other text of theirs has it.
 MARK = "⁣"
 SYLLABLES = "an the re on ti er is ou le de en ma no si ra to vi lo un ar qui est und der".split()
 
 
+#: How often a made-up page's parts are told by their tags rather than by attributes, by family of layouts; None: as each part has it.
+FAMILIES = {"tags": 1.0, "attributes": 0.0, "mixed": None}
+
+
 class Maker:
-    """Makes up pages."""
+    """Makes up pages of some families of layouts."""
 
-    def __init__(self, seed: int) -> None:
+    def __init__(self, seed: int, families: tuple[str, ...] = tuple(FAMILIES)) -> None:
         self.r = random.Random(seed)
+        self.families, self.share = families, None
+
+    def by_tag(self, share: float) -> bool:
+        """Whether a part is told by its tag."""
+        return self.r.random() < (share if self.share is None else self.share)
 
     def words(self, low: int, high: int) -> str:
         r = self.r
@@ -96,7 +106,7 @@ class Maker:
             elif k < 0.95:
                 out.append(f"<div{self.attr('ad', 'advert', 'banner', 'sponsored', 'promo')}>{self.sentence()}</div>")
             elif k < 0.975:
-                out.append(f"<div{self.attr('share', 'social', 'related', 'newsletter')}>{self.words(2, 8)} <a href=\"#\">{self.words(1, 2)}</a></div>")
+                out.append(f"<div{self.attr('share', 'sharing', 'social', 'follow', 'related', 'newsletter', 'author-bio', 'toolbar')}>{self.words(2, 8)} <a href=\"#\">{self.words(1, 2)}</a></div>")
             else:
                 out.append(f"<figure><img src=\"i.png\"><figcaption>{self.main(self.words(3, 9))}</figcaption></figure>")
         return "".join(out)
@@ -106,32 +116,32 @@ class Maker:
 
     def menu(self) -> str:
         r = self.r
-        tag, name = r.choice([("nav", ""), ("nav", ""), ("div", "x"), ("ul", "x")])
+        tag, name = ("nav", "") if self.by_tag(0.5) else r.choice([("div", "x"), ("ul", "x")])
         body = self.links(3, 9) if r.random() < 0.7 else " | ".join(f'<a href="/">{self.label(1, 2)}</a>' for _ in range(r.randint(3, 8)))
-        return f"<{tag}{self.attr('nav', 'menu', 'navbar', 'breadcrumb', 'navigation') if name else ''}>{body}</{tag}>"
+        return f"<{tag}{self.attr('nav', 'menu', 'navbar', 'breadcrumb', 'breadcrumbs', 'navigation', 'pager', 'pagination', 'toc', 'tabs', 'links', 'skip') if name else ''}>{body}</{tag}>"
 
     def header(self) -> str:
         r = self.r
         inner = r.choice(["", f"<h1>{self.words(1, 4)}</h1>", f"<p>{self.words(2, 8)}</p>", f"<div>{self.words(1, 5)}</div>"])
-        return f"<header>{inner}{self.menu() if r.random() < 0.6 else ''}{'' if inner else self.words(1, 4)}</header>" if r.random() < 0.6 else f"<div{self.attr('header', 'masthead', 'topbar', 'brand')}>{inner}{self.words(1, 6)}</div>"
+        return f"<header>{inner}{self.menu() if r.random() < 0.6 else ''}{'' if inner else self.words(1, 4)}</header>" if self.by_tag(0.6) else f"<div{self.attr('header', 'masthead', 'topbar', 'brand', 'logo', 'site-title')}>{inner}{self.words(1, 6)}</div>"
 
     def footer(self) -> str:
         r = self.r
         inner = r.choice([f"&copy; {self.words(1, 3)} &middot; {self.sentence()}", f"<p>&copy; {self.words(2, 6)}</p>", self.links(2, 6), f"<p>{self.sentence(6, 30)}</p><p>{self.sentence()}</p>", self.sentence(4, 40)])
-        return f"<footer>{inner}</footer>" if r.random() < 0.7 else f"<div{self.attr('footer', 'copyright', 'legal')}>{inner}</div>"
+        return f"<footer>{inner}</footer>" if self.by_tag(0.7) else f"<div{self.attr('footer', 'copyright', 'legal', 'bottom', 'foot')}>{inner}</div>"
 
     def side(self) -> str:
         r = self.r
         inner = f"<h3>{self.label()}</h3>" + (self.links(2, 8) if r.random() < 0.6 else f"<p>{self.sentence()}</p>" * r.randint(1, 3))
-        return f"<aside>{inner}</aside>" if r.random() < 0.5 else f"<div{self.attr('sidebar', 'related', 'widget', 'recommended', 'popular')}>{inner}</div>"
+        return f"<aside>{inner}</aside>" if self.by_tag(0.5) else f"<div{self.attr('sidebar', 'side', 'rail', 'related', 'widget', 'recommended', 'popular', 'trending', 'archive', 'tags', 'more')}>{inner}</div>"
 
     def notice(self) -> str:
         r = self.r
-        return f"<div{self.attr('cookie', 'notice', 'consent', 'alert', 'newsletter', 'popup')}>{r.choice(['', '<p>'])}{self.sentence(4, 30)} <button>{self.label(1, 2)}</button></div>"
+        return f"<div{self.attr('cookie', 'cookies', 'notice', 'consent', 'gdpr', 'alert', 'newsletter', 'subscribe', 'signup', 'popup', 'modal', 'overlay', 'paywall', 'toast')}>{r.choice(['', '<p>'])}{self.sentence(4, 30)} <button>{self.label(1, 2)}</button></div>"
 
     def advert(self) -> str:
         r = self.r
-        return f"<!-- {self.words(1, 2)} --><div{self.attr('ad', 'ads', 'advert', 'banner', 'sponsored', 'ad')}>{' '.join(self.sentence(2, 14) for _ in range(r.randint(1, 4)))}</div>"
+        return f"<!-- {self.words(1, 2)} --><div{self.attr('ad', 'ads', 'advert', 'advertisement', 'adbox', 'banner', 'sponsor', 'sponsored', 'promo', 'promotion', 'affiliate')}>{' '.join(self.sentence(2, 14) for _ in range(r.randint(1, 4)))}</div>"
 
     def form(self) -> str:
         return f"<form action=\"/\"><label>{self.label()}</label><input name=\"q\"><button>{self.label(1, 2)}</button>{self.r.choice(['', '<p>' + self.sentence() + '</p>'])}</form>"
@@ -139,13 +149,15 @@ class Maker:
     def comments(self) -> str:
         r = self.r
         tag = r.choice(["div", "li", "article", "section"])
-        each = "".join(f"<{tag}{self.attr('comment', 'reply', 'comment-body') if r.random() < 0.8 else ''}><p>{' '.join(self.sentence() for _ in range(r.randint(1, 4)))}</p></{tag}>" for _ in range(r.randint(1, 6)))
-        return f"<{r.choice(['div', 'section', 'section'])} {r.choice(['class', 'id'])}=\"{r.choice(['comments', 'comments-area', 'discussion', 'responses', 'reader-comments'])}\"><h3>{self.words(1, 2)}</h3>{each}{self.form() if r.random() < 0.4 else ''}</section>"
+        each = "".join(f"<{tag}{self.attr('comment', 'reply', 'comment-body', 'response', 'thread') if r.random() < 0.8 else ''}><p>{' '.join(self.sentence() for _ in range(r.randint(1, 4)))}</p></{tag}>" for _ in range(r.randint(1, 6)))
+        return f"<{r.choice(['div', 'section', 'section'])} {r.choice(['class', 'id'])}=\"{r.choice(['comments', 'comments-area', 'discussion', 'responses', 'reader-comments', 'feedback', 'respond', 'disqus-thread'])}\"><h3>{self.words(1, 2)}</h3>{each}{self.form() if r.random() < 0.4 else ''}</section>"
 
     def page(self) -> str:
         r = self.r
+        self.share = FAMILIES[r.choice(self.families)]
         body = self.article()
-        tag, names = r.choice([("article", ()), ("article", ()), ("article", ()), ("main", ()), ("div", ("content", "article", "post", "entry-content", "main", "story")), ("section", ("content", "post", "article"))])
+        named = [("div", ("content", "article", "post", "entry-content", "main", "story", "prose", "article-text", "document")), ("section", ("content", "post", "article", "entry"))]
+        tag, names = r.choice([("article", ()), ("article", ()), ("article", ()), ("main", ())]) if self.by_tag(0.7) else r.choice(named)
         body = f"<{tag}{self.attr(*names) if names else ''}>{body}</{tag}>"
         if r.random() < 0.3:
             body = f"<{r.choice(['main', 'div'])}{self.attr('main', 'container', 'page', 'wrapper') if r.random() < 0.6 else ''}>{body}</div></main>"
@@ -155,10 +167,17 @@ class Maker:
         return f"<!DOCTYPE html><html><head><title>{self.words(2, 8)}</title><script>var t=\"</p>\";</script></head><body{r.choice(['', '', self.attr('home', 'single', 'page')])}>{''.join(f() for f in before)}{body}{''.join(f() for f in after)}</body></html>"
 
 
-@functools.cache
-def model(pages: int = PAGES, seed: int = 11) -> boosting.Trees:
-    """The trees, fitted to made-up pages."""
-    maker, rows, labels = Maker(seed), [], []
+@dataclass
+class Model:
+    """What attribute words tell, and the trees."""
+
+    told: np.ndarray
+    trees: boosting.Trees
+
+
+def labelled(maker: Maker, pages: int) -> list[tuple[list[dom.Node], np.ndarray]]:
+    """Made-up pages: nodes, and whether each holds main text."""
+    out = []
     for _ in range(pages):
         nodes = dom.parse(maker.page())
         main = np.array([MARK in x.text for x in nodes])
@@ -166,17 +185,40 @@ def model(pages: int = PAGES, seed: int = 11) -> boosting.Trees:
             x.text = x.text.replace(MARK, "")
         for i in range(len(nodes) - 1, 0, -1):
             main[nodes[i].parent] |= main[i]
-        rows.append(dom.features(nodes))
-        labels.append(main)
-    return boosting.fit(np.concatenate(rows), np.concatenate(labels).astype(float))
+        out.append((nodes, main))
+    return out
+
+
+def log_odds(pages: list[tuple[list[dom.Node], np.ndarray]], least: int = 3) -> np.ndarray:
+    """Of each bucket of attribute words, the smoothed log odds that a node with it holds main text, against all nodes'; 0 for those seen less often than `least`."""
+    seen = np.zeros((2, dom.BUCKETS))
+    for nodes, main in pages:
+        for x, m in zip(nodes, main, strict=True):
+            if x.tokens:
+                seen[int(m), list(x.tokens)] += 1
+    base = np.log((seen[1].sum() + 1) / (seen[0].sum() + 1))
+    return np.where(seen.sum(0) >= least, np.log((seen[1] + 0.5) / (seen[0] + 0.5)) - base, 0.0)
+
+
+def fit(maker: Maker, pages: int) -> Model:
+    """Attribute words learned from half of the pages, trees from the other half."""
+    made = labelled(maker, pages)
+    told, rest = log_odds(made[: pages // 2]), made[pages // 2 :]
+    return Model(told, boosting.fit(np.concatenate([dom.features(n, told) for n, _ in rest]), np.concatenate([m for _, m in rest]).astype(float)))
+
+
+@functools.cache
+def model(pages: int = PAGES, seed: int = 11) -> Model:
+    """Fitted to made-up pages of all families."""
+    return fit(Maker(seed), pages)
 
 
-def extract(pages: list[str], trees: boosting.Trees) -> list[str]:
+def extract(pages: list[str], fitted: Model) -> list[str]:
     """The main text of each page."""
     parsed = [dom.parse(p) for p in pages]
     if not parsed:
         return []
-    margin = trees.margin(np.concatenate([dom.features(n) for n in parsed]))
+    margin = fitted.trees.margin(np.concatenate([dom.features(n, fitted.told) for n in parsed]))
     out, at = [], 0
     for nodes in parsed:
         kept = dom.decode(nodes, margin[at : at + len(nodes)])
@@ -185,14 +227,13 @@ def extract(pages: list[str], trees: boosting.Trees) -> list[str]:
     return out
 
 
-def html_extract(pages: DataFrame, trees: boosting.Trees | None = None) -> DataFrame:
+def html_extract(pages: DataFrame, fitted: Model | None = None) -> DataFrame:
     """page_id, url, text and n_chars (code points) of each page (page_id, url, html)."""
-    cast = pages.sparkSession.sparkContext.broadcast(trees or model())  # some thousands of numbers
+    cast = pages.sparkSession.sparkContext.broadcast(fitted or model())  # some thousands of numbers
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a in range(0, batch.num_rows, 256):
-                b = batch.slice(a, 256)
+            for b in small(batch, 256):
                 texts = extract([x or "" for x in b.column(2).to_pylist()], cast.value)
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
