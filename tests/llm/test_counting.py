@@ -295,3 +295,10 @@ def test_very_many_matches(spark):
     began = time.time()
     row = secrets.scan(spark.createDataFrame([(1, t)], "doc_id long, text string"), secrets.train(secrets.labelled(spark))).select(F.size("base").alias("n"), F.size("added").alias("m")).first()
     assert row.n == 60_000 and row.m <= 1 and time.time() - began < 60
+
+
+def test_plan_does_not_grow_with_the_benchmark(spark, edge):
+    """However many blocks, one Python node and one join."""
+    bench = spark.createDataFrame([(i, f"item {i} " + " ".join(f"b{i}w{j}" for j in range(30))) for i in range(12)], "item_id long, text string")
+    plans = [decontaminate.find(edge, bench, block=b)._jdf.queryExecution().executedPlan().toString() for b in (700, 200)]
+    assert [p.count("MapInArrow") for p in plans] == [1, 1] and plans[0].count("Join") == plans[1].count("Join")

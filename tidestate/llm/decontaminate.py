@@ -7,8 +7,9 @@ so the necessary prefix is the one shingle that comes first in the order of rari
 documents. Documents are probed for these prefixes; each match proposes a start, is bounded by
 the document's first and last word, and is verified word for word over the whole window.
 
-The index of the windows is broadcast in blocks of items of at most BLOCK characters (an item is
-never cut), each block in a pass of its own over the documents; there is no other limit on the benchmark.
+The index of the windows is broadcast in blocks of items of about BLOCK characters (an item is
+never cut). One block is probed in one pass. Of several, each pass writes what it finds, by the text's digest, to the shared folder, and
+one join brings all of it to the documents: the plan does not grow with the benchmark, and there is no other limit on it.
 
 Defined results. Null texts have no words: such documents are clean, such items have no windows,
 and items of null id are left out. Repeated rows give repeated rows; repeated items count once.
@@ -26,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import released
+from .common import released, scratch
 
 WINDOW = 13
 SHINGLE = 3
@@ -38,50 +39,56 @@ SCHEMA = f"doc_id long, n_words long, n_hit long, items array<string>, spans {SP
 
 @dataclass
 class Index:
-    """The distinct windows of a block of items."""
+    """The distinct windows of a block of items. A window is a run of words of the block's text, in which words are joined by one byte."""
 
-    text: list[bytes]  # words of each window, joined by a space
-    size: np.ndarray  # its number of words
+    text: bytes
+    begin: np.ndarray  # of each window: its bytes, its number of words, a hash of them
+    end: np.ndarray
+    size: np.ndarray
     hash: np.ndarray
-    items: list[list[str]]  # the items that have it
-    shingles: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]  # per length: hash, window, offset, length
+    names: list[str]
+    owner_at: np.ndarray  # window i's items are names[owners[owner_at[i]:owner_at[i + 1]]]
+    owners: np.ndarray
+    shingles: dict[int, tuple[np.ndarray, np.ndarray]]  # length -> windows, and the hashes of each one's shingles by offset
     prefix: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] | None = None  # length -> hashes, CSR ends, windows, offsets
 
 
-def item_words(text: str | None) -> tuple[list[bytes], np.ndarray]:
-    raw = np.frombuffer((text or "").encode(), np.uint8)
-    w = K.Words(raw, np.array([0, len(raw)], np.int64), K.WORDLIKE, K.LOWER)
-    b = w.data.tobytes()
-    return [b[s:e] for s, e in zip(w.start, w.end, strict=True)], w.hashes()
-
-
 def build(items: list[tuple[str, str | None]], window: int = WINDOW) -> Index:
-    found: dict[tuple[int, bytes], int] = {}
-    text, size, hashes, owners = [], [], [], []
-    sh: dict[tuple[int, int, int], int] = {}
-    for name, body in items:
-        words, h = item_words(body)
-        k = min(window, len(words))
-        if not k:
-            continue
-        wh = K.window_hash(h, k)
-        s = min(SHINGLE, k)
-        short = K.window_hash(h, s)
-        for i in range(len(words) - k + 1):
-            key = (k, b" ".join(words[i : i + k]))
-            if key not in found:
-                found[key] = len(text)
-                text.append(key[1])
-                size.append(k)
-                hashes.append(wh[i])
-                owners.append([])
-                for o in range(k - s + 1):
-                    sh.setdefault((found[key], int(short[i + o]), s), o)
-            if not owners[found[key]] or owners[found[key]][-1] != name:
-                owners[found[key]].append(name)
-    n = len(sh)
-    cols = (np.fromiter((k[1] for k in sh), np.uint64, n), np.fromiter((k[0] for k in sh), np.int64, n), np.fromiter(sh.values(), np.int64, n), np.fromiter((k[2] for k in sh), np.int64, n))
-    return Index(text, np.array(size, np.int64), np.array(hashes, np.uint64), owners, [cols])
+    """The index of items (name, text)."""
+    raw = pa.array([t or "" for _, t in items], pa.string())
+    data, offsets = K.buffers(raw)
+    w = K.Words(data, offsets, K.WORDLIKE, K.LOWER)
+    text, at = K.gather(w.data, w.start, w.end, 32)
+    h = w.hashes()
+    starts, sizes, hashes = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+    for k in range(1, window + 1):
+        s = K.window_starts(w.row_at, k)
+        if k < window:  # items of fewer words are one window
+            s = w.row_at[:-1][w.count == k]
+        starts.append(s)
+        sizes.append(np.full(len(s), k))
+        hashes.append(K.window_hash(h, k)[s])
+    start, size, hash_ = (np.concatenate(x) for x in (starts, sizes, hashes))
+    item = np.searchsorted(w.row_at, start, "right") - 1
+    # alike ones become one; windows that merely share a hash stay apart
+    order = np.lexsort((item, hash_, size))
+    new = np.ones(len(order), bool)
+    new[1:] = (hash_[order][1:] != hash_[order][:-1]) | (size[order][1:] != size[order][:-1])
+    body, begin, end = text.tobytes(), at[start], at[start + size] - 1
+    for i in np.flatnonzero(~new).tolist():
+        x, y = order[i], order[i - 1]
+        new[i] = body[begin[x] : end[x]] != body[begin[y] : end[y]]
+    which = np.cumsum(new) - 1
+    one = order[new]
+    pair = np.unique(np.stack([which, item[order]], 1), axis=0) if len(order) else np.zeros((0, 2), np.int64)
+    shingles = {}
+    for s in sorted({min(SHINGLE, k) for k in np.unique(size[one]).tolist()}):
+        for k in np.unique(size[one]).tolist():
+            if min(SHINGLE, k) == s:
+                at_k = np.flatnonzero(size[one] == k)
+                shingles[k] = (at_k, K.window_hash(h, s)[start[one][at_k][:, None] + np.arange(k - s + 1)])
+    names = [n for n, _ in items]
+    return Index(body, begin[one], end[one], size[one], hash_[one], names, np.searchsorted(pair[:, 0], np.arange(len(one) + 1)), pair[:, 1], shingles)
 
 
 class Lookup:
@@ -100,10 +107,9 @@ class Lookup:
         return at[ok], place[ok]
 
 
-def rarity(docs: DataFrame, index: Index) -> dict[int, int]:
-    """How often each of the index's shingles starts in docs."""
-    hashes, _, _, length = index.shingles[0]
-    by = {int(s): np.unique(hashes[length == s]) for s in np.unique(length)}
+def rarity(docs: DataFrame, index: Index) -> tuple[np.ndarray, np.ndarray]:
+    """The index's shingles, in order, and how often each starts in docs."""
+    by = {s: np.unique(np.concatenate([g.ravel() for k, (_, g) in index.shingles.items() if min(SHINGLE, k) == s])) for s in {min(SHINGLE, k) for k in index.shingles}}
     cast = docs.sparkSession.sparkContext.broadcast(by)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -121,23 +127,30 @@ def rarity(docs: DataFrame, index: Index) -> dict[int, int]:
             yield pa.RecordBatch.from_arrays([pa.array(x.hashes.view(np.int64)), pa.array(total[s])], ["h", "n"])
 
     # one row for each shingle of the block
-    rows = docs.select("text").mapInArrow(released(count), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).collect()
-    return {r.h & 0xFFFFFFFFFFFFFFFF: r.n for r in rows}
-
-
-def choose_prefixes(index: Index, seen: dict[int, int]) -> None:
-    """The rarest shingle of each window becomes its prefix."""
-    hashes, window, offset, length = index.shingles[0]
-    n = np.array([seen.get(int(h), 0) for h in hashes], np.int64)
-    order = np.lexsort((hashes, n, window))
-    first = order[np.concatenate([[True], window[order][1:] != window[order][:-1]])] if len(order) else order
+    got = docs.select("text").mapInArrow(released(count), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).toArrow()
+    h, n = got["h"].to_numpy().view(np.uint64), got["n"].to_numpy()
+    order = np.argsort(h)
+    return h[order], n[order]
+
+
+def choose_prefixes(index: Index, seen: np.ndarray, times: np.ndarray) -> None:
+    """The rarest shingle of each window becomes its prefix; of equally rare ones, that of the least hash."""
+    parts: dict[int, list] = {}
+    for k, (window, hashes) in index.shingles.items():
+        n = np.zeros(hashes.shape, np.int64)
+        if len(seen):
+            at = np.minimum(np.searchsorted(seen, hashes), len(seen) - 1)
+            n = np.where(seen[at] == hashes, times[at], 0)
+        rare = np.where(n == n.min(1, keepdims=True), hashes, np.uint64(2**64 - 1))
+        offset = rare.argmin(1)
+        parts.setdefault(min(SHINGLE, k), []).append((hashes[np.arange(len(offset)), offset], window, offset))
     index.prefix = {}
-    for s in np.unique(length[first]):
-        pick = first[length[first] == s]
-        pick = pick[np.argsort(hashes[pick], kind="stable")]
-        keys, at = np.unique(hashes[pick], return_index=True)
-        index.prefix[int(s)] = (keys, np.append(at, len(pick)), window[pick], offset[pick])
-    index.shingles = []
+    for s, each in parts.items():
+        h, window, offset = (np.concatenate(x) for x in zip(*each, strict=True))
+        order = np.argsort(h, kind="stable")
+        keys, at = np.unique(h[order], return_index=True)
+        index.prefix[s] = (keys, np.append(at, len(order)), window[order], offset[order])
+    index.shingles = {}
 
 
 def occurrences(w: K.Words, index: Index, looks: dict[int, Lookup]) -> tuple[np.ndarray, np.ndarray]:
@@ -165,57 +178,100 @@ def occurrences(w: K.Words, index: Index, looks: dict[int, Lookup]) -> tuple[np.
         ok[at] = K.window_hash(h[start[at][:, None] + np.arange(n)], n)[:, 0] == index.hash[window[at]]
     start, window = start[ok], window[ok]
     raw = w.data.tobytes()
-    ok = np.fromiter((b" ".join(raw[a:b] for a, b in zip(w.start[i : i + index.size[j]], w.end[i : i + index.size[j]], strict=True)) == index.text[j] for i, j in zip(start, window, strict=True)), bool, len(start))
+    ok = np.fromiter((b" ".join(raw[a:b] for a, b in zip(w.start[i : i + index.size[j]], w.end[i : i + index.size[j]], strict=True)) == index.text[index.begin[j] : index.end[j]] for i, j in zip(start, window, strict=True)), bool, len(start))
     return start[ok], window[ok]
 
 
-def probe(docs: DataFrame, index: Index, first: bool, last: bool, carry: tuple[str, ...] = ()) -> DataFrame:
-    """One pass: adds to items and spans what the block finds; the last pass drops the text, unless it is carried, and sums up."""
-    keep = carry if last else tuple(c for c in carry if c != "text")
-    schema = ", ".join([SCHEMA if last else f"doc_id long, text string, items array<string>, spans {SPANS}", *(f"{c} {docs.schema[c].dataType.simpleString()}" for c in keep)])
+def read_words(column: pa.Array) -> Iterator[tuple[int, int, K.Words]]:
+    """Ranges of rows, and their words."""
+    data, offsets = K.buffers(column)
+    for a, b in K.chunks(offsets):
+        yield a, b, K.Words(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], K.WORDLIKE, K.LOWER)
+
+
+def found_in(w: K.Words, index: Index, looks: dict[int, Lookup]) -> tuple[list[set[str]], np.ndarray]:
+    """Of each row the items with windows in it; and where runs of hit words begin (1 for each) and end (-1), by word."""
+    start, window = occurrences(w, index, looks)
+    row = np.searchsorted(w.row_at, start, "right") - 1
+    items: list[set[str]] = [set() for _ in range(len(w.count))]
+    for r, j in set(zip(row.tolist(), window.tolist(), strict=True)):
+        items[r].update(index.names[o] for o in index.owners[index.owner_at[j] : index.owner_at[j + 1]])
+    change = np.zeros(len(w.start) + 1, np.int64)
+    np.add.at(change, start, 1)
+    np.add.at(change, start + index.size[window], -1)
+    return items, change
+
+
+def summed(w: K.Words, items: list[set[str]], change: np.ndarray) -> tuple[pa.Array, pa.Array, pa.Array, pa.Array]:
+    """n_words, n_hit, items and spans of each row."""
+    hit = np.cumsum(change[:-1]) > 0
+    # maximal runs of hit words, cut at the rows' ends
+    cut = np.zeros(len(hit) + 1, bool)
+    cut[w.row_at] = True
+    begin = np.flatnonzero(hit & (cut[:-1] | ~np.concatenate([[False], hit[:-1]])))
+    end = np.flatnonzero(hit & (cut[1:] | ~np.concatenate([hit[1:], [False]]))) + 1
+    of = np.searchsorted(w.row_at, begin, "right") - 1
+    at, base = np.searchsorted(of, np.arange(len(items) + 1)).astype(np.int32), w.row_at[of]
+    pairs = pa.StructArray.from_arrays([pa.array((begin - base).astype(np.int32)), pa.array((end - base).astype(np.int32))], ["start", "end"])
+    return pa.array(w.count), pa.array(K.per_row(hit, w.row_at)), pa.array([sorted(x) for x in items], pa.list_(pa.string())), pa.ListArray.from_arrays(pa.array(at), pairs)
+
+
+NAMES = ["doc_id", "n_words", "n_hit", "items", "spans"]
+
+
+def typed(docs: DataFrame, carry: tuple[str, ...]) -> str:
+    return ", ".join([SCHEMA, *(f"{c} {docs.schema[c].dataType.simpleString()}" for c in carry)])
+
+
+def looked_up(index: Index) -> dict[int, Lookup]:
+    return {s: Lookup(p[0]) for s, p in index.prefix.items()}
+
+
+def probe(docs: DataFrame, index: Index, carry: tuple[str, ...] = ()) -> DataFrame:
+    """The result for docs (doc_id, text, carry) and one block."""
     cast = docs.sparkSession.sparkContext.broadcast(index)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ix = cast.value
-        looks = {s: Lookup(p[0]) for s, p in ix.prefix.items()}
+        ix, looks = cast.value, looked_up(cast.value)
         for batch in batches:
-            data, offsets = K.buffers(batch.column(1))
-            for a, b in K.chunks(offsets):
-                w = K.Words(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], K.WORDLIKE, K.LOWER)
-                start, window = occurrences(w, ix, looks)
-                row = np.searchsorted(w.row_at, start, "right") - 1
-                items: list[set[str]] = [set() for _ in range(b - a)]
-                for r, j in set(zip(row.tolist(), window.tolist(), strict=True)):
-                    items[r].update(ix.items[j])
-                change = np.zeros(len(w.start) + 1, np.int64)
-                np.add.at(change, start, 1)
-                np.add.at(change, start + ix.size[window], -1)
-                if not first:
-                    before = batch.slice(a, b - a)
-                    for r, (old, spans) in enumerate(zip(before.column("items").to_pylist(), before.column("spans").to_pylist(), strict=True)):
-                        items[r].update(old)
-                        for x in spans:
-                            change[w.row_at[r] + x["start"]] += 1
-                            change[w.row_at[r] + x["end"]] -= 1
-                hit = np.cumsum(change[:-1]) > 0
-                # maximal runs of hit words, cut at the rows' ends
-                cut = np.zeros(len(hit) + 1, bool)
-                cut[w.row_at] = True
-                begin = np.flatnonzero(hit & (cut[:-1] | ~np.concatenate([[False], hit[:-1]])))
-                end = np.flatnonzero(hit & (cut[1:] | ~np.concatenate([hit[1:], [False]]))) + 1
-                of = np.searchsorted(w.row_at, begin, "right") - 1
-                at = np.searchsorted(of, np.arange(b - a + 1)).astype(np.int32)
-                base = w.row_at[of]
-                pairs = pa.StructArray.from_arrays([pa.array((begin - base).astype(np.int32)), pa.array((end - base).astype(np.int32))], ["start", "end"])
-                spans = pa.ListArray.from_arrays(pa.array(at), pairs)
-                names = pa.array([sorted(x) for x in items], pa.list_(pa.string()))
-                ids, more = batch.column(0).slice(a, b - a), [batch.column(x).slice(a, b - a) for x in keep]
-                if last:
-                    yield pa.RecordBatch.from_arrays([ids, pa.array(w.count), pa.array(K.per_row(hit, w.row_at)), names, spans, *more], ["doc_id", "n_words", "n_hit", "items", "spans", *keep])
-                else:
-                    yield pa.RecordBatch.from_arrays([ids, batch.column(1).slice(a, b - a), names, spans, *more], ["doc_id", "text", "items", "spans", *keep])
-
-    return docs.mapInArrow(released(run), schema)
+            for a, b, w in read_words(batch.column(1)):
+                part = batch.slice(a, b - a)
+                yield pa.RecordBatch.from_arrays([part.column(0), *summed(w, *found_in(w, ix, looks)), *(part.column(x) for x in carry)], [*NAMES, *carry])
+
+    return docs.mapInArrow(released(run), typed(docs, carry))
+
+
+def hits(texts: DataFrame, index: Index) -> DataFrame:
+    """digest, items and spans of the texts (digest, text) that have windows of the block."""
+    cast = texts.sparkSession.sparkContext.broadcast(index)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ix, looks = cast.value, looked_up(cast.value)
+        for batch in batches:
+            for a, b, w in read_words(batch.column(1)):
+                items, change = found_in(w, ix, looks)
+                _, _, names, spans = summed(w, items, change)
+                some = pa.array([bool(x) for x in items])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a).filter(some), names.filter(some), spans.filter(some)], ["digest", "items", "spans"])
+
+    return texts.mapInArrow(released(run), f"digest string, items array<string>, spans {SPANS}")
+
+
+def merged(docs: DataFrame, carry: tuple[str, ...]) -> DataFrame:
+    """The result for docs (doc_id, text, items, spans, carry), given what each block has found."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b, w in read_words(batch.column(1)):
+                part, change = batch.slice(a, b - a), np.zeros(len(w.start) + 1, np.int64)
+                items = [set(x or ()) for x in part.column("items").to_pylist()]
+                for r, spans in enumerate(part.column("spans").to_pylist()):
+                    for x in spans or ():
+                        change[w.row_at[r] + x["start"]] += 1
+                        change[w.row_at[r] + x["end"]] -= 1
+                yield pa.RecordBatch.from_arrays([part.column(0), *summed(w, items, change), *(part.column(x) for x in carry)], [*NAMES, *carry])
+
+    return docs.mapInArrow(released(run), typed(docs, carry))
 
 
 def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block: int = BLOCK, carry: tuple[str, ...] = ()) -> DataFrame:
@@ -223,16 +279,31 @@ def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block: int
 
     docs: doc_id, text; benchmark: item_id, text.
     """
+    spark = docs.sparkSession
     docs = docs.select("doc_id", "text", *(c for c in carry if c != "text"))
     items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").where("item_id is not null and text is not null").distinct()
     blocks = -(-max(items.agg(F.sum(F.length("text"))).first()[0] or 0, 1) // block)
-    out = docs
-    for b in range(blocks):
+
+    def index_of(b: int) -> Index:
         rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).collect()  # about `block` characters
         index = build(sorted((r.item_id, r.text) for r in rows), window)
-        choose_prefixes(index, rarity(docs, index) if index.text else {})
-        out = probe(out, index, b == 0, b == blocks - 1, carry)
-    return out
+        choose_prefixes(index, *(rarity(docs, index) if index.shingles else (np.zeros(0, np.uint64), np.zeros(0, np.int64))))
+        return index
+
+    if blocks == 1:
+        return probe(docs, index_of(0), carry)
+    path = scratch(spark, "benchmark-hits")
+    texts = docs.where("text is not null").select(F.md5("text").alias("digest"), "text")
+    for b in range(blocks):
+        hits(texts, index_of(b)).withColumn("block", F.lit(b)).write.mode("append").parquet(path)
+    once = spark.read.schema(f"digest string, items array<string>, spans {SPANS}, block int").parquet(path)
+    # copies of a text say the same, once for each block
+    once = once.groupBy("digest", "block").agg(F.first("items").alias("items"), F.first("spans").alias("spans"))
+    of_text = once.groupBy("digest").agg(F.flatten(F.collect_list("items")).alias("items"), F.flatten(F.collect_list("spans")).alias("spans"))
+    # null texts have no windows, and would all be one key
+    out = docs.where("text is not null").withColumn("digest", F.md5("text")).join(of_text, "digest", "left")
+    none = docs.where("text is null").select("*", F.lit(None).cast("array<string>").alias("items"), F.lit(None).cast(SPANS).alias("spans"))
+    return merged(out.select(*docs.columns, "items", "spans").unionByName(none), carry)
 
 
 def contaminated(n_hit: str = "n_hit", n_words: str = "n_words") -> F.Column:
