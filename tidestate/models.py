@@ -130,6 +130,12 @@ def stochastic_volatility(phi: float = 0.91, scale: float = 0.5) -> GeneralModel
     return validate(GeneralModel(lambda x, q, th: th["phi"] * x + q, zero, zero, lambda x, r, th: th["scale"] * np.exp(x / 2) * r, np.eye(1), np.eye(1), np.zeros(1), 2 * np.eye(1), {"phi": phi, "scale": scale}))
 
 
+def general_random_walk(q: float = 0.1, r: float = 4.0, m0: float = 0.0, p0: float = 1.0) -> GeneralModel:
+    """random_walk in the form of a general model, so that methods for general noise can be held against the Kalman filter."""
+    zero = lambda x, n, th: np.zeros_like(x)
+    return validate(GeneralModel(lambda x, n, th: x + n, zero, lambda x, n, th: x + n, zero, np.array([[q]]), np.array([[r]]), np.array([m0]), np.array([[p0]])))
+
+
 def lorenz_step(x: Array, dt: float = 0.05, parts: int = 10, sigma: float = 10.0, rho: float = 28.0, beta: float = 8 / 3) -> Array:
     """Classical Runge-Kutta over dt in equal parts, rows of states (n, 3)."""
 

@@ -8,7 +8,7 @@ import numpy as np
 
 from ..functions.density import ess, mvn_logpdf, normalise
 from ..functions.linalg import Array
-from ..models import Model
+from ..models import GeneralModel, Model
 from . import particles as P
 from .gaussian import run as gaussian_run
 from .gaussian import scalar_loglik
@@ -124,7 +124,7 @@ def root_chain(model: Model, ys: Array, steps: int, rng: np.random.Generator, sc
     return particle_mh(model, ys, steps, rng, start, build, propose, lambda t: 0.0, n=n, method="bootstrap")
 
 
-def conditional_smc(model: Model, ys: Array, path: Array, n: int, rng: np.random.Generator, ancestor_sampling: bool = False) -> tuple[Array, Array, Array]:
+def conditional_smc(model: Model | GeneralModel, ys: Array, path: Array, n: int, rng: np.random.Generator, ancestor_sampling: bool = False) -> tuple[Array, Array, Array]:
     """A particle filter whose particle 0 follows the given path (T, d). Particles (T, n, d), weights (T, n), ancestors (T, n).
 
     With ancestor_sampling the path's past is drawn anew at each step (the kernel of particle Gibbs with ancestor sampling).
@@ -138,7 +138,7 @@ def conditional_smc(model: Model, ys: Array, path: Array, n: int, rng: np.random
             anc[t] = rng.choice(n, n, p=w[t - 1])
             anc[t, 0] = 0
             if ancestor_sampling:
-                back, _ = normalise(np.log(np.maximum(w[t - 1], 1e-300)) + mvn_logpdf(np.broadcast_to(path[t], (n, model.dim)), model.step(x[t - 1]), model.Q))
+                back, _ = normalise(np.log(np.maximum(w[t - 1], 1e-300)) + P.step_logpdf(model, x[t - 1], np.broadcast_to(path[t], (n, model.dim))))
                 anc[t, 0] = rng.choice(n, p=back)
             before = x[t - 1, anc[t]]
         x[t] = P.moved(model, before, rng)
@@ -151,7 +151,7 @@ def _draw(x: Array, w: Array, anc: Array, rng: np.random.Generator) -> Array:
     return ancestral_path(x, anc, int(rng.choice(w.shape[1], p=w[-1])))
 
 
-def particle_gibbs(model: Model, ys: Array, path: Array, steps: int, n: int, rng: np.random.Generator, backward: bool = False) -> Array:
+def particle_gibbs(model: Model | GeneralModel, ys: Array, path: Array, steps: int, n: int, rng: np.random.Generator, backward: bool = False) -> Array:
     """Paths (steps, T, d) of particle Gibbs, with ancestor sampling, or with backward simulation if `backward`."""
     out = np.empty((steps, len(ys), model.dim))
     for s in range(steps):
@@ -167,7 +167,7 @@ def gibbs_parameters(model: Model, ys: Array, path: Array, steps: int, rng: np.r
 
     def score(t: Mapping, p: Array) -> float:
         m = model.with_(theta=t)
-        return float(mvn_logpdf(p[1:], m.step(p[:-1]), m.Q).sum() + mvn_logpdf(ys, m.observe(p), m.R).sum() - rate * abs(t[name]))
+        return float(P.first_logpdf(m, p[:1]).sum() + mvn_logpdf(p[1:], m.step(p[:-1]), m.Q).sum() + mvn_logpdf(ys, m.observe(p), m.R).sum() - rate * abs(t[name]))
 
     for _ in range(steps):
         path = particle_gibbs(model.with_(theta=theta), ys, path, 1, n, rng, backward=True)[0]

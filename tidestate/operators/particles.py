@@ -106,9 +106,14 @@ def log_weights(model: Model | GeneralModel, x: Array, y: Array, compat: bool =
     if isinstance(model, Model):
         return mvn_logpdf(np.broadcast_to(y, (len(x), len(y))), model.observe(x), model.R)
     none = np.zeros((len(x), len(model.R)))
+    return each_logpdf(y - model.g(x, none), observation_covariances(model, x, len(y), compat))
+
+
+def observation_covariances(model: GeneralModel, x: Array, width: int, compat: bool = False) -> Array:
+    """The observation's noise covariance at each particle, its two noise terms linearised at 0."""
+    none = np.zeros((len(x), len(model.R)))
     add, mul = (slopes(lambda r, h=h: h(x, r, model.theta), none) for h in (model.add_g, model.mul_g))
-    cov = noise_covariance(add, mul, model.R, compat) + 1e-300 * np.eye(len(y))
-    return each_logpdf(y - model.g(x, none), cov)
+    return noise_covariance(add, mul, model.R, compat) + 1e-300 * np.eye(width)
 
 
 def _closed(x: Array, log_w: Array, parents: Array, rng: np.random.Generator, resample: Callable, cov: Array | None = None) -> Step:
@@ -218,19 +223,55 @@ def sir_unscented(model: Model, x: Array, y: Array, rng: np.random.Generator, la
     return _proposed(model, x, m + np.einsum("nij,nj->ni", gain, y - mu), c - gain @ s @ np.swapaxes(gain, 1, 2), y, rng)
 
 
-def sir_extended_general(model: GeneralModel, x: Array, y: Array, rng: np.random.Generator, last: Step | None = None) -> Step:
-    """Proposals for general noise: the transition linearised in its noise at each particle, weighed in log space."""
+def step_covariances(model: GeneralModel, x: Array, compat: bool = False) -> Array:
+    """The transition's noise covariance at each particle, its two noise terms linearised at 0."""
+    none = np.zeros((len(x), len(model.Q)))
+    add, mul = (slopes(lambda e, h=h: h(x, e, model.theta), none) for h in (model.add_f, model.mul_f))
+    return noise_covariance(add, mul, model.Q, compat) + 1e-12 * np.eye(model.dim)
+
+
+def step_logpdf(model: Model | GeneralModel, before: Array, after: Array) -> Array:
+    """Log density of each row of `after` given that of `before`."""
+    if isinstance(model, Model):
+        return mvn_logpdf(after, model.step(before), model.Q)
+    return each_logpdf(after - _look_ahead(model, before), step_covariances(model, before))
+
+
+def first_logpdf(model: Model, x: Array) -> Array:
+    """Log density of states after the first step, which moves the prior: N(f(m0), F P0 F' + Q)."""
+    f = slopes(model.step, np.atleast_2d(np.asarray(model.m0, float)))[0]
+    return mvn_logpdf(x, np.broadcast_to(model.step(model.m0), x.shape), f @ model.P0 @ f.T + model.Q)
+
+
+def sir_extended_general(model: GeneralModel, x: Array, y: Array, rng: np.random.Generator, last: Step | None = None, compat: bool = False) -> Step:
+    """Proposals for general noise: an extended Kalman filter at each particle, its covariance carried on, linearised in state and noise.
+
+    Weights are transition times likelihood over proposal, in log space. compat: pure noise terms are counted twice and y's covariance is that at the particle moved from.
+    """
     if np.isnan(y).any():
         return bootstrap(model, x, y, rng)
-    none = np.zeros((len(x), len(model.Q)))
-    fq = slopes(lambda e: model.f(x, e), none)
-    covs = fq @ model.Q @ np.swapaxes(fq, 1, 2) + 1e-12 * np.eye(model.dim)
-    new = model.f(x, none) + np.einsum("nij,nj->ni", principal_sqrt(covs), rng.standard_normal(x.shape))
-    return _closed(new, log_weights(model, new, y), np.arange(len(x)), rng, multinomial, covs)
+    n = len(x)
+    no_q, no_r = np.zeros((n, len(model.Q))), np.zeros((n, len(model.R)))
+    ahead = model.f(x, no_q)
+    f, l = slopes(lambda v: model.f(v, no_q), x), slopes(lambda e: model.f(x, e), no_q)
+    c = f @ _covs(model, n, last) @ np.swapaxes(f, 1, 2) + l @ model.Q @ np.swapaxes(l, 1, 2)
+    h, v = slopes(lambda z: model.g(z, no_r), ahead), slopes(lambda e: model.g(ahead, e), no_r)
+    s = h @ c @ np.swapaxes(h, 1, 2) + v @ model.R @ np.swapaxes(v, 1, 2) + 1e-12 * np.eye(len(y))
+    gain = np.swapaxes(np.linalg.solve(s, h @ c), 1, 2)
+    mean = ahead + np.einsum("nij,nj->ni", gain, y - model.g(ahead, no_r))
+    cov = c - gain @ s @ np.swapaxes(gain, 1, 2)
+    cov = (cov + np.swapaxes(cov, 1, 2)) / 2 + 1e-12 * np.eye(model.dim)
+    new = mean + np.einsum("nij,nj->ni", principal_sqrt(cov), rng.standard_normal(x.shape))
+    seen = log_weights(model, new, y) if not compat else each_logpdf(y - model.g(new, no_r), observation_covariances(model, x, len(y), True))
+    lw = seen + each_logpdf(new - ahead, step_covariances(model, x, compat)) - each_logpdf(new - mean, cov)
+    return _closed(new, lw, np.arange(n), rng, multinomial, cov)
 
 
 def mh_moves(model: Model, paths: Array, ys: Array, rng: np.random.Generator, lag: int = 5, moves: int = 1, scale: float = 2.0) -> tuple[Array, Array]:
-    """Metropolis-Hastings on the last `lag` states of each path (n, T, d): random walks of the given scale. Paths and accepted counts."""
+    """Metropolis-Hastings on the last `lag` states of each path (n, T, d): random walks of the given scale. Paths and accepted counts.
+
+    Paths begin with the state after the first step, whose density is that of the prior moved once.
+    """
     paths = paths.copy()
     lag = min(lag, paths.shape[1])
     accepted = np.zeros(len(paths), int)
@@ -238,8 +279,7 @@ def mh_moves(model: Model, paths: Array, ys: Array, rng: np.random.Generator, la
     def score(p: Array) -> Array:
         out = np.zeros(len(p))
         for t in range(p.shape[1] - lag, p.shape[1]):
-            before = model.step(p[:, t - 1]) if t else np.broadcast_to(model.m0, p[:, 0].shape)
-            out += mvn_logpdf(p[:, t], before, model.Q if t else model.P0) + log_weights(model, p[:, t], ys[t])
+            out += (step_logpdf(model, p[:, t - 1], p[:, t]) if t else first_logpdf(model, p[:, 0])) + log_weights(model, p[:, t], ys[t])
         return out
 
     now = score(paths)

@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .folds import gaussian_log, let, lets, observed
+from .folds import folded, gaussian_log, let, lets, observed
 
 ELEMENT = "struct<a:double,b:double,c:double,e:double,j:double>"
 
@@ -53,8 +53,9 @@ def kalman_blocks(df: DataFrame, key: str, order: Sequence[str], value: str, blo
     prior = F.struct(F.lit(0.0).alias("a"), F.lit(float(m0)).alias("b"), F.lit(float(p0)).alias("c"), F.lit(0.0).alias("e"), F.lit(0.0).alias("j")).cast(ELEMENT)
     # the states at the starts: a scan over a series' blocks
     rows = parts.groupBy("series_id").agg(F.array_sort(F.collect_list(F.struct("block", "n", "element"))).alias("blocks"))
-    start = F.struct(prior.alias("s"), F.array().cast(f"array<{ELEMENT}>").alias("out"))
-    scanned = rows.select("series_id", "blocks", F.aggregate("blocks", start, lambda acc, b: F.struct(combined(acc["s"], b["element"]).alias("s"), F.concat(acc["out"], F.array(acc["s"])).alias("out")), lambda acc: acc["out"]).alias("starts"))
+    # of each block the state at its start: those after all blocks but the last, and the prior before them
+    after = folded(F.slice("blocks", F.lit(1), F.size("blocks") - 1), prior, ELEMENT, lambda s, b: combined(s, b["element"]))
+    scanned = rows.select("series_id", "blocks", F.concat(F.array(prior), after).alias("starts"))
     starts = scanned.select("series_id", F.inline(F.arrays_zip("blocks", "starts"))).select("series_id", F.col("blocks.block").alias("block"), F.col("blocks.n").alias("n"), F.col("starts.b").alias("m"), F.col("starts.c").alias("p"))
     starts = starts.withColumn("t0", F.coalesce(F.sum("n").over(before), F.lit(0)))
 
@@ -68,8 +69,7 @@ def kalman_blocks(df: DataFrame, key: str, order: Sequence[str], value: str, blo
         )
 
     both = cut.join(starts, ["series_id", "block"])
-    zero = F.struct(F.struct("m", "p", F.lit(0.0).alias("ll")).cast(kind).alias("s"), F.array().cast(f"array<{kind}>").alias("out"))
-    states = both.select("series_id", "block", "t0", "ys", F.aggregate("ys", zero, lambda acc, y: let({"n": step(acc["s"], y)}, lambda b: F.struct(b["n"].alias("s"), F.concat(acc["out"], F.array(b["n"])).alias("out"))), lambda acc: acc["out"]).alias("states"))
+    states = both.select("series_id", "block", "t0", "ys", folded(F.col("ys"), F.struct("m", "p", F.lit(0.0).alias("ll")), kind, step).alias("states"))
     ll0 = F.coalesce(F.sum(F.element_at("states", -1)["ll"]).over(before), F.lit(0.0))
     rows = states.withColumn("ll0", ll0).select("series_id", "t0", "ll0", F.posexplode(F.arrays_zip("ys", "states")).alias("i", "z"))
     return rows.select("series_id", (F.col("t0") + F.col("i") + 1).cast("int").alias("t"), F.col("z.ys").alias("y"), F.col("z.states.m").alias("m"), F.col("z.states.p").alias("p"), (F.col("ll0") + F.col("z.states.ll")).alias("ll"))

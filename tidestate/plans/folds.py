@@ -1,8 +1,8 @@
 """Gaussian filters and smoothers inside Catalyst: a series is an ordered array, a filter a fold over it.
 
 Intermediates of a step are bound once by `let`, since lambda bodies share no subexpressions. One
-exchange brings a series together; no Python runs. Series of many thousands of steps are better run by
-plans.series (the fold copies its output at each step).
+exchange brings a series together; no Python runs. A fold that appends copies what it has at each step, so long arrays are
+folded slice by slice (`folded`), which keeps the work near proportion to the steps.
 """
 
 from __future__ import annotations
@@ -37,18 +37,43 @@ def series(df: DataFrame, key: str, order: Sequence[str], value: str) -> DataFra
     return df.groupBy(F.col(key).alias("series_id")).agg(F.transform(F.array_sort(F.collect_list(item)), lambda s: s["y"]).alias("ys"))
 
 
-def scan(df: DataFrame, init: dict[str, float], step: Callable[[Column, Column], Column]) -> DataFrame:
-    """series_id, t (from 1), y and the state's fields after each observation. step(state, y) gives the next state as a struct of init's fields."""
-    fields = list(init)
-    kind = "struct<" + ",".join(f"{f}:double" for f in fields) + ">"
-    zero = F.struct(*[F.lit(float(v)).alias(f) for f, v in init.items()]).cast(kind)
-    start = F.struct(zero.alias("s"), F.array().cast(f"array<{kind}>").alias("out"))
+#: Steps of a slice.
+SLICE = 128
+
+
+def folded(array: Column, zero: Column, kind: str, step: Callable[[Column, Column], Column]) -> Column:
+    """array<kind> of the states after each element. zero: the state before the first, of that kind.
+
+    Within a slice the states are appended one by one; slices are appended whole and flattened at the end.
+    """
+    some = F.array().cast(f"array<{kind}>")
+
+    def one(acc: Column, x: Column) -> Column:
+        return let({"n": step(acc["s"], x).cast(kind)}, lambda b: F.struct(b["n"].alias("s"), F.concat(acc["out"], F.array(b["n"])).alias("out")))
+
+    def slices(a: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.size(a), F.lit(1)), F.lit(SLICE))
+
+        def more(acc: Column, i: Column) -> Column:
+            part = F.aggregate(F.slice(a, i, F.lit(SLICE)), F.struct(acc["s"].alias("s"), some.alias("out")), one)
+            return let({"p": part}, lambda b: F.struct(b["p"]["s"].alias("s"), F.concat(acc["out"], F.array(b["p"]["out"])).alias("out")))
+
+        return F.aggregate(starts, F.struct(zero.cast(kind).alias("s"), F.array().cast(f"array<array<{kind}>>").alias("out")), more, lambda acc: F.flatten(acc["out"]))
+
+    return F.element_at(F.transform(F.array(array), slices), 1)
 
-    def merge(acc: Column, y: Column) -> Column:
-        return let({"n": step(acc["s"], y).cast(kind)}, lambda b: F.struct(b["n"].alias("s"), F.concat(acc["out"], F.array(b["n"])).alias("out")))
 
-    states = df.withColumn("states", F.aggregate("ys", start, merge, lambda acc: acc["out"]))
-    return states.select("series_id", F.posexplode(F.arrays_zip("ys", "states")).alias("i", "z")).select("series_id", (F.col("i") + 1).alias("t"), F.col("z.ys").alias("y"), *[F.col(f"z.states.{f}").alias(f) for f in fields])
+def states(df: DataFrame, init: dict[str, float], step: Callable[[Column, Column], Column]) -> DataFrame:
+    """series_id, ys and states, the array of states (structs of init's fields) after each observation. step(state, y) gives the next state."""
+    kind = "struct<" + ",".join(f"{f}:double" for f in init) + ">"
+    zero = F.struct(*[F.lit(float(v)).alias(f) for f, v in init.items()])
+    return df.withColumn("states", folded(F.col("ys"), zero, kind, step))
+
+
+def scan(df: DataFrame, init: dict[str, float], step: Callable[[Column, Column], Column]) -> DataFrame:
+    """states with a row a step: series_id, t (from 1), y and the state's fields."""
+    rows = states(df, init, step).select("series_id", F.posexplode(F.arrays_zip("ys", "states")).alias("i", "z"))
+    return rows.select("series_id", (F.col("i") + 1).alias("t"), F.col("z.ys").alias("y"), *[F.col(f"z.states.{f}").alias(f) for f in init])
 
 
 def time_varying(df: DataFrame, params: DataFrame, key: str, order: Sequence[str], value: str, init: dict[str, float], make: Callable[..., Callable[[Column, Column], Column]], names: Sequence[str]) -> DataFrame:
@@ -186,20 +211,29 @@ def kalman_2d(a: Sequence[Sequence[float]], q: Sequence[Sequence[float]], r: flo
     return step
 
 
+SMOOTHED = "struct<t:int,ms:double,ps:double,gain:double>"
+
+
+def smooth_states(filtered: DataFrame, f: Callable[[Column], Column], slope: Callable[[Column], Column], q: float) -> DataFrame:
+    """series_id, t, ms, ps, gain: the backward fold over filtered states (series_id, states with m and p), linear or extended by f and its slope."""
+    numbered = F.transform("states", lambda s, i: F.struct((i + 1).cast("int").alias("t"), s["m"].alias("m"), s["p"].alias("p")))
+    return _smoothed(filtered.where(F.size("states") > 0).select("series_id", F.reverse(numbered).alias("back")), f, slope, q)
+
+
 def smooth_1d(filtered: DataFrame, f: Callable[[Column], Column], slope: Callable[[Column], Column], q: float) -> DataFrame:
-    """series_id, t, ms, ps, gain: the backward fold over filtered (series_id, t, m, p), linear or extended by f and its slope."""
-    item = F.struct("t", "m", "p")
-    arrays = filtered.groupBy("series_id").agg(F.reverse(F.array_sort(F.collect_list(item))).alias("back"))
-    kind = "struct<t:int,ms:double,ps:double,gain:double>"
+    """smooth_states of rows (series_id, t, m, p)."""
+    return _smoothed(filtered.groupBy("series_id").agg(F.reverse(F.array_sort(F.collect_list(F.struct("t", "m", "p")))).alias("back")), f, slope, q)
+
+
+def _smoothed(arrays: DataFrame, f: Callable[[Column], Column], slope: Callable[[Column], Column], q: float) -> DataFrame:
     first = F.element_at("back", 1)
-    start = F.struct(F.struct(first["t"].alias("t"), first["m"].alias("ms"), first["p"].alias("ps"), F.lit(0.0).alias("gain")).cast(kind).alias("s"), F.array(F.struct(first["t"].alias("t"), first["m"].alias("ms"), first["p"].alias("ps"), F.lit(0.0).alias("gain")).cast(kind)).alias("out"))
+    start = F.struct(first["t"].alias("t"), first["m"].alias("ms"), first["p"].alias("ps"), F.lit(0.0).alias("gain"))
 
-    def merge(acc: Column, x: Column) -> Column:
+    def step(s: Column, x: Column) -> Column:
         def close(a: Column, b: Column, g: Column) -> Column:
-            now = F.struct(x["t"].alias("t"), (x["m"] + g["g"] * (acc["s"]["ms"] - a["m"])).alias("ms"), (x["p"] + g["g"] * g["g"] * (acc["s"]["ps"] - b["p"])).alias("ps"), g["g"].alias("gain")).cast(kind)
-            return let({"n": now}, lambda z: F.struct(z["n"].alias("s"), F.concat(acc["out"], F.array(z["n"])).alias("out")))
+            return F.struct(x["t"].alias("t"), (x["m"] + g["g"] * (s["ms"] - a["m"])).alias("ms"), (x["p"] + g["g"] * g["g"] * (s["ps"] - b["p"])).alias("ps"), g["g"].alias("gain")).cast(SMOOTHED)
 
         return lets(lambda: {"m": f(x["m"]), "j": slope(x["m"])}, lambda a: {"p": a["j"] * a["j"] * x["p"] + q}, lambda a, b: {"g": x["p"] * a["j"] / b["p"]}, end=close)
 
-    out = arrays.select("series_id", F.aggregate(F.slice("back", F.lit(2), F.size("back")), start, merge, lambda acc: acc["out"]).alias("out"))
-    return out.select("series_id", F.inline("out"))
+    out = F.concat(F.array(start.cast(SMOOTHED)), folded(F.slice("back", F.lit(2), F.size("back")), start, SMOOTHED, step))
+    return arrays.select("series_id", F.inline(out))

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.rand import normal, uniform
+from ..sources.tables import stored
 from .series import matrix
 
 
@@ -30,17 +31,21 @@ def propagate(cloud: DataFrame, f: Callable[[Column], Column], q: float, t: int
 
 def weigh(cloud: DataFrame, obs: DataFrame, g: Callable[[Column], Column], r: float) -> DataFrame:
     """Joins obs (series_id, y) and sets log_w, the log density of y (0 without one)."""
+    return weighed(cloud.join(obs.select("series_id", "y"), "series_id"), g, r)
+
+
+def weighed(cloud: DataFrame, g: Callable[[Column], Column], r: float) -> DataFrame:
+    """log_w of a cloud that has y."""
     e = F.col("y") - g(F.col("x"))
-    return cloud.join(obs.select("series_id", "y"), "series_id").withColumn("log_w", F.when(F.col("y").isNull(), 0.0).otherwise(-0.5 * (F.log(2 * F.pi() * F.lit(r)) + e * e / F.lit(r))))
+    return cloud.withColumn("log_w", F.when(F.col("y").isNull(), 0.0).otherwise(-0.5 * (F.log(2 * F.pi() * F.lit(r)) + e * e / F.lit(r))))
 
 
 def normalised(cloud: DataFrame) -> DataFrame:
-    """w sums to 1 in each series; log_mean is the log of the mean weight. By log-sum-exp: two aggregates, no window over particles."""
-    top = cloud.groupBy("series_id").agg(F.max("log_w").alias("top"))
-    with_top = cloud.join(top, "series_id")
-    total = with_top.groupBy("series_id").agg(F.sum(F.exp(F.col("log_w") - F.col("top"))).alias("total"), F.count("*").alias("n"))
-    out = with_top.join(total, "series_id")
-    return out.withColumn("w", F.exp(F.col("log_w") - F.col("top")) / F.col("total")).withColumn("log_mean", F.log("total") - F.log("n") + F.col("top")).drop("top", "total", "n")
+    """w sums to 1 in each series; log_mean is the log of the mean weight. By log-sum-exp over one window: one exchange, and what follows by series reuses it."""
+    w = Window.partitionBy("series_id")
+    out = cloud.withColumn("top", F.max("log_w").over(w)).withColumn("e", F.exp(F.col("log_w") - F.col("top")))
+    out = out.withColumn("total", F.sum("e").over(w)).withColumn("n_", F.count("*").over(w))
+    return out.withColumn("w", F.col("e") / F.col("total")).withColumn("log_mean", F.log("total") - F.log("n_") + F.col("top")).drop("top", "e", "total", "n_")
 
 
 def moments(cloud: DataFrame) -> DataFrame:
@@ -98,8 +103,8 @@ def bootstrap_filter(spark: SparkSession, obs: DataFrame, steps: int, n: int, f:
     for t in range(1, steps + 1):
         weighted, cloud = bootstrap_step(cloud, obs.where(F.col("t") == t), f, g, q, r, t, seed)
         if cut:
-            weighted = weighted.checkpoint()
-            cloud = offspring(weighted, "systematic", t, seed).checkpoint()
+            weighted = stored(weighted, "cloud")
+            cloud = offspring(weighted, "systematic", t, seed)
         m = moments(weighted).select("series_id", F.lit(t).alias("t"), "n", "mean", "var", "ess", "loglik")
         out = m if out is None else out.unionByName(m)
     return out
@@ -144,11 +149,17 @@ def bootstrap_series(obs: DataFrame, n: int, f: Callable, g: Callable, q: float,
 def transition_mixture(before: DataFrame, now: DataFrame, f: Callable[[Column], Column], q: float) -> DataFrame:
     """series_id, pid and mix: for each particle of now (series_id, pid, x) the sum over particles of before (series_id, x, w) of w times the transition density.
 
-    All pairs within a series, n * n by nature; an equi-join on the series, summed at once.
+    n * n densities a series by nature, n being the number of particles; they are folded over an array of the series' particles, so that no row is made for a pair.
+    If both are one cloud, it is made once.
     """
-    e = F.col("n.x") - f(F.col("b.x"))
-    d = F.exp(-0.5 * e * e / q) / F.sqrt(2 * F.pi() * F.lit(q))
-    return now.alias("n").join(before.alias("b"), F.col("n.series_id") == F.col("b.series_id")).groupBy("n.series_id", "n.pid").agg(F.sum(F.col("b.w") * d).alias("mix"))
+    one = F.struct(f(F.col("x")).alias("m"), F.col("w"))
+    density = lambda x, b: b["w"] * F.exp(-0.5 * (x - b["m"]) * (x - b["m"]) / q) / F.sqrt(2 * F.pi() * F.lit(q))
+    if before is now:
+        both = now.groupBy("series_id").agg(F.collect_list(one).alias("b"), F.collect_list(F.struct("pid", "x")).alias("n"))
+        mixes = F.transform("n", lambda v: F.struct(v["pid"].alias("pid"), F.aggregate("b", F.lit(0.0), lambda acc, b: acc + density(v["x"], b)).alias("mix")))
+        return both.select("series_id", F.inline(mixes))
+    arrays = before.groupBy("series_id").agg(F.collect_list(one).alias("b"))
+    return now.join(arrays, "series_id").select("series_id", "pid", F.aggregate("b", F.lit(0.0), lambda acc, b: acc + density(F.col("x"), b)).alias("mix"))
 
 
 def pending(draws: DataFrame, accepted: DataFrame) -> DataFrame:

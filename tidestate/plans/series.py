@@ -6,7 +6,7 @@ meet in one task and are sorted there; series are independent, and Gaussian filt
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Mapping
 
 import numpy as np
 import pandas as pd
@@ -191,6 +191,15 @@ def mean_trajectory(paths: DataFrame) -> DataFrame:
 CHAIN = "series_id long, chain_id int, step int, theta map<string,double>, loglik double, accepted boolean"
 
 
+def _entries(theta: Mapping) -> dict[str, float]:
+    """Every entry of every parameter: a number by its name, an array's by name and place (m0_1, Q_0_1)."""
+    out = {}
+    for k, v in theta.items():
+        for at, x in np.ndenumerate(np.asarray(v, float)):
+            out["_".join([k, *map(str, at)])] = float(x)
+    return out
+
+
 def chains(obs: DataFrame, run_chain: Callable[[np.ndarray, np.random.Generator], list[dict]], n_chains: int = 1, seed: int = 0) -> DataFrame:
     """Chains of run_chain(ys, rng) -> rows (theta, loglik, accepted), each chain of each series in a task of its own."""
     fan = obs.withColumn("chain_id", F.explode(F.sequence(F.lit(0), F.lit(n_chains - 1))))
@@ -198,7 +207,7 @@ def chains(obs: DataFrame, run_chain: Callable[[np.ndarray, np.random.Generator]
     def run(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
         _, ys = matrix(g)
         rows = run_chain(ys, stream(seed, *key))
-        theta = [{k: float(np.ravel(v)[0]) for k, v in r["theta"].items()} for r in rows]
+        theta = [_entries(r["theta"]) for r in rows]
         return pd.DataFrame({"series_id": key[0], "chain_id": key[1], "step": np.arange(len(rows)), "theta": theta, "loglik": [r["loglik"] for r in rows], "accepted": [r["accepted"] for r in rows]})
 
     return fan.groupBy("series_id", "chain_id").applyInPandas(run, CHAIN)

@@ -175,15 +175,15 @@ ERTS_SQL = sql_smoother(EKF_SQL, "k.m + sin(k.m)", "1 + cos(k.m)", "1.0")
 
 @query(RTS_SQL)
 def rts_smoother(spark: SparkSession, d: str) -> DataFrame:
-    filtered = folds.scan(event_series(spark, d), INIT, folds.kalman_1d())
-    return rounded(folds.smooth_1d(filtered, lambda x: x, lambda x: F.lit(1.0), 0.1))
+    filtered = folds.states(event_series(spark, d), INIT, folds.kalman_1d())
+    return rounded(folds.smooth_states(filtered, lambda x: x, lambda x: F.lit(1.0), 0.1))
 
 
 @query(ERTS_SQL)
 def extended_rts_smoother(spark: SparkSession, d: str) -> DataFrame:
     f, df, g, dg = SINE
-    filtered = folds.scan(event_series(spark, d), SINE_INIT, folds.extended_1d(f, df, g, dg, 1.0, 25.0))
-    return rounded(folds.smooth_1d(filtered, f, df, 1.0))
+    filtered = folds.states(event_series(spark, d), SINE_INIT, folds.extended_1d(f, df, g, dg, 1.0, 25.0))
+    return rounded(folds.smooth_states(filtered, f, df, 1.0))
 
 
 # numpy filters and smoothers on the linear model: the linear SQL is their oracle
@@ -243,14 +243,17 @@ k(series_id, q, r, t, m, p, energy) AS (SELECT DISTINCT series_id, q, r, 0, CAST
 SELECT q, r, round(sum(energy), 4) AS energy, count(*) AS series FROM (SELECT *, max(t) OVER (PARTITION BY series_id, q, r) AS tt FROM k) WHERE t = tt GROUP BY q, r"""
 )
 def energy_grid(spark: SparkSession, d: str) -> DataFrame:
-    """Negative log likelihood of all series at each point of a parameter grid: grid times series, one fold each."""
-    grid = spark.createDataFrame([(float(q), float(r)) for q, r in GRID], "q double, r double")
-    s = event_series(spark, d).withColumn("point", F.explode(F.array(*[F.struct(F.lit(float(q)).alias("q"), F.lit(float(r)).alias("r")) for q, r in GRID])))
+    """Negative log likelihood of all series at each point of a parameter grid: every point is folded over a series' array where it stands."""
+    grid = F.array(*[F.struct(F.lit(float(q)).alias("q"), F.lit(float(r)).alias("r")) for q, r in GRID])
     kind = "struct<m:double,p:double,ll:double>"
     zero = F.struct(F.lit(0.0).alias("m"), F.lit(1.0).alias("p"), F.lit(0.0).alias("ll")).cast(kind)
-    states = s.select("series_id", "point.q", "point.r", F.aggregate("ys", zero, lambda a, y: folds.kalman_1d(q=F.col("point.q"), r=F.col("point.r"))(a, y).cast(kind)).alias("s"))
-    out = states.groupBy("q", "r").agg(F.round(-F.sum("s.ll"), 4).alias("energy"), F.count("*").alias("series"))
-    return grid.join(out, ["q", "r"])
+
+    def point(g: F.Column) -> F.Column:
+        ll = F.aggregate("ys", zero, lambda a, y: folds.kalman_1d(q=g["q"], r=g["r"])(a, y).cast(kind), lambda a: a["ll"])
+        return F.struct(g["q"].alias("q"), g["r"].alias("r"), ll.alias("ll"))
+
+    points = event_series(spark, d).select(F.inline(F.transform(grid, point)))
+    return points.groupBy("q", "r").agg(F.round(-F.sum("ll"), 4).alias("energy"), F.count("*").alias("series"))
 
 
 # sources, projections, filters
@@ -297,8 +300,7 @@ def cloud(spark: SparkSession, d: str) -> DataFrame:
     """Each user's events as particles, weighed by a normal density around 50."""
     pid = F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")) - 1
     c = read(spark, d, "events").select(F.col("user_id").alias("series_id"), pid.cast("int").alias("pid"), F.col("value").alias("x"))
-    obs = c.select("series_id").distinct().withColumn("y", F.lit(50.0))
-    return pf.normalised(pf.weigh(c, obs, lambda x: x, 400.0)).drop("y")
+    return pf.normalised(pf.weighed(c.withColumn("y", F.lit(50.0)), lambda x: x, 400.0)).drop("y")
 
 
 @query(f"WITH {LW} SELECT series_id, pid, round(x, 6) AS x, round(log_w, 6) AS log_w, round(wt, 9) AS w, round(log_mean, 6) AS log_mean FROM n")

@@ -9,11 +9,22 @@ from pyspark.sql import functions as F
 
 
 def shared_path(spark: SparkSession, what: str) -> str:
-    """A new path in the folder of spark.checkpoint.dir, or below /tmp where none is set."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or "/tmp/tidestate-shared"
+    """A new path in the folder of spark.checkpoint.dir; below /tmp where none is set, on one machine alone."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not folder:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = "/tmp/tidestate-shared"
     return f"{folder.rstrip('/')}/{what}-{uuid4().hex}"
 
 
+def stored(df: DataFrame, what: str) -> DataFrame:
+    """df written to the shared folder and read back, which ends its lineage."""
+    path = shared_path(df.sparkSession, what)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def read_csv(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
     """A CSV file with a header. Types are inferred (a pass of its own) only without a schema."""
     reader = spark.read.option("header", True)

@@ -1,7 +1,8 @@
 """Online filtering: a stateful Structured Streaming operator keeps each series' state between micro-batches.
 
-Rows have series_id, ts and y. Within a micro-batch a series' rows are taken in order of ts; rows at or before the
-series' last ts are late: they are left out and counted. A null y predicts only. State is a few numbers a series
+Rows have series_id, ts and y. Within a micro-batch a series' rows are taken in order of ts, those of one ts in order of y (null last); rows before the
+series' last ts are late: they are left out and counted, the count being kept in the state and shown with the next row. Rows of the last ts
+itself are not late. A null y predicts only. State is a few numbers a series
 (n particles for the particle filter).
 """
 
@@ -22,9 +23,8 @@ OUT = "series_id long, ts timestamp, mean double, var double, loglik double, lat
 
 
 def _ordered(batches: Iterator[pd.DataFrame], last: float) -> tuple[pd.DataFrame, int]:
-    rows = pd.concat(list(batches)).sort_values("ts", kind="stable")
-    stamp = rows["ts"].astype("int64")
-    ok = stamp > last
+    rows = pd.concat(list(batches)).sort_values(["ts", "y"], kind="stable", na_position="last")
+    ok = rows["ts"].astype("int64") >= last
     return rows[ok], int((~ok).sum())
 
 
@@ -33,7 +33,7 @@ def kalman(rows: DataFrame, model: Model, watermark: str | None = None) -> DataF
     d = model.dim
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        m, p, last, late = model.m0.copy(), np.asarray(model.P0, float).copy(), float(np.iinfo(np.int64).min), 0
+        m, p, last, late = model.m0.copy(), np.asarray(model.P0, float).copy(), int(np.iinfo(np.int64).min), 0
         if state.exists:
             flat, last, late = state.get
             m, p = np.array(flat[:d]), np.array(flat[d:]).reshape(d, d)
@@ -44,13 +44,13 @@ def kalman(rows: DataFrame, model: Model, watermark: str | None = None) -> DataF
             m, p = ms[-1], ps[-1]
             out.append((key[0], ts, m[0], p[0, 0], ll[-1], late + more))
         if len(new):
-            last = float(new["ts"].astype("int64").iloc[-1])
+            last = int(new["ts"].astype("int64").iloc[-1])
         state.update(([*m.tolist(), *p.ravel().tolist()], last, late + more))
         yield pd.DataFrame(out, columns=["series_id", "ts", "mean", "var", "loglik", "late"])
 
     if watermark:
         rows = rows.withWatermark("ts", watermark)
-    return rows.groupBy("series_id").applyInPandasWithState(run, OUT, "flat array<double>, last double, late long", "append", GroupStateTimeout.NoTimeout)
+    return rows.groupBy("series_id").applyInPandasWithState(run, OUT, "flat array<double>, last long, late long", "append", GroupStateTimeout.NoTimeout)
 
 
 def bootstrap(rows: DataFrame, model: Model, n: int = 200, seed: int = 0) -> DataFrame:
@@ -62,7 +62,7 @@ def bootstrap(rows: DataFrame, model: Model, n: int = 200, seed: int = 0) -> Dat
             flat, last, late, t = state.get
             x = np.array(flat).reshape(n, d)
         else:
-            x, last, late, t = particles.prior(model, n, stream(seed, key[0], 0)), float(np.iinfo(np.int64).min), 0, 0
+            x, last, late, t = particles.prior(model, n, stream(seed, key[0], 0)), int(np.iinfo(np.int64).min), 0, 0
         new, more = _ordered(batches, last)
         out = []
         for ts, y in zip(new["ts"], new["y"], strict=True):
@@ -71,8 +71,8 @@ def bootstrap(rows: DataFrame, model: Model, n: int = 200, seed: int = 0) -> Dat
             x = s.resampled
             out.append((key[0], ts, s.mean[0], s.spread[0, 0], s.loglik, late + more))
         if len(new):
-            last = float(new["ts"].astype("int64").iloc[-1])
+            last = int(new["ts"].astype("int64").iloc[-1])
         state.update((x.ravel().tolist(), last, late + more, t))
         yield pd.DataFrame(out, columns=["series_id", "ts", "mean", "var", "loglik", "late"])
 
-    return rows.groupBy("series_id").applyInPandasWithState(run, OUT, "flat array<double>, last double, late long, t long", "append", GroupStateTimeout.NoTimeout)
+    return rows.groupBy("series_id").applyInPandasWithState(run, OUT, "flat array<double>, last long, late long, t long", "append", GroupStateTimeout.NoTimeout)
