@@ -646,7 +646,7 @@ def quasi_normals(spark: SparkSession, d: str) -> DataFrame:
     return event_rows(spark, d).groupBy("series_id").applyInPandas(run, "series_id long, i int, z1 double, z2 double")
 
 
-@query()
+@query(f"{KF_SQL} {NEAR.format(STEP_ROWS)}")
 def series_extended_general(spark: SparkSession, d: str) -> DataFrame:
     """The extended filter for general noise, f(x, e) and g(x, e), linearised by differences (tests hold it against the additive one)."""
     import pandas as pd
@@ -667,3 +667,6 @@ def series_extended_general(spark: SparkSession, d: str) -> DataFrame:
         return pd.DataFrame({"series_id": key[0], "t": t, "m": a[:, 0], "p": a[:, 1], "loglik": a[:, 2]})
 
     return _near(event_rows(spark, d).groupBy("series_id").applyInPandas(run, "series_id long, t int, m double, p double, loglik double"))
+
+
+from . import checked  # noqa: E402, F401  (registers its queries)

@@ -9,16 +9,21 @@ from pyspark.sql import functions as F
 
 from ..functions.rand import normal, stream
 from ..models import EXAMPLES, GeneralModel, lorenz_step
-from ..operators.particles import noise
+from ..operators.particles import noise, observation_covariances, step_covariances
 
 SCHEMA = "series_id long, t int, x array<double>, ys array<double>"
 
 
 def simulate(spark: SparkSession, name: str, series: int, steps: int, seed: int = 0) -> DataFrame:
     """series_id, t (from 1), x and ys of the model EXAMPLES[name]; t = 1 is the first state after the prior mean."""
+    return simulate_like(spark.range(series).select(F.col("id").alias("series_id"), F.lit(steps).alias("steps")), name, seed)
 
-    def run(key: tuple, _: pd.DataFrame) -> pd.DataFrame:
-        model, rng = EXAMPLES[name](), stream(seed, name, int(key[0]))
+
+def simulate_like(lengths: DataFrame, name: str, seed: int = 0) -> DataFrame:
+    """simulate for each series_id of lengths (series_id, steps)."""
+
+    def run(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
+        model, rng, steps = EXAMPLES[name](), stream(seed, name, int(key[0])), int(group["steps"].iloc[0])
         x = np.atleast_2d(model.m0)
         xs, ys = [], []
         for _t in range(steps):
@@ -32,23 +37,64 @@ def simulate(spark: SparkSession, name: str, series: int, steps: int, seed: int
             ys.append(y[0])
         return pd.DataFrame({"series_id": key[0], "t": np.arange(1, steps + 1), "x": xs, "ys": ys})
 
-    return spark.range(series).withColumnRenamed("id", "series_id").groupBy("series_id").applyInPandas(run, SCHEMA)
+    return lengths.groupBy("series_id").applyInPandas(run, SCHEMA)
+
+
+def fits(simulated: DataFrame, name: str, width: float = 5.0) -> DataFrame:
+    """series_id, steps, and whether the mean squares of states' and observations' residuals, whitened by the model's noises, lie within `width` standard errors of 1."""
+
+    def run(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
+        model, group = EXAMPLES[name](), group.sort_values("t")
+        x, y = np.stack(group["x"].to_list()), np.stack(group["ys"].to_list())
+        before = np.concatenate([np.atleast_2d(model.m0), x[:-1]])
+        if isinstance(model, GeneralModel):
+            none_q, none_r = np.zeros((len(x), len(model.Q))), np.zeros((len(x), len(model.R)))
+            pairs = (x - model.f(before, none_q), step_covariances(model, before)), (y - model.g(x, none_r), observation_covariances(model, x, y.shape[1]))
+        else:
+            pairs = (x - model.step(before), np.broadcast_to(model.Q, (len(x), *model.Q.shape))), (y - model.observe(x), np.broadcast_to(model.R, (len(x), *model.R.shape)))
+        near = [bool(abs(np.einsum("ni,ni->n", e, np.linalg.solve(c, e[..., None])[..., 0]).mean() / e.shape[1] - 1) < width * np.sqrt(2 / e.size)) for e, c in pairs]
+        return pd.DataFrame({"series_id": [key[0]], "steps": [len(x)], "state_fits": near[:1], "observation_fits": near[1:]})
+
+    return simulated.groupBy("series_id").applyInPandas(run, "series_id long, steps long, state_fits boolean, observation_fits boolean")
+
+
+def lorenz_fits(spark: SparkSession, series: int, steps: int, dt: float = 0.05, diffusion: float = 3.0, seed: int = 0) -> DataFrame:
+    """series_id, parts and whether the increments of the Lorenz SDE's parts of a step, less their drift, have variance diffusion**2 times their time."""
+
+    def run(key: tuple, _: pd.DataFrame) -> pd.DataFrame:
+        path = lorenz_parts(steps, dt, diffusion, stream(seed, "lorenz", int(key[0])))
+        h = dt / PARTS
+        slope = np.concatenate([(lorenz_step(p[None], 1e-6, 1) - p) / 1e-6 for p in path[:-1]])
+        e = (np.diff(path, axis=0) - h * slope) / (diffusion * np.sqrt(h))
+        return pd.DataFrame({"series_id": [key[0]], "parts": [len(e)], "noise_fits": [bool(abs((e * e).mean() - 1) < 5 * np.sqrt(2 / e.size))]})
+
+    return spark.range(series).withColumnRenamed("id", "series_id").groupBy("series_id").applyInPandas(run, "series_id long, parts long, noise_fits boolean")
+
+
+#: Parts of a step of the Lorenz SDE.
+PARTS = 10
+
+
+def lorenz_parts(steps: int, dt: float, diffusion: float, rng: np.random.Generator) -> np.ndarray:
+    """The Lorenz SDE by Euler-Maruyama, PARTS states a step and the first: (steps * PARTS + 1, 3)."""
+    x, h = np.array([[1.0, 0.0, 0.0]]), dt / PARTS
+    out = [x[0]]
+    for _ in range(steps * PARTS):
+        slope = (lorenz_step(x, 1e-6, 1) - x) / 1e-6
+        x = x + h * slope + diffusion * np.sqrt(h) * rng.standard_normal((1, 3))
+        out.append(x[0])
+    return np.array(out)
 
 
 def lorenz_paths(spark: SparkSession, series: int, steps: int = 200, dt: float = 0.05, diffusion: float = 3.0, seed: int = 0) -> DataFrame:
     """series_id, t and x of the Lorenz system: by Euler-Maruyama in ten parts a step, or by Runge-Kutta alone if diffusion is 0."""
 
     def run(key: tuple, _: pd.DataFrame) -> pd.DataFrame:
-        rng, x, out = stream(seed, "lorenz", int(key[0])), np.array([[1.0, 0.0, 0.0]]), []
-        for _t in range(steps + 1):
-            out.append(x[0])
-            if diffusion:
-                for _k in range(10):
-                    h = dt / 10
-                    slope = (lorenz_step(x, 1e-6, 1) - x) / 1e-6
-                    x = x + h * slope + diffusion * np.sqrt(h) * rng.standard_normal((1, 3))
-            else:
-                x = lorenz_step(x, dt)
+        if diffusion:
+            out = list(lorenz_parts(steps, dt, diffusion, stream(seed, "lorenz", int(key[0])))[::PARTS])
+        else:
+            x = np.array([[1.0, 0.0, 0.0]])
+            out = [x[0], *((x := lorenz_step(x, dt))[0] for _ in range(steps))]
         return pd.DataFrame({"series_id": key[0], "t": np.arange(steps + 1), "x": out})
 
     return spark.range(series).withColumnRenamed("id", "series_id").groupBy("series_id").applyInPandas(run, "series_id long, t int, x array<double>")
