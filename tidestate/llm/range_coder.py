@@ -14,14 +14,16 @@ arithmetic is in integers, so decoding repeats encoding exactly.
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 
 U = np.uint64
 #: Ids of a block, lanes of a block, and ids of a lane from which there are more lanes.
 BLOCK = 1 << 21
-LANES = 4096
+LANES = 8192
 LEAST_STEPS = 256
-SLOTS2, SLOTS1 = 2, 4
+SLOTS2, SLOTS1 = 2, 3
 SLOTS = SLOTS2 + SLOTS1
 BITS2 = 16
 #: A slot is an id and, in the bits above it, its count.
@@ -97,7 +99,7 @@ class Model:
         slots[SLOTS2:] = self.t1.take(self.last, 0).T
         c = slots >> ID_BITS
         ids = self.ids = slots & ID
-        n2, n1 = c[0] + c[1], c[2] + c[3] + c[4] + c[5]
+        n2, n1 = functools.reduce(np.add, c[:SLOTS2]), functools.reduce(np.add, c[SLOTS2:])
         self.state = LEVEL2.take(n2) + LEVEL1.take(n1) + self.right
         c[:SLOTS2] *= INVERSE.take(n2)
         c[SLOTS2:] *= INVERSE.take(n1)
@@ -108,7 +110,7 @@ class Model:
         for s in range(SLOTS2):
             same = c[SLOTS2:] * (ids[SLOTS2:] == ids[s])
             same *= c[s] > 0
-            c[s] += same[0] + same[1] + same[2] + same[3]
+            c[s] += functools.reduce(np.add, same)
             c[SLOTS2:] -= same
         self.mass, self.to = c, c.cumsum(0, dtype=np.int32)
 
