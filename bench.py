@@ -31,6 +31,41 @@ HEADLINE = (
 )
 
 
+def workloads(spark: SparkSession) -> dict[str, tuple[int, object]]:
+    """The reference's own workloads, eight series of each: particles x steps moved, and what runs them."""
+    from tidestate import models
+    from tidestate.operators import estimation
+    from tidestate.plans import folds, series
+    from tidestate.sources import simulate
+    from pyspark.sql import functions as F
+
+    def particles(name: str, steps: int, method: str, n: int):
+        obs = simulate.simulate(spark, name, 8, steps).select("series_id", "t", "ys").cache()
+        obs.count()
+        return 8 * steps * n, lambda: series.particle_filter(obs, models.EXAMPLES[name](), method, n)
+
+    def chain(ys, rng):
+        return estimation.noise_chain(models.cube_root(), ys, 200, rng, n=100)
+
+    def kalman(steps: int):
+        rows = spark.range(8).select(F.col("id").alias("series_id"), F.transform(F.sequence(F.lit(1), F.lit(steps)), lambda i: (i % 97).cast("double")).alias("ys")).cache()
+        rows.count()
+        return 8 * steps, lambda: folds.scan(rows, {"m": 0.0, "p": 1.0, "ll": 0.0}, folds.kalman_1d())
+
+    cube = simulate.simulate(spark, "cube_root", 8, 150).select("series_id", "t", "ys").cache()
+    cube.count()
+    return {
+        "bootstrap_cube_root_1000x150": particles("cube_root", 150, "bootstrap", 1000),
+        "sir_unscented_cube_root_1000x150": particles("cube_root", 150, "sir_unscented", 1000),
+        "bootstrap_volatility_1000x200": particles("stochastic_volatility", 200, "bootstrap", 1000),
+        "bootstrap_lorenz_1000x50": particles("lorenz", 50, "bootstrap", 1000),
+        "auxiliary_pendulum_100x500": particles("pendulum", 500, "auxiliary", 100),
+        "pmmh_cube_root_200x100x150": (8 * 201 * 100 * 150, lambda: series.chains(cube, chain)),
+        "kalman_fold_1000_steps": kalman(1_000),
+        "kalman_fold_10000_steps": kalman(10_000),
+    }
+
+
 def main() -> None:
     sf = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
@@ -57,7 +92,13 @@ def main() -> None:
             runs.append(time.perf_counter() - began)
         took[name] = round(min(runs), 3)
     rows = spark.read.parquet(f"{sf}/events.parquet").count()
-    print(json.dumps({"metric": "headline_total", "value": round(sum(took.values()), 3), "unit": "sec", "queries": took, "median": round(statistics.median(took.values()), 3), "event_rows": rows, "sf": sf, "cpus": int(cpus)}))
+    rates, seconds = {}, {}
+    for name, (moved, run) in workloads(spark).items():
+        began = time.perf_counter()
+        run().write.format("noop").mode("overwrite").save()
+        seconds[name] = round(time.perf_counter() - began, 3)
+        rates[name] = round(moved / seconds[name])
+    print(json.dumps({"metric": "headline_total", "value": round(sum(took.values()), 3), "unit": "sec", "queries": took, "median": round(statistics.median(took.values()), 3), "event_rows": rows, "workload_seconds": seconds, "workload_steps_per_second": rates, "sf": sf, "cpus": int(cpus)}))
     spark.stop()
 
 
