@@ -7,6 +7,10 @@ that it wrote, each document's place in the token stream. A document that the mi
 
 Each row is a document of its own, whatever its doc_id: a verdict on one row never holds for another of the same doc_id, and
 rows of null doc_id are judged as all others are. Near-dedup keeps one row of each group, of identical rows too.
+
+Defined results. A null text is empty: as any text of fewer than 20 words it goes in the first stage. Null langs, sources and n_chars are
+carried along; a null source is a source of its own. Columns other than the five of documents are dropped, whatever their names. Empty
+documents, or none that are left, give an empty result of the same columns. Very long texts are whole in every stage.
 """
 
 from __future__ import annotations
