@@ -121,3 +121,11 @@ def test_hot_anchors_are_dealt_by_window(spark, monkeypatch):
 def test_small_batches(spark, edge, texts, monkeypatch):
     monkeypatch.setattr(S, "BATCH_BYTES", 300)
     assert run(edge.repartition(5)) == brute(texts)
+
+
+def test_white_space_between_words_does_not_matter(spark, monkeypatch):
+    import numpy as np
+
+    a, b = "\n".join(f"a{i}" for i in range(20)), " \t ".join(f"a{i}" for i in range(20))
+    monkeypatch.setattr(np, "unique", None)  # the block needn't be parsed anew
+    assert len(S.factors(*block_of(a, b), np.array([1, 2]))[0]) == 1

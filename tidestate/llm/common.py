@@ -100,9 +100,10 @@ def released(run: Callable) -> Callable:
     return wrapped
 
 
-def give_back() -> None:
+def give_back(collect: bool = True) -> None:
     """Free memory of Python, numpy and Arrow goes back to the system."""
-    gc.collect()
+    if collect:
+        gc.collect()
     pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL("libc.so.6").malloc_trim(0)

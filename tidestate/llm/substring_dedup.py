@@ -9,7 +9,7 @@ A block's segments, in order of the least doc_id that has them, are its referenc
 parsed greedily against what comes before it of smaller doc_ids: where a window is in the index, a factor begins, whose source is the
 window's earliest place in the reference, and it goes on word by word for as long as its source agrees. What lies inside a factor is not
 looked at again; windows that straddle its end are looked up one after another, and the first that is found begins the next factor. Factors are
-WINDOW words or longer and are the duplicate spans. The bytes of a factor are compared with its source's; should two unlike windows
+WINDOW words or longer and are the duplicate spans. A factor's words are compared with its source's byte by byte; should two unlike windows
 share a hash, the block is parsed anew with exact numbers of words and windows.
 
 Work is combined before it is shuffled: of the segments of a batch of documents that are alike, only those of the least doc_id go to the
@@ -257,14 +257,16 @@ def factors(body: np.ndarray, length: np.ndarray, earliest: np.ndarray, window:
     word_at = np.concatenate([[0], np.cumsum(count)])
     starts = K.window_starts(word_at, window)
     seg, s, j, n = parse(h, K.window_hash(h, window)[starts], count, earliest, window)
-    size = end[s + n - 1] - start[s]
-    same = size == end[j + n - 1] - start[j]
-    for a in range(0, len(s), 1 << 16):  # byte by byte
-        c = np.flatnonzero(same[a : a + (1 << 16)]) + a
-        at = np.concatenate([[0], np.cumsum(size[c])])
-        inside = np.arange(at[-1]) - np.repeat(at[:-1], size[c])
-        bad = body[np.repeat(start[s[c]], size[c]) + inside] != body[np.repeat(start[j[c]], size[c]) + inside]
-        same[c] &= K.per_row(bad, at) == 0
+    same = np.ones(len(s), bool)
+    for a in range(0, len(s), 1 << 13):  # word by word and byte by byte: white space between words may differ
+        f = np.repeat(np.arange(a, min(a + (1 << 13), len(s))), n[a : a + (1 << 13)])
+        inside = np.arange(len(f)) - np.repeat(np.cumsum(n[a : a + (1 << 13)]) - n[a : a + (1 << 13)], n[a : a + (1 << 13)])
+        x, y = s[f] + inside, j[f] + inside
+        alike = end[x] - start[x] == end[y] - start[y]
+        same[f[~alike]] = False
+        f, x, y = f[alike], x[alike], y[alike]
+        own, at = K.gather(body, start[x], end[x], 32)
+        same[f[K.per_row(own != K.gather(body, start[y], end[y], 32)[0], at) > 0]] = False
     if not same.all():
         raw, number = body.tobytes(), {}
         exact = np.array([number.setdefault(raw[x:y], len(number)) for x, y in zip(start.tolist(), end.tolist(), strict=True)], np.uint64)
@@ -302,7 +304,7 @@ def factored(window: int) -> object:
         f = np.arange(len(of)) - np.repeat(np.cumsum(b - a) - (b - a), b - a) + np.repeat(a, b - a)
         begin = first[of] + s[f] - word_at[seg[of]]
         out = spans_of(doc[of], tag[of], begin, begin + n[f])
-        give_back()
+        give_back(collect=False)
         return out
 
     return run
