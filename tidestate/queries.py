@@ -646,7 +646,7 @@ def quasi_normals(spark: SparkSession, d: str) -> DataFrame:
     return event_rows(spark, d).groupBy("series_id").applyInPandas(run, "series_id long, i int, z1 double, z2 double")
 
 
-@query(f"{KF_SQL} {NEAR.format(STEP_ROWS)}")
+@query()
 def series_extended_general(spark: SparkSession, d: str) -> DataFrame:
     """The extended filter for general noise, f(x, e) and g(x, e), linearised by differences (tests hold it against the additive one)."""
     import pandas as pd
