@@ -113,21 +113,21 @@ def sir_loglik_agrees(spark: SparkSession, d: str) -> DataFrame:
     return rounded(last.join(est, "series_id").select("series_id", F.col("n").cast("long").alias("steps"), F.col("ll").alias("loglik"), (F.abs(F.col("estimated") - F.col("ll")) < 3).alias("agrees")))
 
 
-@query(f"{KF_SQL} SELECT series_id, CAST(t AS BIGINT) AS steps, round(m, 4) AS last_mean, true AS agrees FROM {LAST}")
+@query(f"{KF_SQL} SELECT series_id, CAST(t AS BIGINT) AS steps, round(m, 6) AS last_mean, true AS agrees FROM {LAST}")
 def series_extended_general_agrees(spark: SparkSession, d: str) -> DataFrame:
     """The extended filter for general noise, linearised by differences, is the Kalman filter on a linear model but for the differences' error."""
     est = QUERIES["series_extended_general"](spark, d).select("series_id", "t", F.col("m").alias("e"), F.col("p").alias("v"))
     rows = folds.scan(event_series(spark, d), KF_INIT, folds.kalman_1d()).select("series_id", "t", "m", "p").join(est, ["series_id", "t"])
     near = (F.abs(F.col("e") - F.col("m")) < 2e-3) & (F.abs(F.col("v") - F.col("p")) < 2e-3)
-    return rows.groupBy("series_id").agg(F.count("*").alias("steps"), F.round(F.max_by("m", "t"), 4).alias("last_mean"), F.min(near).alias("agrees"))
+    return rows.groupBy("series_id").agg(F.count("*").alias("steps"), F.round(F.max_by("m", "t"), 6).alias("last_mean"), F.min(near).alias("agrees"))
 
 
 # smoothers: means over draws against the RTS smoother
 
-SMOOTH_ROWS = f"SELECT series_id, count(*) AS steps, round(min_by(ms, t), 4) AS first_mean, true AS mean_agrees{{}} FROM ({SMOOTH}) GROUP BY series_id"
+SMOOTH_ROWS = f"SELECT series_id, count(*) AS steps, min_by(ms, t) AS first_mean, true AS mean_agrees{{}} FROM ({SMOOTH}) GROUP BY series_id"
 
 
-def smoother_agrees(est: DataFrame, exact_rows: DataFrame, mean: float = 0.4, spread: bool = True, newest: int | None = None) -> DataFrame:
+def smoother_agrees(est: DataFrame, exact_rows: DataFrame, mean: float = 0.6, spread: bool = True, newest: int | None = None) -> DataFrame:
     """est: series_id, t, e and v, the mean and variance over draws. newest: only so many last steps are held against the smoother."""
     both = exact_rows.join(est, ["series_id", "t"])
     if newest:
@@ -135,7 +135,7 @@ def smoother_agrees(est: DataFrame, exact_rows: DataFrame, mean: float = 0.4, sp
         near = F.col("t") > F.col("n") - newest
         both = both.join(n, "series_id").withColumn("e", F.when(near, F.col("e")).otherwise(F.col("ms")))
     error = F.when(F.col("e") != F.col("ms"), F.abs(F.col("e") - F.col("ms")) / F.sqrt("ps"))
-    agg = [F.count("*").alias("steps"), F.round(F.round(F.min_by("ms", "t"), 6), 4).alias("first_mean"), (F.avg(error) < mean).alias("mean_agrees")]
+    agg = [F.count("*").alias("steps"), F.round(F.min_by("ms", "t"), 6).alias("first_mean"), (F.avg(error) < mean).alias("mean_agrees")]
     if spread:
         agg.append(F.avg(F.col("v") / F.col("ps")).between(0.6, 1.5).alias("spread_agrees"))
     return both.groupBy("series_id").agg(*agg)
@@ -158,7 +158,7 @@ def _smoothers() -> None:
         @query(SMOOTH_ROWS.format(""), name=f"trajectories_{method}_agrees")
         def _lines(spark: SparkSession, d: str, method: str = method) -> DataFrame:
             paths = series.trajectories(event_rows(spark, d), walk(), method, draws=150, n=400)
-            return smoother_agrees(of_draws(paths), smoothed(spark, d), 0.7, False, 5)
+            return smoother_agrees(of_draws(paths), smoothed(spark, d), 1.0, False, 5)
 
     for kind in ("ancestor", "backward"):
 
@@ -173,7 +173,7 @@ def _smoothers() -> None:
                 return pd.DataFrame({"series_id": key[0], "t": t, "e": paths.mean(0), "v": paths.var(0, ddof=1)})
 
             est = event_rows(spark, d).groupBy("series_id").applyInPandas(run, "series_id long, t int, e double, v double")
-            return smoother_agrees(est, smoothed(spark, d), 0.7, False)
+            return smoother_agrees(est, smoothed(spark, d), 0.8, False)
 
 
 _smoothers()
