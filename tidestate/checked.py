@@ -169,7 +169,7 @@ def _smoothers() -> None:
             def run(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
                 t, ys = series.matrix(g)
                 start = np.full((len(ys), 1), WALK[2])
-                paths = estimation.particle_gibbs(walk(), ys, start, 25, 30, stream("gibbs", kind, int(key[0])), backward=kind == "backward")[5:, :, 0]
+                paths = estimation.particle_gibbs(walk(), ys, start, 25, 80, stream("gibbs", kind, int(key[0])), backward=kind == "backward")[5:, :, 0]
                 return pd.DataFrame({"series_id": key[0], "t": t, "e": paths.mean(0), "v": paths.var(0, ddof=1)})
 
             est = event_rows(spark, d).groupBy("series_id").applyInPandas(run, "series_id long, t int, e double, v double")
