@@ -308,3 +308,22 @@ def test_backward_batches_follow_the_smoother():
         f, p, _ = gaussian.run(m, ys[s, :n])
         ms = smoothing.rts(f, p, np.eye(1), m.Q)[0][:, 0]
         assert np.abs(paths[s, :, :n, 0].mean(0) - ms).max() < 0.5
+
+
+@pytest.mark.parametrize("back", [False, True])
+def test_gibbs_batches_follow_the_smoother(back):
+    """Series in step, of unequal length and with a missing observation; a series draws the same alone."""
+    from tidestate.operators import batch_particles
+
+    m = models.random_walk(1.0, 2.0)
+    ys = np.stack([simulated(m, 25, s)[1] for s in (5, 6)])
+    ys[0, 4], ys[1, 15:] = np.nan, np.nan
+    gens = lambda: [rand.stream("g", s) for s in range(2)]
+    lengths = np.array([25, 15])
+    paths = batch_particles.gibbs(m, ys, lengths, np.zeros((2, 25, 1)), 200, 100, gens(), back)
+    for s, n in enumerate(lengths):
+        f, p, _ = gaussian.run(m, ys[s, :n])
+        ms = smoothing.rts(f, p, np.eye(1), m.Q)[0][:, 0]
+        assert np.abs(paths[s, 20:, :n, 0].mean(0) - ms).max() < 0.5
+    alone = batch_particles.gibbs(m, ys[1:, :15], lengths[1:], np.zeros((1, 15, 1)), 5, 100, gens()[1:], back)
+    assert np.allclose(alone[0], paths[1, :5, :15])
