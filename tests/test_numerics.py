@@ -327,3 +327,45 @@ def test_gibbs_batches_follow_the_smoother(back):
         assert np.abs(paths[s, 20:, :n, 0].mean(0) - ms).max() < 0.5
     alone = batch_particles.gibbs(m, ys[1:, :15], lengths[1:], np.zeros((1, 15, 1)), 5, 100, gens()[1:], back)
     assert np.allclose(alone[0], paths[1, :5, :15])
+
+
+def _in_step():
+    m = models.random_walk(1.0, 2.0)
+    ys = np.stack([simulated(m, 25, s)[1] for s in (5, 6)])
+    ys[0, 4], ys[1, 15:] = np.nan, np.nan
+    return m, ys, np.array([25, 15]), lambda which: [rand.stream("c", s) for s in which]
+
+
+@pytest.mark.parametrize("kind", ["noises", "parameters", "roots"])
+def test_chains_in_step(kind):
+    """Each row's likelihood is near the exact one of its parameters; a series's chain is the same alone."""
+    from tidestate.operators import batch_chains
+
+    m, ys, lengths, gens = _in_step()
+    if kind == "parameters":
+        m = m.with_(f=lambda x, th: th["a"] * x, df=lambda x, th: np.array([[th["a"]]]), theta={"a": 1.0})
+    chain = {"noises": lambda *a: batch_chains.noise_chain(*a, sd=0.5, n=1000), "parameters": lambda *a: batch_chains.parameter_chain(*a, sd=0.1, n=1000), "roots": lambda *a: batch_chains.root_chain(*a, scale=0.3, n=1000)}[kind]
+    build = {
+        "noises": lambda t: m.with_(Q=np.array([[t["q0"]]])),
+        "parameters": lambda t: m.with_(theta=t),
+        "roots": lambda t: m.with_(m0=t["m0"], **{k: t[k] @ t[k].T + 1e-9 * np.eye(1) for k in ("P0", "Q", "R")}),
+    }[kind]
+    both = chain(m, ys, lengths, 20, gens((0, 1)))
+    alone = chain(m, ys[1:, :15], lengths[1:], 20, gens((1,)))[0]
+    assert [r["loglik"] for r in alone] == pytest.approx([r["loglik"] for r in both[1]])
+    for rows, y, n in zip(both, ys, lengths, strict=True):
+        assert len(rows) == 21 and 1 < sum(r["accepted"] for r in rows) < 21
+        for before, r in zip(rows, rows[1:], strict=False):
+            assert r["accepted"] == (r["theta"] != before["theta"])
+        seen = ~np.isnan(y[:n, 0])
+        for r in rows:
+            exact = gaussian.run(build(r["theta"]), y[:n])[2]
+            assert abs(exact[seen].sum() - r["loglik"]) < 2
+
+
+def test_chains_reject_what_is_no_covariance():
+    from tidestate.operators import batch_chains
+
+    m, ys, lengths, gens = _in_step()
+    rows = batch_chains.particle_mh(m, ys, lengths, 3, gens((0, 1)), {"r": 2.0}, lambda t: m.with_(R=np.array([[t["r"]]])), lambda t, g: {"r": -1.0}, lambda t: 0.0, n=50)
+    assert all([r["accepted"] for r in one] == [True, False, False, False] and one[-1]["theta"] == {"r": 2.0} for one in rows)
