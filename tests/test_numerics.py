@@ -369,3 +369,29 @@ def test_chains_reject_what_is_no_covariance():
     m, ys, lengths, gens = _in_step()
     rows = batch_chains.particle_mh(m, ys, lengths, 3, gens((0, 1)), {"r": 2.0}, lambda t: m.with_(R=np.array([[t["r"]]])), lambda t, g: {"r": -1.0}, lambda t: 0.0, n=50)
     assert all([r["accepted"] for r in one] == [True, False, False, False] and one[-1]["theta"] == {"r": 2.0} for one in rows)
+
+
+@pytest.mark.parametrize("name", ["lorenz", "cube_root_divisor", "stochastic_volatility"])
+def test_simulated_in_step(name):
+    """A series is the same whatever else is simulated; its states follow from each other."""
+    from tidestate.sources import simulate
+
+    ids, lengths = np.array([7, 3, 5]), np.array([30, 12, 1])
+    both = simulate._in_step(models.EXAMPLES[name](), name, 0, ids, lengths)
+    for i, k in zip(ids, lengths, strict=True):
+        one, alone = both[both.series_id == i], simulate._in_step(models.EXAMPLES[name](), name, 0, np.array([i]), np.array([k]))
+        assert one.t.tolist() == list(range(1, k + 1)) and np.allclose(np.stack(one.x.to_list()), np.stack(alone.x.to_list()))
+        assert np.allclose(np.stack(one.ys.to_list()), np.stack(alone.ys.to_list()))
+
+
+@pytest.mark.parametrize("n", [60, 100, 200])
+def test_five_standard_errors_of_a_mean_square(n):
+    """The exact chance of more (a Poisson sum) is that of five standard deviations; one in 3.5 million, not one in some ten thousand."""
+    from math import exp, lgamma, log
+
+    from tidestate.sources import simulate
+
+    x = np.linspace(n, 4 * n, 100_000)
+    far = x[int(np.argmax(simulate.deviation(x / n, np.full(len(x), n)) > 5))]
+    chance = sum(exp(-far / 2 + i * log(far / 2) - lgamma(i + 1)) for i in range(n // 2))
+    assert 2e-7 < chance < 4e-7
