@@ -395,3 +395,45 @@ def test_five_standard_errors_of_a_mean_square(n):
     far = x[int(np.argmax(simulate.deviation(x / n, np.full(len(x), n)) > 5))]
     chance = sum(exp(-far / 2 + i * log(far / 2) - lgamma(i + 1)) for i in range(n // 2))
     assert 2e-7 < chance < 4e-7
+
+
+def test_counts_follow_what_weights_will_need():
+    """An observation far off leaves few effective particles of a fixed number; so many are taken that some are left. Others keep theirs."""
+    from tidestate.operators import batch_particles
+
+    m = models.random_walk(25.0, 2500.0, 50.0, 400.0)
+    ys = np.stack([50 + simulated(models.random_walk(0.1, 100.0), 40, s)[1] for s in range(2)])
+    ys[1, 30] = 600.0
+    for model in (m, models.general_random_walk(25.0, 2500.0, 50.0, 400.0)):
+        n = batch_particles.counts(model, ys, 400)
+        assert n[0] == 400 and n[1] > 6400
+        means, _, _, ess = batch_particles.run(model, ys[1:], int(n[1]), [rand.stream("k", 1)])
+        exact = gaussian.run(m, ys[1])[0]
+        assert ess[0, 30] > 5 and np.abs(means[0] - exact).max() < 6
+
+
+@pytest.mark.parametrize("method", ["sir_extended", "sir_unscented"])
+def test_proposals_that_miss_the_transition(method):
+    """Carried covariances propose too far towards an observation that is far off: the transition's own share bounds the weights."""
+    from tidestate.operators import batch_particles
+
+    m = models.random_walk(25.0, 2500.0, 50.0, 400.0)
+    ys = 50 + simulated(models.random_walk(0.1, 100.0), 40, 1)[1]
+    ys[30] = 400.0
+    exact, p, ll = gaussian.run(m, ys)
+    means, _, got, _ = batch_particles.run(m, np.repeat(ys[None], 20, 0), 1600, [rand.stream("d", s) for s in range(20)], method)
+    assert np.abs(got.sum(1) - ll.sum()).max() < 3
+    assert (np.abs(means - exact) / np.sqrt(p)[:, 0]).mean((1, 2)).max() < 0.4
+
+
+def test_path_moments_stay_in_their_task(spark):
+    from pyspark.sql import functions as F
+
+    from tidestate.plans import series
+
+    obs = spark.range(3).select(F.col("id").alias("series_id"), F.explode(F.sequence(F.lit(1), F.lit(8))).alias("t")).withColumn("ys", F.array((F.col("t") + F.col("series_id")).cast("double")))
+    for method in ("backward", "rejection", "path", "ancestral"):
+        paths = series.trajectories(obs, models.random_walk(), method, 10, 50)
+        want = paths.groupBy("series_id", "t").agg(F.avg(F.col("x")[0]).alias("e"), F.var_samp(F.col("x")[0]).alias("v")).toPandas().sort_values(["series_id", "t"])
+        got = series.trajectory_moments(obs, models.random_walk(), method, 10, 50).toPandas().sort_values(["series_id", "t"])
+        assert len(got) == 24 and np.allclose(got[["e", "v"]], want[["e", "v"]])
