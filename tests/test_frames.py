@@ -188,3 +188,12 @@ def test_path_draws_are_taken_from_all_paths(spark):
         at += [np.flatnonzero(r).mean() for r in same]
     assert 7.5 < np.mean(at) < 11.5  # the middle of 20 paths is 9.5, that of the first five 2
     assert series.trajectories(obs, m, "path", draws=30, n=n).groupBy("series_id", "t").count().where("count = 30").count() == 120
+
+
+def test_half_way_figures_go_where_duckdb_rounds_them(spark, duck):
+    from tidestate import queries
+
+    values = [32.2495, 1.2735, -11.6845, 16.1225, 2.5005, 0.0005]
+    got = queries._near(spark.createDataFrame([(0, i, v, v, -v) for i, v in enumerate(values)], "series_id long, t int, m double, p double, loglik double")).orderBy("t").collect()
+    want = [duck.execute("SELECT round(CAST(? AS DOUBLE), 3), round(CAST(? AS DOUBLE), 3)", [v, -v]).fetchone() for v in values]
+    assert [(r.m, r.loglik) for r in got] == want
