@@ -71,3 +71,23 @@ def test_words_that_polynomials_take_for_one(spark):
     x, y = thue_morse(11)
     pairs = [(1, f"{x} p q r"), (2, f"{y} p q r"), (3, f"{x} p q r"), (4, " ".join([*x[:64]])), (5, " ".join([*y[:64]])), (6, x), (7, y)]
     assert run(spark.createDataFrame(pairs, "doc_id long, text string"), 4) == brute(pairs, 4)
+
+
+def test_components_write_no_more_than_they_need(spark, monkeypatch):
+    """Stars and empty tables are written once: rounds and the plans of them fill the driver."""
+    from tidestate.llm import components as C
+
+    names, stored = [], C.stored
+    monkeypatch.setattr(C, "stored", lambda df, what: names.append(what) or stored(df, what))
+    stars = [(i, 10 * (i // 10)) for i in range(40)]
+    assert dict(map(tuple, C.components(spark.createDataFrame(stars, "u long, v long")).collect())) == dict(stars)
+    assert C.components(spark.createDataFrame([], "u long, v long")).collect() == []
+    assert len(names) == 2
+
+
+def test_stages_of_a_run(spark, sf):
+    """Every stage and scan costs the driver memory: a run took 164 when star-shaped links went through rounds and tasks were dealt out twice."""
+    scheduler = spark.sparkContext._jsc.sc().dagScheduler()
+    before = scheduler.nextStageId()
+    assert N.near_duplicates(spark.read.parquet(f"{sf}/documents.parquet"), 5).collect()
+    assert scheduler.nextStageId() - before < 150

@@ -147,8 +147,9 @@ def agreeing(pairs: DataFrame, classes: DataFrame) -> DataFrame:
 
 
 def with_sets(rows: DataFrame, docs: DataFrame, k: int) -> DataFrame:
-    """rows (node, ...) with shingles, the node's set as bytes."""
-    ids = rows.select(F.col("node").alias("doc_id")).distinct()
+    """rows (node, ...) with shingles, the node's set as bytes. They are written first, as they are read twice."""
+    rows = stored(rows, "near-tasks")
+    ids = stored(rows.select(F.col("node").alias("doc_id")).distinct(), "near-ids")
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
         d = d.join(F.broadcast(ids), "doc_id", "left_semi")
@@ -176,9 +177,12 @@ def dealt(rows: DataFrame, size: int) -> DataFrame:
     here = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     mine = F.pmod(F.xxhash64("node", F.lit(1)), F.col("left_blocks")).cast("int")
     task = lambda i, b: F.struct(F.col("grp"), i.alias("i"), b.alias("b"))
-    right = r.select("node", "component", F.lit(False).alias("left"), F.explode(F.transform(F.sequence(F.lit(0), F.col("left_blocks") - 1), lambda i: task(i, here))).alias("task"))
-    left = r.where("component <> main").select("node", "component", F.lit(True).alias("left"), F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda b: task(mine, b))).alias("task"))
-    return right.unionByName(left)
+    # in one pass, as a union would read and join the rows twice
+    all_left = F.sequence(F.lit(0), F.col("left_blocks") - 1)
+    all_blocks = F.when(F.col("component") != F.col("main"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array().cast("array<int>"))
+    right = F.transform(all_left, lambda i: F.struct(F.lit(False).alias("left"), task(i, here).alias("task")))
+    left = F.transform(all_blocks, lambda b: F.struct(F.lit(True).alias("left"), task(mine, b).alias("task")))
+    return r.select("node", "component", F.inline(F.concat(right, left)))
 
 
 class Sets:
@@ -251,6 +255,23 @@ def linked(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.join(c, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
 
 
+def merged(state: DataFrame, links: DataFrame) -> DataFrame:
+    """state (node, component) with the components that links join made one; only components and links are searched anew."""
+    ends = (state.select(F.col("node").alias(x), F.col("component").alias(f"c{x}")) for x in "uv")
+    c = components(links.join(next(ends), "u").join(next(ends), "v").select(F.col("cu").alias("u"), F.col("cv").alias("v")))
+    return state.join(c.select(F.col("node").alias("component"), F.col("component").alias("least")), "component", "left").select("node", F.coalesce("least", "component").alias("component"))
+
+
+def further(rows: DataFrame, classes: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """Links (u, v) between components that meet in buckets. rows: grp, node, component of the members of these buckets."""
+    tasks = dealt(rows, BLOCK).join(classes.select("node", "signature"), "node")
+    active = stored(tasks.groupBy("task").applyInPandas(by_signature, "node long, component long, meeting long"), "near-active")
+    families = components(active.select(F.col("component").alias("u"), F.col("meeting").alias("v"))).select(F.col("node").alias("component"), F.col("component").alias("grp"))
+    members = active.select("node", "component").distinct().join(families, "component")
+    more = with_sets(dealt(members.select("grp", "node", "component"), BLOCK), docs, k).groupBy("task").applyInPandas(exact(percent), "u long, v long")
+    return stored(more, "near-more")
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id and kept (it is the least doc_id of its component) of each document (doc_id, text).
 
@@ -277,13 +298,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     b = buckets.join(state, "node")
     open_ = b.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n")).where("low < high and n > 2").select("bucket")
     rows = stored(b.join(open_, "bucket").select(F.col("bucket").alias("grp"), "node", "component"), "near-open")
-    tasks = dealt(rows, BLOCK).join(classes.select("node", "signature"), "node")
-    active = stored(tasks.groupBy("task").applyInPandas(by_signature, "node long, component long, meeting long"), "near-active")
-    families = components(active.select(F.col("component").alias("u"), F.col("meeting").alias("v"))).select(F.col("node").alias("component"), F.col("component").alias("grp"))
-    members = active.select("node", "component").distinct().join(families, "component")
-    more = with_sets(dealt(members.select("grp", "node", "component"), BLOCK), docs, k).groupBy("task").applyInPandas(exact(percent), "u long, v long")
-    more = stored(more, "near-more")
-    state = linked(nodes, links.unionByName(more))
+    if not rows.isEmpty():
+        state = merged(state, further(rows, classes, docs, k, percent))
     # by class first: what then meets at a class of many copies is a plain join, whose large partitions can be split
     of_class = classes.select("d1", "d2", "node").join(state, "node").select("d1", "d2", "component")
     within = F.col("d1").isNotNull() & F.col("doc_id").isNotNull()
