@@ -94,3 +94,26 @@ def test_chains_take_more_particles_where_few_would_be_left(monkeypatch):
     ys[1, 20] = 450.0
     batch_chains.noise_chain(WALK, ys, np.array([30, 30]), 1, [stream("t", k) for k in range(2)], sd=1.0, n=100, least=6.0)
     assert taken[0] == (1, 100) and taken[1][0] == 1 and taken[1][1] > 400
+
+
+def test_sums_of_densities_by_series():
+    from tidestate.operators.particles import gauss_sums
+
+    rng = np.random.default_rng(0)
+    centre, at = 3 * rng.standard_normal(2000) - 7, 4 * rng.standard_normal(500) - 7
+    w = np.stack([np.full(2000, 1 / 2000), rng.random(2000) ** 20], 1)
+    want = np.exp(-0.5 * (at[:, None] - centre[None]) ** 2) @ w
+    assert np.allclose(gauss_sums(at, centre, w), want, rtol=1e-9, atol=1e-15)
+
+
+def test_improved_auxiliary_takes_more_particles_for_observations_far_off(spark):
+    """With 120 particles the filter stays behind where an observation is far off."""
+    from tidestate.operators import gaussian
+    from tidestate.plans import series
+
+    ys = [50.0] * 10 + [500.0] + [50.0] * 3
+    obs = spark.createDataFrame([(k, t, [y]) for k in range(4) for t, y in enumerate(ys, 1)], "series_id long, t int, ys array<double>")
+    m, p, _ = gaussian.run(WALK, np.array(ys)[:, None])
+    got = series.particle_filter(obs, WALK, "improved_auxiliary", 120, least=batch_particles.LEAST).toPandas().sort_values(["series_id", "t"])
+    e = (np.stack(got["mean"])[:, 0].reshape(4, -1) - m[:, 0]) / np.sqrt(p[:, 0, 0])
+    assert np.abs(e).mean() < 0.07  # 0.13 with 120 particles
